@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import media, packing, quality, sql
+from tarn.llm import media, packing, quality, simhash, sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash_dedup": simhash.op2_simhash_dedup,
         "op3_host_rules": quality.op3_host_rules,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op9_media_sniff": media.op9_media_sniff,
