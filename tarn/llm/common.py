@@ -40,13 +40,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove what ``materialize`` wrote, once nothing reads it any more."""
     path = df.__dict__.get("tarn_path")
     if path:
-        sc = df.sparkSession.sparkContext
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+        delete(df.sparkSession, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

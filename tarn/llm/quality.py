@@ -24,6 +24,7 @@ from tarn.llm import common
 
 MIN_WORDS = 50
 HOST_LIMIT = 0.5
+SALTS = 32
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -86,11 +87,13 @@ def host_verdicts(scored: DataFrame, host: str = "source", limit: float = HOST_L
 
 def judge(scored: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """``scored`` with ``base_failed``, ``host_rate`` and ``kept``. ``scored`` is read twice: pass a written table."""
-    verdicts = host_verdicts(scored, host, limit).select(F.col(host).alias("_host"), "host_rate", "host_rejected")
-    scored = scored.drop("host_rate", "host_rejected", "base_failed", "kept")
-    out = scored.join(verdicts, F.col(host) == F.col("_host"), "left")
+    # A hot host's documents are dealt to SALTS tasks, each with a copy of the verdict.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    verdicts = host_verdicts(scored, host, limit).select(F.col(host).alias("_host"), "host_rate", "host_rejected", salts.alias("_to"))
+    scored = scored.drop("host_rate", "host_rejected", "base_failed", "kept").withColumn("_salt", F.pmod(F.xxhash64(*COUNTS[:5]), F.lit(SALTS)).cast("int"))
+    out = scored.join(verdicts, (F.col(host) == F.col("_host")) & (F.col("_salt") == F.col("_to")), "left")
     rejected = F.coalesce("host_rejected", F.lit(False))
-    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~rejected).drop("_host", "host_rejected")
+    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~rejected).drop("_host", "_to", "_salt", "host_rejected")
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import media, packing, quality, simhash, sql
+from tarn.llm import chunks, media, packing, quality, simhash, sql, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_dedup": simhash.op2_simhash_dedup,
         "op3_host_rules": quality.op3_host_rules,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_radix_repeats": suffixes.op8_radix_repeats,
         "op9_media_sniff": media.op9_media_sniff,
+        "op10_gear_chunks": chunks.op10_gear_chunks,
     }
 
 

@@ -1,0 +1,42 @@
+import hashlib
+from collections import Counter
+
+from tarn.llm import suffixes
+
+
+def slow(texts):
+    seen = Counter(t[p : p + 400] for t in texts for p in range(len(t) - 399))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 399):
+            if seen[t[p : p + 400]] > 1:
+                gone[p : p + 400] = b"\1" * 400
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(list("abcdeé"), int(rng.integers(2, 8)))) for _ in range(n))
+
+
+def test_against_brute_force(spark, rng):
+    shared = [prose(rng, n) for n in (80, 120, 300, 75)]
+    texts = [None, "", "short", "short", "ab" * 1500, "x" * 401, "x" * 400, prose(rng, 900)]
+    texts.append(texts[-1])
+    texts.append(texts[-1][:2000] + "!" + texts[-1][2001:])
+    for i in range(25):
+        parts = [prose(rng, int(rng.integers(1, 120)))]
+        for _ in range(i % 4):
+            s = shared[int(rng.integers(4))]
+            cut = int(rng.integers(0, 60))
+            parts += [s[cut : len(s) - int(rng.integers(0, 60))], prose(rng, int(rng.integers(0, 50)))]
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "null id", 1)], "doc_id long, text string, uid int")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs).collect()}
+    want = slow([(t or "").encode() for t in texts])
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(w[1] > 0 for w in want) > 10
+    assert suffixes.remove_repeats(docs.limit(0)).count() == 0
