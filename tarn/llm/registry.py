@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import chunks, media, packing, quality, secrets, simhash, sql, suffixes
+from tarn.llm import chunks, media, packing, quality, secrets, simhash, sql, suffixes, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_dedup": simhash.op2_simhash_dedup,
         "op3_host_rules": quality.op3_host_rules,
+        "op4_url_templates": urls.op4_url_templates,
         "op5_secret_ownership": secrets.op5_secret_ownership,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_radix_repeats": suffixes.op8_radix_repeats,

@@ -48,4 +48,57 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed LEFT JOIN verdicts USING (source)
 """
 
-ORACLES = {"op3_host_rules": HOST_RULES}
+
+
+def _url_templates() -> str:
+    """Operator 4: one block of queries for each level of the tree."""
+    from tarn.llm import urls as u
+
+    rules = sorted(u.RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = [(f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')", h + p, v) for h, p, v in rules]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits) + " END"
+    parts = [
+        rf"""WITH urls AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{u.HOST}', 1), '{u.UPPER}', '{u.LOWER}') AS host,
+         regexp_extract(coalesce(url, ''), '{u.PATH}', 1) AS path FROM pages
+), general AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(path, '\b[0-9a-f]*[0-9][0-9a-f]{{7,}}\b', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g'), '/+', '/', 'g'), '^/|/$', '', 'g') AS general FROM urls
+), known AS (
+  SELECT doc_id AS page_id, coalesce(max((quality = 0 OR toxic = 1)::INT), 0) AS bad FROM labels GROUP BY doc_id
+), t0 AS (
+  SELECT host, general, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0)::BIGINT AS bad, '' AS template
+  FROM general LEFT JOIN known USING (page_id) GROUP BY host, general
+)"""
+    ]
+    for k in range(u.DEPTH + 1):
+        segment = f"split_part(general, '/', {k + 1})" if k < u.DEPTH else f"CASE WHEN len(string_split(general, '/')) > {u.DEPTH} THEN '**' ELSE '' END"
+        parts.append(f"""s{k} AS (SELECT *, {segment} AS segment FROM t{k}),
+n{k} AS (SELECT host, template, segment, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM s{k} GROUP BY ALL),
+b{k} AS (
+  SELECT *, CASE WHEN count(*) OVER w > {u.FANOUT} AND n * {u.FANOUT} < sum(n) OVER w THEN '*' ELSE segment END AS branch
+  FROM n{k} WINDOW w AS (PARTITION BY host, template)
+), r{k} AS (
+  SELECT host, template, branch, sum(labelled)::DOUBLE AS labelled, (sum(bad)::DOUBLE + 0.5::DOUBLE) / (sum(labelled)::DOUBLE + 1.0::DOUBLE) AS rate FROM b{k} GROUP BY ALL
+), l{k} AS (
+  SELECT *, lag(rate) OVER w AS rate0, lag(labelled) OVER w AS labelled0 FROM r{k} WINDOW w AS (PARTITION BY host, template ORDER BY rate, branch)
+), p{k} AS (
+  SELECT *, sum(CASE WHEN rate - rate0 > {u.Z}::DOUBLE * sqrt(rate * (1 - rate) / (labelled + 1.0::DOUBLE) + rate0 * (1 - rate0) / (labelled0 + 1.0::DOUBLE)) THEN 1 ELSE 0 END) OVER (PARTITION BY host, template ORDER BY rate, branch) AS part FROM l{k}
+), m{k} AS (
+  SELECT host, template, part, template || '/' || string_agg(branch, '|' ORDER BY branch) AS next FROM p{k} GROUP BY host, template, part
+), t{k + 1} AS (
+  SELECT s.host, s.general, s.n, s.labelled, s.bad, m.next AS template
+  FROM s{k} s JOIN b{k} b USING (host, template, segment) JOIN p{k} p ON p.host = s.host AND p.template = s.template AND p.branch = b.branch
+  JOIN m{k} m ON m.host = s.host AND m.template = s.template AND m.part = p.part
+)""")
+    parts.append(f"""prior AS (SELECT 1 - (sum(bad)::DOUBLE + 0.5::DOUBLE) / (sum(labelled)::DOUBLE + 1.0::DOUBLE) AS good FROM t{u.DEPTH + 1}),
+pure AS (
+  SELECT host, template, (sum(labelled)::DOUBLE - sum(bad)::DOUBLE + {u.STRENGTH}::DOUBLE * any_value(good)) / (sum(labelled)::DOUBLE + {u.STRENGTH}::DOUBLE) AS purity
+  FROM t{u.DEPTH + 1}, prior GROUP BY host, template
+)
+SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN purity < {u.PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 9) AS purity
+FROM general JOIN t{u.DEPTH + 1} USING (host, general) JOIN pure USING (host, template)""")
+    return ",\n".join(parts)
+
+
+ORACLES = {"op3_host_rules": HOST_RULES, "op4_url_templates": _url_templates()}
