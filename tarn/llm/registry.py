@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import chunks, media, packing, quality, secrets, simhash, sql, suffixes, urls
+from tarn.llm import chunks, licenses, media, packing, pieces, quality, secrets, simhash, sql, suffixes, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nbest_pieces": pieces.op1_nbest_pieces,
         "op2_simhash_dedup": simhash.op2_simhash_dedup,
         "op3_host_rules": quality.op3_host_rules,
         "op4_url_templates": urls.op4_url_templates,
         "op5_secret_ownership": secrets.op5_secret_ownership,
+        "op6_license_windows": licenses.op6_license_windows,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_radix_repeats": suffixes.op8_radix_repeats,
         "op9_media_sniff": media.op9_media_sniff,
