@@ -108,16 +108,18 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with repeats cut from ``text``, and n_bytes, n_removed and ``removed`` (byte spans)."""
-    keyed = docs.withColumn("_key", common.text_key())
-    found = repeated_chunks(keyed.select(F.col("_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumnRenamed("key", "f_key").withColumnRenamed("doc_id", "f_id")
-    both = keyed.join(found, (F.col("_key") == F.col("f_key")) & F.col("doc_id").eqNullSafe(F.col("f_id")), "left").drop("_key", "f_key", "f_id").withColumnRenamed("found", "_found")
-    schema = common.with_fields(docs.schema, ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("removed", SPANS))
+    columns = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "removed")]
+    keyed = common.packed(docs.select(*columns), "doc_id", "text").withColumn("key", common.text_key())
+    found = repeated_chunks(keyed.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text")).select(F.col("key").alias("f_key"), F.col("doc_id").alias("f_id"), "found")
+    both = keyed.join(found, (F.col("key") == F.col("f_key")) & F.col("doc_id").eqNullSafe(F.col("f_id")), "left").drop("key", "f_key", "f_id")
+    both = both.select("found", "doc_id", "text", *(["rest_"] if "rest_" in both.columns else []))
+    schema = common.with_fields(both.drop("found").schema, ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("removed", SPANS))
     keep = [f.name for f in schema.fields[:-3]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n_bytes, n_removed, removed = [], [], [], []
-            for text, found in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_found").to_pylist()):
+            for text, found in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("found").to_pylist()):
                 spans: list[list[int]] = []
                 for at, size in sorted((g["at"], g["size"]) for g in found or []):
                     if spans and spans[-1][1] == at:
@@ -137,7 +139,8 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*(new.get(c, b.column(c)) for c in keep), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, span)], names=[*keep, "n_bytes", "n_removed", "removed"])
 
-    return both.mapInArrow(run, schema)
+    out = both.mapInArrow(run, schema)
+    return common.unpacked(out, [*columns, "n_bytes", "n_removed", "removed"])
 
 
 def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,4 +150,5 @@ def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: all documents, with what repeats cut from their texts; ``n_chars`` follows the text."""
-    return dedup(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = dedup(common.packed(docs, "doc_id", "text", "n_chars")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return common.unpacked(out, docs.columns)

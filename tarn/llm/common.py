@@ -68,6 +68,18 @@ def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.Stru
     return T.StructType(kept + [T.StructField(n, t) for n, t in fields])
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """``needed`` and, as the struct ``rest_``, all other columns, whose names then can't clash with an operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, *([F.struct(*rest).alias("rest_")] if rest else []))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that went into ``packed``, in the given order."""
+    rest = df.schema["rest_"].dataType.names if "rest_" in df.columns else []
+    return df.select(*(F.col("rest_").getField(c).alias(c) if c in rest else F.col(c) for c in columns))
+
+
 def text_key(text="text"):
     """A digest by which equal texts meet (null and empty text are one)."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))

@@ -104,5 +104,5 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: documents that are kept, with the input's columns."""
-    scored = common.materialize(measured(docs), "quality")
-    return judge(scored).where("kept").select(*docs.columns)
+    scored = common.materialize(measured(common.packed(docs, "doc_id", "text", "source")), "quality")
+    return common.unpacked(judge(scored).where("kept"), docs.columns)

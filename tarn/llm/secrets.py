@@ -122,6 +122,6 @@ def redact(text: Column, spans: str, mark: str = "[SECRET]") -> Column:
 
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: all documents, with every finding replaced; ``n_chars`` follows the text."""
-    scanned = scan(docs, F.col("source"), F.concat_ws("/", "source", "lang"), *docs.columns)
-    out = findings(scanned).withColumn("text", redact(F.col("text"), "spans"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rows = common.packed(docs, "text", "source", "lang", "n_chars")
+    out = findings(scan(rows, F.col("source"), F.concat_ws("/", "source", "lang"), *rows.columns)).withColumn("text", redact(F.col("text"), "spans"))
+    return common.unpacked(out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), docs.columns)

@@ -274,12 +274,12 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: of each component the row with the least doc_id (of equal ones, the least fingerprint and text) stays."""
-    scored = common.materialize(fingerprints(docs, out="_fp").withColumn("_key", common.text_key()), "simhash")
-    slim = scored.select("doc_id", F.col("_fp").alias("fp"), "_key")
+    scored = common.materialize(fingerprints(common.packed(docs, "doc_id", "text")).withColumn("key", common.text_key()), "simhash")
+    slim = scored.select("doc_id", "fp", "key")
     label = labelled(slim).select("fp", "label")
     # A null doc_id comes last.
-    first = slim.join(label, "fp").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp", "_key")).alias("w"))
-    first = first.select(F.col("w.doc_id").alias("w_id"), F.col("w._key").alias("w_key"))
-    stays = scored.join(first, scored.doc_id.eqNullSafe(first.w_id) & (scored["_key"] == first.w_key), "left_semi")
+    first = slim.join(label, "fp").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp", "key")).alias("w"))
+    first = first.select(F.col("w.doc_id").alias("w_id"), F.col("w.key").alias("w_key"))
+    stays = scored.join(first, scored.doc_id.eqNullSafe(first.w_id) & (scored.key == first.w_key), "left_semi")
     # Rows that agree in id and text.
-    return stays.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    return common.unpacked(stays.dropDuplicates(["doc_id", "key"]), docs.columns)

@@ -1,0 +1,72 @@
+import zlib
+from collections import defaultdict
+
+import numpy as np
+from tokenizers import Tokenizer
+
+from tarn.llm import packing
+
+
+def slow_best_fit(lengths, window):
+    """The open sequence with the least room that holds it, by looking at all."""
+    rooms, sequence, offset = [], [], []
+    for n in lengths:
+        fits = [(r, i) for i, r in enumerate(rooms) if r >= n]
+        if fits:
+            i = min(fits)[1]
+        else:
+            rooms.append(window)
+            i = len(rooms) - 1
+        sequence.append(i)
+        offset.append(window - rooms[i])
+        rooms[i] -= n
+    return sequence, offset, rooms
+
+
+def test_best_fit(rng):
+    for window, n in ((16, 200), (1024, 600), (100, 1), (7, 50)):
+        lengths = sorted(rng.integers(1, window + 1, n).tolist(), reverse=True)
+        sequence, offset = packing.best_fit(lengths, window)
+        _, _, rooms = slow_best_fit(lengths, window)
+        used = defaultdict(int)
+        for s, o, n in zip(sequence, offset, lengths):
+            assert used[s] == o
+            used[s] += n
+        # Equal rooms are alike, so the sequences' fills agree.
+        assert sorted(used.values()) == sorted(window - r for r in rooms)
+
+
+def check_packing(rows, docs, window=1024):
+    model = Tokenizer.from_file(packing.default_vocabulary())
+    want = defaultdict(list)
+    for doc, text in docs:
+        ids = model.encode(text or "", add_special_tokens=False).ids + [0]
+        want[doc].append(ids)
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    assert set(by_doc) == set(want)
+    for doc, copies in want.items():
+        pieces = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in by_doc[doc])
+        each = []
+        for ids in copies:
+            for s in range(0, len(ids), window):
+                part = ids[s : s + window]
+                each.append((s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)))
+        assert pieces == sorted(each)
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= window
+
+
+def test_operator(spark, rng):
+    rows = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "null id <|endoftext|> x"), (5, "été 𝄞 " * 3000)]
+    rows += [(i, " ".join(rng.choice(["on", "the", "tion", "Ab"], int(rng.integers(1, 3000))))) for i in range(10, 60)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, bin string")
+    for bin_docs in (2048, 8):
+        check_packing(packing.pack(docs, bin_docs=bin_docs).collect(), rows)
+    assert packing.pack(docs.limit(0)).count() == 0
