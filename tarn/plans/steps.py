@@ -1,0 +1,138 @@
+"""Memoised steps: typed parameters, a content key, and a DataFrame built once.
+
+A step is a frozen dataclass with a ``build(spark, inputs)`` method. Its
+parameters, other steps among them, give its key; fields marked with
+``unkeyed`` stay out of it. ``materialize`` returns a scan of the published
+result, and builds and publishes it first if there is none. What a step reads
+is declared by its fields, so inputs are materialised before it.
+"""
+
+from __future__ import annotations
+
+import dataclasses
+import hashlib
+import json
+from collections.abc import Iterator
+from datetime import datetime
+from pathlib import PurePath
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tarn.sources import results
+
+
+def unkeyed(**options):
+    """A dataclass field that is no part of the key."""
+    return dataclasses.field(metadata={"unkeyed": True}, **options)
+
+
+def canonical(value: object) -> object:
+    """JSON data that tells apart what keys must tell apart: 1, 1.0, True, "1", lists, tuples and sets."""
+    if isinstance(value, Step):
+        return {"|step": value.key()}
+    if value is None or isinstance(value, (bool, int, float, str)):
+        return value
+    if isinstance(value, PurePath):
+        return {"|path": value.as_posix()}
+    if isinstance(value, datetime):
+        return {"|time": value.isoformat()}
+    if isinstance(value, list):
+        return [canonical(v) for v in value]
+    if isinstance(value, tuple):
+        return {"|tuple": [canonical(v) for v in value]}
+    if isinstance(value, (set, frozenset)):
+        return {"|set": sorted((canonical(v) for v in value), key=lambda v: json.dumps(v, sort_keys=True))}
+    if isinstance(value, dict):
+        if any(not isinstance(k, str) or k.startswith("|") for k in value):
+            raise TypeError(f"keys of a parameter must be plain strings: {list(value)}")
+        return {k: canonical(v) for k, v in value.items()}
+    if dataclasses.is_dataclass(value) and not isinstance(value, type):
+        return {"|fields": {f.name: canonical(getattr(value, f.name)) for f in keyed_fields(value)}, "|class": type(value).__qualname__}
+    raise TypeError(f"not a parameter: {value!r}")
+
+
+def keyed_fields(value) -> list[dataclasses.Field]:
+    return [f for f in dataclasses.fields(value) if not f.metadata.get("unkeyed")]
+
+
+def digest(data: object) -> str:
+    return hashlib.sha256(json.dumps(data, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:20]
+
+
+class Step:
+    """Base of steps; subclasses are frozen dataclasses."""
+
+    def build(self, spark: SparkSession, inputs: dict[str, DataFrame]) -> DataFrame:
+        raise NotImplementedError
+
+    @classmethod
+    def schema_key(cls) -> str:
+        return digest([[f.name, str(f.type)] for f in keyed_fields(cls)])
+
+    def key(self) -> str:
+        """Name, schema digest and value digest; the code of ``build`` is no part of it."""
+        values = {f.name: canonical(getattr(self, f.name)) for f in keyed_fields(self)}
+        return f"{type(self).__qualname__}:{self.schema_key()}:{digest(values)}"
+
+    def inputs(self) -> dict[str, Step]:
+        return {f.name: v for f in dataclasses.fields(self) if isinstance(v := getattr(self, f.name), Step)}
+
+    def __init_subclass__(cls, **options):
+        super().__init_subclass__(**options)
+        dataclasses.dataclass(frozen=True, kw_only=True)(cls)
+
+
+def path_of(root: str, step: Step) -> str:
+    return f"{root}/{step.key().replace(':', '/')}"
+
+
+def closure(step: Step) -> Iterator[Step]:
+    """The step's inputs and theirs, each before what needs it."""
+    seen: set[str] = set()
+
+    def visit(s: Step) -> Iterator[Step]:
+        if s.key() not in seen:
+            seen.add(s.key())
+            for i in s.inputs().values():
+                yield from visit(i)
+            yield s
+
+    return visit(step)
+
+
+def materialize(spark: SparkSession, step: Step, root: str) -> DataFrame:
+    """A scan of the step's published result; missing ones, inputs too, are built once."""
+    path = path_of(root, step)
+    if results.read_manifest(spark, path) is None:
+        inputs = {name: materialize(spark, s, root) for name, s in step.inputs().items()}
+        facts = {"key": step.key(), "inputs": sorted(s.key() for s in step.inputs().values()), "spark": spark.version}
+        results.publish(spark, step.build(spark, inputs), path, facts)
+    return results.load(spark, path)
+
+
+def status(spark: SparkSession, step: Step, root: str) -> str:
+    return "done" if results.read_manifest(spark, path_of(root, step)) else "missing"
+
+
+def explain(step: Step, depth: int = 99, indent: int = 0) -> str:
+    """The step's parameters as an indented tree."""
+    lines = [f"{type(step).__name__} · key={step.key().rpartition(':')[2][:5]}"]
+    for f in dataclasses.fields(step):
+        v = getattr(step, f.name)
+        shown = explain(v, depth - 1, indent + 2) if isinstance(v, Step) and depth else f"{v:_}" if type(v) is int else json.dumps(v) if isinstance(v, str) else type(v).__name__ if isinstance(v, Step) else repr(v)
+        lines.append(f"{' ' * (indent + 2)}{f.name}: {shown}")
+    return "\n".join(lines)
+
+
+def diff(a: Step, b: Step, at: str = "") -> list[tuple[str, object, object]]:
+    """(path, value in a, value in b) of fields that differ; steps of one class are compared field by field."""
+    if type(a) is not type(b):
+        return [(at or "<root>", type(a).__qualname__, type(b).__qualname__)]
+    out = []
+    for f in keyed_fields(a):
+        x, y, here = getattr(a, f.name), getattr(b, f.name), f"{at}/{f.name}" if at else f.name
+        if isinstance(x, Step) and isinstance(y, Step):
+            out += diff(x, y, here)
+        elif canonical(x) != canonical(y):
+            out.append((here, x, y))
+    return out
