@@ -441,14 +441,14 @@ def job_reconcile(spark, sf_dir):
 # Scalar functions
 
 
-@query("""WITH v AS (SELECT event_id, CAST(value AS DECIMAL(18,6)) AS v FROM events)
-SELECT event_id, CASE WHEN round(v * 1000)::BIGINT < 1000 THEN round(v * 1000)::BIGINT || 'ms' WHEN round(v, 1) < 60 THEN CAST(round(v, 1) AS DECIMAL(18,1)) || 's'
-ELSE (round(v)::BIGINT // 60) || 'm' || lpad((round(v)::BIGINT % 60)::VARCHAR, 2, '0') || 's' END AS shown FROM v""")
+@query("""WITH v AS (SELECT event_id, value, CAST(value AS DECIMAL(18,6)) AS v, floor(CAST(value AS DECIMAL(18,6)))::BIGINT AS w FROM events)
+SELECT event_id, CASE WHEN value < 1 THEN round(v * 1000)::BIGINT || 'ms' WHEN value < 60 THEN CAST(round(v, 1) AS DECIMAL(18,1)) || 's'
+ELSE (w // 60) || 'm' || lpad((w % 60)::VARCHAR, 2, '0') || 's' END AS shown FROM v""")
 def format_duration(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.format_duration(F.col("value")).alias("shown"))
 
 
-@query(r"""SELECT doc_id, md5(CASE WHEN text = '' OR regexp_matches(text, '[\x00-\x20"=\\\x{7f}-\x{a0}]') THEN '"' || replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"' ELSE text END) AS shown FROM documents""")
+@query(r"""SELECT doc_id, md5(CASE WHEN text = '' OR regexp_matches(text, '[\x00-\x20"=\\\x{7f}-\x{9f}]') THEN '"' || replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '"' ELSE text END) AS shown FROM documents""")
 def logfmt_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.logfmt_value(F.col("text")).cast("binary")).alias("shown"))
 

@@ -7,34 +7,49 @@ from pyspark.sql import functions as F
 
 
 def format_duration(seconds: Column) -> Column:
-    """``850ms``, ``3.2s``, ``2m05s``, ``1h05m``; tenths round half up."""
-    ms = F.round(seconds.cast("decimal(18,6)") * 1000).cast("long")
-    tenths = F.round(seconds.cast("decimal(18,6)"), 1).cast("decimal(18,1)")
-    whole = F.round(seconds.cast("decimal(18,6)")).cast("long")
+    """``850ms``, ``3.2s``, ``2m05s``, ``1h05m``.
+
+    Milliseconds and tenths are rounded half up, by the decimal value; minutes and hours are cut off.
+    """
+    exact = seconds.cast("decimal(18,6)")
+    ms = F.round(exact * 1000).cast("long")
+    tenths = F.round(exact, 1).cast("decimal(18,1)")
+    whole = F.floor(exact).cast("long")
     minutes = F.floor(whole / 60)
-    long = F.floor(seconds.cast("decimal(18,6)") / 60).cast("long")
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
     return (
-        F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms")))
-        .when(tenths < 60, F.concat(tenths.cast("string"), F.lit("s")))
-        .when(whole < 3600, F.concat(minutes.cast("string"), F.lit("m"), F.lpad((whole % 60).cast("string"), 2, "0"), F.lit("s")))
-        .otherwise(F.concat(F.floor(long / 60).cast("string"), F.lit("h"), F.lpad((long % 60).cast("string"), 2, "0"), F.lit("m")))
+        F.when(seconds < 1, F.concat(ms.cast("string"), F.lit("ms")))
+        .when(seconds < 60, F.concat(tenths.cast("string"), F.lit("s")))
+        .when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m"), two(whole % 60), F.lit("s")))
+        .otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit("h"), two(minutes % 60), F.lit("m")))
     )
 
 
+#: Control characters without a short escape: C0, DEL and C1.
+CONTROLS = [c for c in (*range(0x20), *range(0x7F, 0xA0)) if chr(c) not in "\n\r\t"]
+
+
 def logfmt_value(text: Column) -> Column:
-    """A value of a log line: quoted if it is empty or holds a space, a quote, ``=`` or a control character."""
+    """A value of a log line: quoted if it is empty or holds a space, ``=``, or something escaped."""
     escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for raw, shown in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         escaped = F.replace(escaped, F.lit(raw), F.lit(shown))
-    quoted = (text == "") | text.rlike(r'[\x00-\x20"=\\\x7f-\xa0]')
-    return F.when(quoted, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(text)
+    rare = escaped
+    for c in CONTROLS:
+        rare = F.replace(rare, F.lit(chr(c)), F.lit(f"\\x{c:02x}"))
+    shown = F.when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"), rare).otherwise(escaped)
+    quoted = (text == "") | text.rlike(r'[\x00-\x20"=\\\x7f-\x9f]')
+    return F.when(quoted, F.concat(F.lit('"'), shown, F.lit('"'))).otherwise(text)
 
 
 def elide(text: Column, most: int) -> Column:
     """Text of at most ``most`` characters: the middle becomes one ``…``."""
-    head = (most - 1 + 1) // 2
+    if most <= 1:
+        return F.substring(text, 1, most)
+    head = most // 2
     tail = most - 1 - head
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, head), F.lit("…"), F.right(text, F.lit(tail))))
+    ends = [F.substring(text, 1, head), F.lit("…"), *([F.right(text, F.lit(tail))] if tail else [])]
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(*ends))
 
 
 def short_label(name: Column, schema_key: Column, value_key: Column, width: int = 5) -> Column:

@@ -2,7 +2,7 @@
 
 A gear rolling hash over the last 32 bytes cuts a text where its top bits are
 zero, so that cuts depend on content alone and chunks line up again after an
-insertion. Chunks are grouped by a 128-bit digest over the whole corpus; of
+insertion. Chunks are grouped by a 96-bit digest over the whole corpus; of
 each, the first occurrence (least doc_id, then place) stays. An occurrence of
 a chunk that is not the first goes if it lies in a run of such chunks of at
 least ``MIN_RUN`` bytes, so that short common phrases stay where they are.
@@ -12,8 +12,8 @@ occurrences back is one that adaptive execution can split, so a passage that
 very many documents share is no single task.
 
 Defined results: a null text is empty and stays null; a null doc_id comes
-last among occurrences; rows that agree in id and text are one occurrence and
-are cut alike; an empty table gives no rows; clashing columns are replaced.
+last, and rows without or with the same one are one document to all others;
+an empty table gives no rows; clashing columns are replaced.
 """
 
 from __future__ import annotations
@@ -71,48 +71,57 @@ def gear_cuts(text: bytes) -> list[int]:
     return cuts
 
 
-CHUNK = "key binary, doc_id long, at long, size long, c1 long, c2 long"
+def digests(text: bytes) -> list[tuple[int, int, bytes]]:
+    """Start, end and 96-bit digest of each chunk."""
+    from xxhash import xxh3_128_digest
 
+    cuts = gear_cuts(text)
+    return [(s, e, xxh3_128_digest(text[s:e])[:12]) for s, e in zip([0, *cuts], cuts)]
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh3_128_digest
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct chunk of a document."""
     for b in batches:
-        digests, at, size, counts = [], [], [], []
-        for text in common.utf8(b.column("text")):
-            cuts = gear_cuts(text)
-            starts = [0, *cuts[:-1]] if cuts else []
-            digests += [xxh3_128_digest(text[s:e]) for s, e in zip(starts, cuts)]
-            at += starts
-            size += [e - s for s, e in zip(starts, cuts)]
-            counts.append(len(cuts))
-        if at:
-            row = pa.array(np.repeat(np.arange(b.num_rows), counts))
-            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            halves = [pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column("key").take(row), b.column("doc_id").take(row), pa.array(at, pa.int64()), pa.array(size, pa.int64()), *halves], names=["key", "doc_id", "at", "size", "c1", "c2"])
+        found = [{d for _, _, d in digests(t)} for t in common.utf8(b.column("text"))]
+        raw = np.frombuffer(b"".join(d for f in found for d in f), np.dtype([("c1", "<i8"), ("c2", "<i4")]))
+        row = pa.array(np.repeat(np.arange(b.num_rows), [len(f) for f in found]))
+        yield pa.RecordBatch.from_arrays([pa.array(raw["c1"].copy()), pa.array(raw["c2"].copy()), b.column("doc").take(row)], names=["c1", "c2", "doc"])
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def repeated_chunks(keyed: DataFrame) -> DataFrame:
-    """(key, doc_id, found): for each document the occurrences (at, size) of chunks that occurred before."""
-    rows = common.materialize(keyed.select("key", "doc_id", "text").mapInArrow(_chunks, CHUNK), "chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "at", "key")
-    # Rows that agree in id and text have equal places, and count once.
-    first = rows.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("c1", "c2", "first")
-    again = rows.join(first, ["c1", "c2"]).where(place != F.col("first"))
-    return again.groupBy("key", "doc_id").agg(F.collect_set(F.struct("at", "size")).alias("found"))
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """(doc, found): for each document the digests of its chunks that an earlier one has. ``docs`` has doc and text.
+
+    Chunks are made anew for each of the two passes, which is cheaper than to
+    write them. First documents are written before they are joined: a join of
+    two plain exchanges is one that adaptive execution splits.
+    """
+    rows = docs.select("doc", "text").mapInArrow(_chunks, "c1 long, c2 int, doc long")
+    first = rows.groupBy("c1", "c2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("c1", "c2", "first")
+    again = rows.join(common.materialize(first, "chunks"), ["c1", "c2"]).where("doc > first")
+    return again.groupBy("doc").agg(F.collect_set(F.struct("c1", "c2")).alias("found"))
+
+
+def _cut(text: bytes, found: set[bytes], min_run: int) -> list[tuple[int, int]]:
+    """The runs of at least ``min_run`` bytes of chunks that are in ``found`` or were in the text before."""
+    seen, spans = set(), []
+    for s, e, d in digests(text):
+        if d in found or d in seen:
+            if spans and spans[-1][1] == s:
+                spans[-1][1] = e
+            else:
+                spans.append([s, e])
+        seen.add(d)
+    return [(s, e) for s, e in spans if e - s >= min_run]
 
 
 def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with repeats cut from ``text``, and n_bytes, n_removed and ``removed`` (byte spans)."""
     columns = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "removed")]
-    keyed = common.packed(docs.select(*columns), "doc_id", "text").withColumn("key", common.text_key())
-    found = repeated_chunks(keyed.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text")).select(F.col("key").alias("f_key"), F.col("doc_id").alias("f_id"), "found")
-    both = keyed.join(found, (F.col("key") == F.col("f_key")) & F.col("doc_id").eqNullSafe(F.col("f_id")), "left").drop("key", "f_key", "f_id")
-    both = both.select("found", "doc_id", "text", *(["rest_"] if "rest_" in both.columns else []))
+    keyed = common.packed(docs.select(*columns), "doc_id", "text").withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)))
+    both = keyed.join(repeated_chunks(keyed), "doc", "left").drop("doc")
     schema = common.with_fields(both.drop("found").schema, ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("removed", SPANS))
     keep = [f.name for f in schema.fields[:-3]]
 
@@ -120,13 +129,8 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
         for b in batches:
             texts, n_bytes, n_removed, removed = [], [], [], []
             for text, found in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("found").to_pylist()):
-                spans: list[list[int]] = []
-                for at, size in sorted((g["at"], g["size"]) for g in found or []):
-                    if spans and spans[-1][1] == at:
-                        spans[-1][1] = at + size
-                    else:
-                        spans.append([at, at + size])
-                spans = [s for s in spans if s[1] - s[0] >= min_run]
+                known = {g["c1"].to_bytes(8, "little", signed=True) + g["c2"].to_bytes(4, "little", signed=True) for g in found or []}
+                spans = _cut(text or b"", known, min_run)
                 kept, last = [], 0
                 for s, e in spans:
                     kept.append(text[last:s])
@@ -139,8 +143,7 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*(new.get(c, b.column(c)) for c in keep), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, span)], names=[*keep, "n_bytes", "n_removed", "removed"])
 
-    out = both.mapInArrow(run, schema)
-    return common.unpacked(out, [*columns, "n_bytes", "n_removed", "removed"])
+    return common.unpacked(both.mapInArrow(run, schema), [*columns, "n_bytes", "n_removed", "removed"])
 
 
 def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

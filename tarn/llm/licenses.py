@@ -107,9 +107,13 @@ def words_of(text: str) -> Column:
 
 
 def hashed(words: Column) -> Column:
-    """The hash of each K words in a row."""
-    at = F.sequence(F.lit(0), F.size(words) - K)
-    return F.when(F.size(words) >= K, F.transform(at, lambda i: F.xxhash64(*(words[i + j] for j in range(K))))).otherwise(F.array().cast("array<bigint>"))
+    """The hash of each K words in a row. The words are bound to a variable, so that they are made once."""
+
+    def of(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - K)
+        return F.when(F.size(w) >= K, F.transform(at, lambda i: F.xxhash64(*(w[i + j] for j in range(K))))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.transform(F.array(words), of)[0]
 
 
 def matches(docs: DataFrame, *keep: str, templates=TEMPLATES) -> DataFrame:

@@ -79,7 +79,8 @@ def ownership(scanned: DataFrame) -> DataFrame:
 def findings(scanned: DataFrame) -> DataFrame:
     """``scanned`` with ``spans`` (base and live ``key`` spans in order), n_live and n_example (values by ownership)."""
     each = scanned.select("rid", F.explode(F.concat("base", "more")).alias("s")).select("rid", "s", "s.digest")
-    judged = each.join(ownership(scanned).select("digest", "wide"), "digest")
+    # Written first: a join of two plain exchanges is one that adaptive execution splits where a value is hot.
+    judged = each.join(common.materialize(ownership(scanned).select("digest", "wide"), "owners"), "digest")
     stays = (F.col("s.rank") < BASE) | ~F.col("wide")
     by_row = judged.where(stays).groupBy("rid").agg(F.array_sort(F.collect_list("s")).alias("spans"), F.sum((~F.col("wide")).cast("long")).alias("n_live"), F.sum(F.col("wide").cast("long")).alias("n_example"))
     out = scanned.join(by_row, "rid", "left")

@@ -258,7 +258,8 @@ def labelled(scored: DataFrame) -> DataFrame:
     groups = common.materialize(scored.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     label = components(links(groups.select("fp")))
     named = groups.join(label, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label"), "least")
-    ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    # Written first: a join of two plain exchanges is one that adaptive execution splits where a component is large.
+    ids = common.materialize(named.groupBy("label").agg(F.min("least").alias("component_id")), "components")
     return named.join(ids, "label").select("fp", "label", "component_id")
 
 

@@ -75,10 +75,11 @@ def grams(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [(u, *grams(t)) for u, t in zip(b.column("uid").to_pylist(), common.utf8(b.column("text"))) if len(t) >= DEPTH]
+        got = [(i, *grams(t)) for i, t in enumerate(common.utf8(b.column("text"))) if len(t) >= DEPTH]
         if got:
-            uid = np.repeat([g[0] for g in got], [len(g[1]) for g in got])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[1] for g in got])), pa.array(uid), *(pa.array(np.concatenate([g[i] for g in got])) for i in (2, 3, 4))], names=["h", "uid", "at", "first", "last"])
+            row = np.repeat([g[0] for g in got], [len(g[1]) for g in got])
+            numbers = [pa.array(np.concatenate([g[i] for g in got])) for i in (1, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([numbers[0], b.column("key").take(pa.array(row)), *numbers[1:]], names=["h", "key", "at", "first", "last"])
 
 
 def _halves(digests: list[bytes]) -> list[pa.Array]:
@@ -92,7 +93,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         core, full, rows = [], [], []
-        for uid, text, found in zip(b.column("uid").to_pylist(), common.utf8(b.column("text")), b.column("found").to_pylist()):
+        for key, text, found in zip(b.column("key").to_pylist(), common.utf8(b.column("text")), b.column("found").to_pylist()):
             for g in found:
                 at, first, last = g["at"], g["first"], g["last"]
                 for d in range((at - last) // RUN, (at - first) // RUN + 1):
@@ -101,11 +102,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     core.append(digest(text[end : start + DEPTH], d))
                     # What the text's ends cut off is equal to nothing.
                     whole = start >= 0 and end + DEPTH <= len(text)
-                    full.append(digest(text[start : end + DEPTH], d) if whole else digest(b"%d %d %d" % (uid, at, d), 1 << 40))
-                    rows.append((uid, max(first, start), min(last, end)))
+                    full.append(digest(text[start : end + DEPTH], d) if whole else digest(b"%b %d %d" % (key, at, d), 1 << 40))
+                    rows.append((key, max(first, start), min(last, end)))
         if rows:
-            uid, lo, hi = zip(*rows)
-            yield pa.RecordBatch.from_arrays([*_halves(core), *_halves(full), pa.array(uid, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["c1", "c2", "f1", "f2", "uid", "lo", "hi"])
+            key, lo, hi = zip(*rows)
+            yield pa.RecordBatch.from_arrays([*_halves(core), *_halves(full), pa.array(key, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["c1", "c2", "f1", "f2", "key", "lo", "hi"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,14 +115,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         out, rows = [], []
-        for uid, text, found in zip(b.column("uid").to_pylist(), common.utf8(b.column("text")), b.column("found").to_pylist()):
+        for key, text, found in zip(b.column("key").to_pylist(), common.utf8(b.column("text")), b.column("found").to_pylist()):
             for g in found:
                 for p in range(g["lo"], g["hi"] + 1):
                     out.append(digest(text[p : p + DEPTH]))
-                    rows.append((uid, p))
+                    rows.append((key, p))
         if rows:
-            uid, p = zip(*rows)
-            yield pa.RecordBatch.from_arrays([*_halves(out), pa.array(uid, pa.int64()), pa.array(p, pa.int64())], names=["w1", "w2", "uid", "p"])
+            key, p = zip(*rows)
+            yield pa.RecordBatch.from_arrays([*_halves(out), pa.array(key, pa.binary()), pa.array(p, pa.int64())], names=["w1", "w2", "key", "p"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -155,15 +156,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def units(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct texts with their number of copies, as a table bucketed by ``uid``, so that later joins on it leave the texts in place."""
+    """Distinct texts with their number of copies, as a table bucketed by ``key``.
+
+    One shuffle brings copies together and makes the buckets; later joins by
+    ``key`` leave the texts in place.
+    """
     spark = docs.sparkSession
     name = f"units_{uuid.uuid4().hex}"
     found = docs.select(common.text_key(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    keyed = common.materialize(found.withColumn("uid", F.monotonically_increasing_id()), "units")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{common.shared_dir(spark)}/{name}"
-    keyed.repartition(n, "uid").write.bucketBy(n, "uid").sortBy("uid").option("path", path).saveAsTable(name)
-    common.discard(keyed)
+    found.write.bucketBy(n, "key").sortBy("key").option("path", path).saveAsTable(name)
     out = spark.table(name)
     out.tarn_path = path
     return out
@@ -176,26 +179,27 @@ def drop_units(texts: DataFrame) -> None:
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
-    """(uid, lo, hi): ranges of window starts whose 400 bytes also start elsewhere among ``texts`` (uid, text)."""
-    first = common.materialize(texts.select("uid", "text").mapInArrow(_grams, "h long, uid long, at long, first long, last long"), "grams")
-    twice = first.groupBy("h").count().where("count > 1").select("h")
-    found = first.join(twice, "h", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("at", "first", "last")).alias("found"))
-    runs = common.materialize(texts.join(found, "uid").select("uid", "text", "found").mapInArrow(_runs, "c1 long, c2 long, f1 long, f2 long, uid long, lo long, hi long"), "runs")
-    classes = common.materialize(runs.groupBy("c1", "c2", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "hi")).alias("one")), "classes")
-    cores = classes.groupBy("c1", "c2").agg(F.sum("n").alias("n_core"))
-    left = classes.join(cores, ["c1", "c2"]).where("n_core > n").select("one.*").groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    windows = common.materialize(texts.join(left, "uid").select("uid", "text", "found").mapInArrow(_windows, "w1 long, w2 long, uid long, p long"), "windows")
-    same = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    single = windows.join(same, ["w1", "w2"], "left_semi").select("uid", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    whole = runs.join(classes.where("n > 1").select("c1", "c2", "f1", "f2"), ["c1", "c2", "f1", "f2"], "left_semi").select("uid", "lo", "hi")
+    """(key, lo, hi): ranges of window starts whose 400 bytes also start elsewhere among ``texts`` (key, text)."""
+    first = common.materialize(texts.select("key", "text").mapInArrow(_grams, "h long, key binary, at long, first long, last long"), "grams")
+    # Groupings are written before they are joined: a join of two plain exchanges is one that adaptive execution splits where a key is hot.
+    twice = common.materialize(first.groupBy("h").count().where("count > 1").select("h"), "twice")
+    found = first.join(twice, "h", "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "first", "last")).alias("found"))
+    runs = common.materialize(texts.join(found, "key").select("key", "text", "found").mapInArrow(_runs, "c1 long, c2 long, f1 long, f2 long, key binary, lo long, hi long"), "runs")
+    classes = common.materialize(runs.groupBy("c1", "c2", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one")), "classes")
+    cores = common.materialize(classes.groupBy("c1", "c2").count().where("count > 1").select("c1", "c2"), "cores")
+    left = classes.join(cores, ["c1", "c2"], "left_semi").select("one.*").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    windows = common.materialize(texts.join(left, "key").select("key", "text", "found").mapInArrow(_windows, "w1 long, w2 long, key binary, p long"), "windows")
+    same = common.materialize(windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "same")
+    single = windows.join(same, ["w1", "w2"], "left_semi").select("key", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    whole = runs.join(classes.where("n > 1").select("c1", "c2", "f1", "f2"), ["c1", "c2", "f1", "f2"], "left_semi").select("key", "lo", "hi")
     return whole.unionByName(single)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per document its bytes, removed bytes and runs, the digest of what is left, and the runs."""
     texts = units(docs)
-    found = repeated_windows(texts).groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    cut = texts.join(found, "uid", "left").select("key", "text", "copies", "found").mapInArrow(_cut, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    found = repeated_windows(texts).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    cut = texts.join(found, "key", "left").select("key", "text", "copies", "found").mapInArrow(_cut, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
     cut = common.materialize(cut, "cut")
     drop_units(texts)
     return docs.select("doc_id", common.text_key().alias("key")).join(cut, "key").drop("key")

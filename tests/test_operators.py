@@ -80,12 +80,12 @@ def test_snapshots(spark, tmp_path):
     assert lineage.snapshot_ids(files, "g", "path", "hash").first().snapshot_id != one
 
 
-@pytest.mark.parametrize(("seconds", "shown"), [(0.0, "0ms"), (0.85, "850ms"), (0.9996, "1.0s"), (3.2, "3.2s"), (59.94, "59.9s"), (59.96, "1m00s"), (125.0, "2m05s"), (3599.4, "59m59s"), (3599.6, "0h59m"), (3900.0, "1h05m"), (7380.0, "2h03m")])
+@pytest.mark.parametrize(("seconds", "shown"), [(0.0, "0ms"), (0.85, "850ms"), (0.999, "999ms"), (1.0, "1.0s"), (3.2, "3.2s"), (59.9, "59.9s"), (60.0, "1m00s"), (125.0, "2m05s"), (3599.0, "59m59s"), (3599.9, "59m59s"), (3600.0, "1h00m"), (3661.0, "1h01m"), (7384.0, "2h03m")])
 def test_durations(spark, seconds, shown):
     assert spark.range(1).select(text.format_duration(F.lit(seconds))).first()[0] == shown
 
 
-@pytest.mark.parametrize(("value", "shown"), [("plain", "plain"), ("", '""'), ("a b", '"a b"'), ('q"', '"q\\""'), ("a=b", '"a=b"'), ("l\n\t", '"l\\n\\t"'), ("back\\", '"back\\\\"')])
+@pytest.mark.parametrize(("value", "shown"), [("plain", "plain"), ("", '""'), ("a b", '"a b"'), ('q"', '"q\\""'), ("a=b", '"a=b"'), ("l\n\t", '"l\\n\\t"'), ("back\\", '"back\\\\"'), ("\x1b[0m\x85", '"\\x1b[0m\\x85"'), ("n\xa0b", "n\xa0b")])
 def test_log_values(spark, value, shown):
     assert spark.range(1).select(text.logfmt_value(F.lit(value))).first()[0] == shown
 
