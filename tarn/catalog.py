@@ -17,6 +17,7 @@ from tarn.operators import evolve, graph, grouping, keys, lineage, lookup
 from tarn.plans import steps
 from tarn.sources import results
 from tarn.sources.shared import shared_dir
+from tarn.streaming import leases
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,6 +89,24 @@ def revenue_step(sf_dir: str) -> RevenueByNation:
     return RevenueByNation(orders=of("orders"), revenue=OrderRevenue(lines=of("lineitem")), customers=CustomersByNation(customers=of("customer"), nations=of("nation")))
 
 
+class EventCounts(steps.Step):
+    source: Source
+
+    def build(self, spark, inputs):
+        counts = table(spark, self.source.folder, self.source.name).groupBy("event_type").agg(F.count("*").alias("n"))
+        return counts.select("event_type", F.when(F.col("n") >= 400, "done").otherwise("missing").alias("state"), "n")
+
+
+class EventCountsSeeded(steps.Step):
+    source: Source
+    least: int
+
+    migrations = (evolve.Moved("EventCountsSeeded", was="EventCounts"), evolve.Added("least", 400))
+
+    def build(self, spark, inputs):
+        raise NotImplementedError("only the older form can be built")
+
+
 class Published(steps.Step):
     """Some columns of a table, as a result of its own."""
 
@@ -245,6 +264,29 @@ def release_dependents(spark, sf_dir):
     return lookup.released(edges, completed, ["conv_id", "turn"], ["c_conv", "c_turn"])
 
 
+@query("""SELECT user_id, min(ts) AS taken, max(ts) AS last_beat, count(*) AS beats FROM
+(SELECT *, count(*) FILTER (first) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lease FROM
+(SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 21610 SECONDS, true) AS first FROM events)) GROUP BY user_id, lease""")
+def lease_sessions(spark, sf_dir):
+    """Events as heartbeats of their users' leases of six hours."""
+    return leases.leases(table(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", lifetime=21600)
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS start, count(DISTINCT event_id) AS attempts FROM events GROUP BY ALL")
+def attempts_by_day(spark, sf_dir):
+    return leases.attempts(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", "1 day")
+
+
+@query("""SELECT event_type, CASE WHEN n >= 400 THEN 'done' ELSE 'missing' END AS state, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)""")
+def reuse_across_forms(spark, sf_dir):
+    """A step whose class gained a field: results of its older form are linked, not built anew."""
+    root = f"{shared_dir(spark)}/results"
+    dataset = sf_dir.rstrip("/").rpartition("/")[2]
+    source = Source(dataset=dataset, name="events", folder=sf_dir)
+    steps.materialize(spark, EventCounts(source=source), root)
+    return steps.materialize(spark, EventCountsSeeded(source=source, least=400), root)
+
+
 # Groups, order, limits
 
 

@@ -35,11 +35,12 @@ class Added:
 
 @dataclass(frozen=True)
 class Retyped:
-    """Values stay as they are; ``to`` is the new storage type."""
+    """Values stay as they are; ``to`` is the new storage type, ``was`` the type as it was declared before."""
 
     field: str
     to: str
     breaking: bool = False
+    was: str | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
         if self.field not in df.columns:
@@ -49,10 +50,11 @@ class Retyped:
 
 @dataclass(frozen=True)
 class Moved:
-    """The class that the rows belong to has a new name."""
+    """The class that the rows belong to has a new name; ``was`` is the old one."""
 
     name: str
     breaking: bool = False
+    was: str | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.withColumn("class_name", F.lit(self.name))

@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
+import getpass
+import platform
+import subprocess
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@cache
+def git_facts() -> dict[str, object]:
+    """Commit, branch and whether there are changes, of the working folder; empty without a repository."""
+
+    def git(*args: str) -> str | None:
+        try:
+            done = subprocess.run(["git", *args], capture_output=True, text=True, timeout=10)
+        except (OSError, subprocess.TimeoutExpired):
+            return None
+        return done.stdout.strip() if done.returncode == 0 else None
+
+    commit = git("rev-parse", "HEAD")
+    return {"commit": commit, "branch": git("rev-parse", "--abbrev-ref", "HEAD"), "dirty": bool(git("status", "--porcelain"))} if commit else {}
+
+
+def environment_facts(spark: SparkSession) -> dict[str, object]:
+    """What ran a job, for the record beside its result."""
+    context = spark.sparkContext
+    return {"spark": spark.version, "python": platform.python_version(), "application": context.applicationId, "master": context.master, "host": platform.node(), "user": getpass.getuser(), "git": git_facts()}
+
+
 def merged(submitted: DataFrame, executed: DataFrame, key: str) -> DataFrame:
     """The two halves of each job's provenance, as structs."""
     a = submitted.select(key, F.struct(*(c for c in submitted.columns if c != key)).alias("submitted"))

@@ -5,6 +5,11 @@ parameters, other steps among them, give its key; fields marked with
 ``unkeyed`` stay out of it. ``materialize`` returns a scan of the published
 result, and builds and publishes it first if there is none. What a step reads
 is declared by its fields, so inputs are materialised before it.
+
+A class whose fields change declares ``migrations``, oldest first (see
+``tarn.plans.reuse``); results of its older forms are then found and linked
+instead of built anew, and results of forms that no migration explains are an
+error, so that a change of fields never recomputes by accident.
 """
 
 from __future__ import annotations
@@ -13,8 +18,9 @@ import dataclasses
 import hashlib
 import json
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import UTC, datetime
 from pathlib import PurePath
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,19 +61,43 @@ def keyed_fields(value) -> list[dataclasses.Field]:
     return [f for f in dataclasses.fields(value) if not f.metadata.get("unkeyed")]
 
 
+def canonical_json(data: object) -> str:
+    return json.dumps(data, sort_keys=True, separators=(",", ":"))
+
+
 def digest(data: object) -> str:
-    return hashlib.sha256(json.dumps(data, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:20]
+    return hashlib.sha256(canonical_json(data).encode()).hexdigest()[:20]
+
+
+def schema_key(fields: dict[str, str]) -> str:
+    return digest(fields)
+
+
+class Missing(LookupError):
+    """A result that was only to be loaded is not there."""
 
 
 class Step:
     """Base of steps; subclasses are frozen dataclasses."""
 
+    #: Declared changes of the class, oldest first.
+    migrations: ClassVar[tuple] = ()
+
     def build(self, spark: SparkSession, inputs: dict[str, DataFrame]) -> DataFrame:
         raise NotImplementedError
 
+    @classmethod
+    def declared(cls) -> dict[str, str]:
+        """The keyed fields and their types, as written."""
+        return {f.name: f.type if isinstance(f.type, str) else getattr(f.type, "__name__", str(f.type)) for f in keyed_fields(cls)}
+
     @classmethod
     def schema_key(cls) -> str:
-        return digest([[f.name, str(f.type)] for f in keyed_fields(cls)])
+        return schema_key(cls.declared())
+
+    def parameters(self) -> dict[str, str]:
+        """Each keyed field as canonical JSON."""
+        return {f.name: canonical_json(canonical(getattr(self, f.name))) for f in keyed_fields(self)}
 
     def key(self) -> str:
         """Name, schema digest and value digest; the code of ``build`` is no part of it."""
@@ -100,18 +130,73 @@ def closure(step: Step) -> Iterator[Step]:
     return visit(step)
 
 
+class Inputs(dict):
+    """A step's inputs by field; ``read`` has the keys of those that ``build`` took."""
+
+    def __init__(self, step: Step, found: dict[str, DataFrame]):
+        super().__init__(found)
+        self.keys_of, self.read = {name: s.key() for name, s in step.inputs().items()}, set()
+
+    def __getitem__(self, name: str) -> DataFrame:
+        self.read.add(self.keys_of[name])
+        return super().__getitem__(name)
+
+
 def materialize(spark: SparkSession, step: Step, root: str) -> DataFrame:
     """A scan of the step's published result; missing ones, inputs too, are built once."""
-    path = path_of(root, step)
-    if results.read_manifest(spark, path) is None:
-        inputs = {name: materialize(spark, s, root) for name, s in step.inputs().items()}
-        facts = {"key": step.key(), "inputs": sorted(s.key() for s in step.inputs().values()), "spark": spark.version}
-        results.publish(spark, step.build(spark, inputs), path, facts)
-    return results.load(spark, path)
+    return materialize_all(spark, [step], root)[0]
+
+
+def materialize_all(spark: SparkSession, wanted: list[Step], root: str) -> list[DataFrame]:
+    """Results in the order of ``wanted``; equal steps, and inputs that several share, are built once."""
+    from tarn.plans import reuse
+
+    found: dict[str, DataFrame] = {}
+
+    def ensure(step: Step) -> DataFrame:
+        key = step.key()
+        if key not in found:
+            path = reuse.find(spark, step, root)
+            if path is None:
+                build(spark, step, root, {name: ensure(s) for name, s in step.inputs().items()})
+                path = path_of(root, step)
+            found[key] = results.load(spark, path)
+        return found[key]
+
+    return [ensure(step) for step in wanted]
+
+
+def build(spark: SparkSession, step: Step, root: str, inputs: dict[str, DataFrame]) -> None:
+    """Build and publish one step, with the facts of the run beside the result."""
+    from tarn.operators.lineage import environment_facts
+
+    given, began = Inputs(step, inputs), datetime.now(UTC)
+    value = step.build(spark, given)
+    facts = {
+        "name": type(step).__qualname__, "schema": type(step).declared(), "parameters": step.parameters(), "key": step.key(),
+        "inputs": sorted(given.keys_of.values()), "read": sorted(given.read), "began": began.isoformat(), "run": environment_facts(spark),
+    }
+    results.publish(spark, value, path_of(root, step), facts)
+
+
+def load_existing(spark: SparkSession, wanted: list[Step], root: str) -> list[DataFrame]:
+    """Results that are there, in the order of ``wanted``; an error names all that are missing. Nothing is built."""
+    from tarn.plans import reuse
+
+    paths = [reuse.find(spark, s, root) for s in wanted]
+    if lost := sorted({s.key() for s, p in zip(wanted, paths) if p is None}):
+        raise Missing(", ".join(lost))
+    return [results.load(spark, p) for p in paths]
 
 
 def status(spark: SparkSession, step: Step, root: str) -> str:
-    return "done" if results.read_manifest(spark, path_of(root, step)) else "missing"
+    """``done`` (its own result, or one of an older form), ``stale`` (only results that no migration explains) or ``missing``."""
+    from tarn.plans import reuse
+
+    try:
+        return "missing" if reuse.find(spark, step, root) is None else "done"
+    except reuse.Stale:
+        return "stale"
 
 
 def explain(step: Step, depth: int = 99, indent: int = 0) -> str:

@@ -84,6 +84,18 @@ def publish(spark: SparkSession, value: object, path: str, facts: dict | None =
     return bool(first)
 
 
+def publish_link(spark: SparkSession, path: str, source: str, changes: list[str]) -> bool:
+    """A result that is another one's, by ``changes``. False if something is there already."""
+    fs, target = file_system(spark, path)
+    scratch = f"{path}.tmp-{uuid.uuid4().hex}"
+    write_text(spark, f"{scratch}/{MANIFEST}", json.dumps({"link": source, "changes": changes}))
+    fs.mkdirs(target.getParent())
+    first = not fs.exists(target) and fs.rename(file_system(spark, scratch)[1], target)
+    if not first:
+        fs.delete(file_system(spark, scratch)[1], True)
+    return bool(first)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, target = file_system(spark, path)
     out = fs.create(target, True)
