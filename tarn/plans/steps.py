@@ -17,7 +17,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from pathlib import PurePath
 from typing import ClassVar
@@ -32,8 +32,21 @@ def unkeyed(**options):
     return dataclasses.field(metadata={"unkeyed": True}, **options)
 
 
+#: Encoders of values of other types: a test, a name and a function to a plain parameter.
+ENCODERS: list[tuple[Callable[[object], bool], str, Callable[[object], object]]] = []
+
+
+def register_encoder(matches: Callable[[object], bool], name: str, encode: Callable[[object], object]) -> None:
+    """Let values for which ``matches`` holds be parameters; a value that two encoders claim is an error."""
+    ENCODERS.append((matches, name, encode))
+
+
 def canonical(value: object) -> object:
     """JSON data that tells apart what keys must tell apart: 1, 1.0, True, "1", lists, tuples and sets."""
+    if found := [(name, encode) for matches, name, encode in ENCODERS if matches(value)]:
+        if len(found) > 1:
+            raise TypeError(f"several encoders match {value!r}: {[name for name, _ in found]}")
+        return {"|custom": found[0][0], "|value": canonical(found[0][1](value))}
     if isinstance(value, Step):
         return {"|step": value.key()}
     if value is None or isinstance(value, (bool, int, float, str)):
@@ -54,9 +67,28 @@ def canonical(value: object) -> object:
         return {k: canonical(v) for k, v in value.items()}
     if dataclasses.is_dataclass(value) and not isinstance(value, type):
         return {"|fields": {f.name: canonical(getattr(value, f.name)) for f in keyed_fields(value)}, "|class": type(value).__qualname__}
+    if isinstance(value, type):
+        return {"|type": value.__qualname__}
     raise TypeError(f"not a parameter: {value!r}")
 
 
+def nested_steps(value: object, at: str) -> Iterator[tuple[str, Step]]:
+    """(place, step) for the steps within a parameter; what a step holds itself is its own."""
+    if isinstance(value, Step):
+        yield at, value
+    elif isinstance(value, dict):
+        for k, v in value.items():
+            yield from nested_steps(v, f"{at}/{k}")
+    elif isinstance(value, (list, tuple)):
+        for i, v in enumerate(value):
+            yield from nested_steps(v, f"{at}/{i}")
+    elif isinstance(value, (set, frozenset)):
+        yield from ((f"{at}/{s.key()}", s) for s in value if isinstance(s, Step))
+    elif dataclasses.is_dataclass(value) and not isinstance(value, type):
+        for f in dataclasses.fields(value):
+            yield from nested_steps(getattr(value, f.name), f"{at}/{f.name}")
+
+
 def keyed_fields(value) -> list[dataclasses.Field]:
     return [f for f in dataclasses.fields(value) if not f.metadata.get("unkeyed")]
 
@@ -105,7 +137,17 @@ class Step:
         return f"{type(self).__qualname__}:{self.schema_key()}:{digest(values)}"
 
     def inputs(self) -> dict[str, Step]:
-        return {f.name: v for f in dataclasses.fields(self) if isinstance(v := getattr(self, f.name), Step)}
+        """The steps among the parameters by place: ``field``, or ``field/0`` within a list. A class may add steps that it makes from its fields."""
+        return {at: s for f in dataclasses.fields(self) for at, s in nested_steps(getattr(self, f.name), f.name)}
+
+    def batch(self) -> tuple[object, int] | None:
+        """(group, most members) if missing steps of the class are built together by ``build_batch``."""
+        return None
+
+    @classmethod
+    def build_batch(cls, spark: SparkSession, members: list[Step], inputs: list[dict[str, DataFrame]]) -> list[DataFrame]:
+        """A result for each member, in order; they may share the work of one plan."""
+        raise NotImplementedError
 
     def __init_subclass__(cls, **options):
         super().__init_subclass__(**options)
@@ -148,17 +190,30 @@ def materialize(spark: SparkSession, step: Step, root: str) -> DataFrame:
 
 
 def materialize_all(spark: SparkSession, wanted: list[Step], root: str) -> list[DataFrame]:
-    """Results in the order of ``wanted``; equal steps, and inputs that several share, are built once."""
+    """Results in the order of ``wanted``; equal steps, and inputs that several share, are built once.
+
+    Missing steps that name a batch are built with others of their class and
+    group among ``wanted``, in the order in which they are first seen.
+    """
     from tarn.plans import reuse
 
     found: dict[str, DataFrame] = {}
+    groups: dict[tuple, list[Step]] = {}
+    for step in {s.key(): s for s in wanted}.values():
+        if step.batch() and reuse.find(spark, step, root) is None:
+            group, most = step.batch()
+            if type(most) is not int or most < 1:
+                raise ValueError(f"a batch holds at least one member, not {most!r}")
+            groups.setdefault((type(step), group, most), []).append(step)
+    together = {s.key(): members[i : i + k[2]] for k, members in groups.items() for i in range(0, len(members), k[2]) for s in members[i : i + k[2]]}
 
     def ensure(step: Step) -> DataFrame:
         key = step.key()
         if key not in found:
             path = reuse.find(spark, step, root)
             if path is None:
-                build(spark, step, root, {name: ensure(s) for name, s in step.inputs().items()})
+                members = together.get(key, [step])
+                build(spark, members, root, [{name: ensure(s) for name, s in m.inputs().items()} for m in members])
                 path = path_of(root, step)
             found[key] = results.load(spark, path)
         return found[key]
@@ -166,17 +221,22 @@ def materialize_all(spark: SparkSession, wanted: list[Step], root: str) -> list[
     return [ensure(step) for step in wanted]
 
 
-def build(spark: SparkSession, step: Step, root: str, inputs: dict[str, DataFrame]) -> None:
-    """Build and publish one step, with the facts of the run beside the result."""
+def build(spark: SparkSession, members: list[Step], root: str, inputs: list[dict[str, DataFrame]]) -> None:
+    """Build and publish one step, or the members of a batch, with the facts of the run beside each result."""
     from tarn.operators.lineage import environment_facts
 
-    given, began = Inputs(step, inputs), datetime.now(UTC)
-    value = step.build(spark, given)
-    facts = {
-        "name": type(step).__qualname__, "schema": type(step).declared(), "parameters": step.parameters(), "key": step.key(),
-        "inputs": sorted(given.keys_of.values()), "read": sorted(given.read), "began": began.isoformat(), "run": environment_facts(spark),
-    }
-    results.publish(spark, value, path_of(root, step), facts)
+    given, began = [Inputs(m, i) for m, i in zip(members, inputs)], datetime.now(UTC)
+    values = type(members[0]).build_batch(spark, members, given) if members[0].batch() else [members[0].build(spark, given[0])]
+    if len(values) != len(members):
+        raise ValueError(f"{len(members)} members gave {len(values)} results")
+    # What any member has read counts for all.
+    read = sorted(set().union(*(g.read for g in given)))
+    for step, own, value in zip(members, given, values):
+        facts = {
+            "name": type(step).__qualname__, "schema": type(step).declared(), "parameters": step.parameters(), "key": step.key(),
+            "inputs": sorted(own.keys_of.values()), "read": read, "began": began.isoformat(), "run": environment_facts(spark),
+        }
+        results.publish(spark, value, path_of(root, step), facts)
 
 
 def load_existing(spark: SparkSession, wanted: list[Step], root: str) -> list[DataFrame]:

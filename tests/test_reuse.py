@@ -124,3 +124,55 @@ def test_shared_inputs_and_what_was_read(spark, tmp_path):
     facts = {r.key: r for r in reuse.catalog(spark, root).collect()}
     first = facts[wanted[0].key()]
     assert first.inputs == sorted([a.key(), b.key()]) and first.read == [a.key()]
+
+
+class Sized(steps.Step):
+    n: int
+    group: str = "g"
+
+    def batch(self):
+        return self.group, 2
+
+    @classmethod
+    def build_batch(cls, spark, members, inputs):
+        BUILT.append([m.n for m in members])
+        return [spark.range(m.n) for m in members]
+
+
+def test_batches(spark, tmp_path):
+    BUILT.clear()
+    root = str(tmp_path)
+    steps.materialize(spark, Sized(n=3), root)
+    wanted = [Sized(n=n) for n in (1, 2, 3, 4, 5)] + [Sized(n=6, group="h"), Sized(n=1)]
+    assert [df.count() for df in steps.materialize_all(spark, wanted, root)] == [1, 2, 3, 4, 5, 6, 1]
+    assert BUILT == [[3], [1, 2], [4, 5], [6]]
+
+
+class Several(steps.Step):
+    parts: tuple
+    named: dict
+
+    def inputs(self):
+        return super().inputs() | {"made": Leaf(n=len(self.parts) + 7)}
+
+    def build(self, spark, inputs):
+        return inputs["parts/0"].union(inputs["named/x"]).union(inputs["made"])
+
+
+def test_nested_and_computed_inputs(spark, tmp_path):
+    step = Several(parts=(Leaf(n=1), 5, [Leaf(n=2)]), named={"x": Leaf(n=4)})
+    assert sorted(step.inputs()) == ["made", "named/x", "parts/0", "parts/2/0"]
+    assert steps.materialize(spark, step, str(tmp_path)).count() == 15
+
+
+def test_encoders():
+    with pytest.raises(TypeError):
+        Leaf(n=1j).key()
+    steps.register_encoder(lambda v: isinstance(v, complex), "complex", lambda v: [v.real, v.imag])
+    try:
+        assert Leaf(n=1j).key() == Leaf(n=1j).key() != Leaf(n=2j).key()
+        steps.register_encoder(lambda v: v == 1j, "also", str)
+        with pytest.raises(TypeError):
+            Leaf(n=1j).key()
+    finally:
+        steps.ENCODERS.clear()
