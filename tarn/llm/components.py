@@ -8,29 +8,33 @@ from pyspark.sql import functions as F
 from tarn.llm import common
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node links to one lesser node that links to none itself."""
+    ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    node = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not node.where(F.col("up") + F.col("down") > 1).agg(F.count("*")).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b); label is the component's least node.
 
     Alternating large-star and small-star steps: each links the neighbours of
-    a node to the least of them, so that every component ends as a star. A
-    star with very many leaves is a skewed join key, which adaptive execution
-    splits. Each round is written to the shared folder, and only a count and a
-    checksum of it reach the driver.
+    a node to the least of them, so that every component ends as a star, which
+    one grouping confirms. A star's links meet in one task of each join, as
+    rows of two numbers that pass through it and are not gathered. Each round
+    is written to the shared folder; only a count reaches the driver.
     """
     edges = common.materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Every link now points to a lesser node.
+        # One row for each link, all of which now point to a lesser node.
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after = common.materialize(small, "links")
+        ends = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+        after = common.materialize(large.join(least, "u").select(ends).select("e.*").where("u <> v").distinct(), "links")
         common.discard(edges)
         edges = after
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state or not now[0]:
+        if _is_stars(edges):
             break
-        state = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
