@@ -1,7 +1,7 @@
 """Operator 1, SentencePiece encoding and decoding: N-best segmentation.
 
-Forward Viterbi over the lattice of pieces gives the best score of every
-prefix. Search then runs backward from the end: a partial path's priority is
+One Aho-Corasick automaton finds all pieces in a word, which are the arcs of
+its lattice. Forward Viterbi over them gives the best score of every prefix. Search then runs backward from the end: a partial path's priority is
 its own score plus the best score of the prefix before it, which is exact, so
 that A* pops whole segmentations in falling order of score.
 
@@ -23,9 +23,13 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
+from operator import attrgetter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,31 +56,30 @@ class Lattice:
     """The pieces of a model and the search over them."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int]):
+        import ahocorasick
+
         self.pieces = pieces
         self.byte_ids = byte_ids
-        self.longest = max(map(len, pieces))
         self.unknown = min(s for _, s in pieces.values()) - UNKNOWN
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("a piece goes over the start of a word")
+        self.automaton = ahocorasick.Automaton()
+        for piece, (i, score) in pieces.items():
+            self.automaton.add_word(piece, (len(piece) - 1, score, (i,)))
+        self.automaton.make_automaton()
 
     def arcs(self, word: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
-        """For each end: (start, score, ids) of the arcs there; and the best score of each prefix."""
+        """For each end: (start, score, ids) of the arcs there, longest first; and the best score of each prefix."""
         n = len(word)
         arcs: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        best = [0.0] + [-np.inf] * n
-        get = self.pieces.get
+        for last, (before, score, ids) in self.automaton.iter(word):
+            arcs[last + 1].append((last - before, score, ids))
+        best = [0.0] * (n + 1)
         for end in range(1, n + 1):
-            here, top = arcs[end], -np.inf
-            for start in range(max(0, end - self.longest), end):
-                found = get(word[start:end])
-                if found:
-                    here.append((start, found[1], (found[0],)))
-                    top = max(top, best[start] + found[1])
+            here = arcs[end]
             if not here or here[-1][0] != end - 1:
-                ids = tuple(self.byte_ids[b] for b in word[end - 1].encode())
-                here.append((end - 1, self.unknown, ids))
-                top = max(top, best[end - 1] + self.unknown)
-            best[end] = top
+                here.append((end - 1, self.unknown, tuple(self.byte_ids[b] for b in word[end - 1].encode())))
+            best[end] = max([best[start] + score for start, score, _ in here])
         return arcs, best
 
     def nbest(self, word: str, n: int) -> list[Segmentation]:
@@ -120,48 +123,83 @@ def model(path: str) -> tuple[Lattice, list[bytes]]:
     return Lattice(pieces, byte_ids), raw
 
 
+class Word(NamedTuple):
+    """A word's best score, what its second choice costs more, each choice's score and ids, and packed ids and bytes of the first."""
+
+    score: float
+    second: float
+    scores: list[float]
+    ids: list[tuple[int, ...]]
+    packed: bytes
+    raw: bytes
+
+
 class Encoder:
-    def __init__(self, lattice: Lattice, n: int):
-        self.lattice, self.n = lattice, n
-        self.known: dict[str, tuple[float, tuple[int, ...], float, list[Segmentation]]] = {}
-
-    def word(self, word: str) -> tuple[float, tuple[int, ...], float, list[Segmentation]]:
-        """Best score, its ids, what the second choice costs more, and all choices."""
-        found = self.known.get(word)
-        if found is None:
-            choices = self.lattice.nbest(word, self.n)
-            second = choices[0][0] - choices[1][0] if len(choices) > 1 else np.inf
-            found = (*choices[0], second, choices)
-            if len(word) <= 64:
-                if len(self.known) >= WORDS:
-                    self.known.clear()
-                self.known[word] = found
+    """Segments texts; each distinct word is searched once, and its forms are kept ready to be joined."""
+
+    def __init__(self, lattice: Lattice, raw: list[bytes], n: int):
+        self.lattice, self.raw, self.n = lattice, raw, n
+        self.known: dict[str, Word] = {}
+
+    def word(self, word: str) -> Word:
+        choices = self.lattice.nbest(word, self.n)
+        second = choices[0][0] - choices[1][0] if len(choices) > 1 else np.inf
+        ids = [i for _, i in choices]
+        found = Word(choices[0][0], second, [s for s, _ in choices], ids, pack(ids[0]), self.decoded(ids[0]))
+        if len(word) <= 64:
+            if len(self.known) >= WORDS:
+                self.known.clear()
+            self.known[word] = found
         return found
 
-    def nbest(self, text: str | None) -> list[Segmentation]:
-        """The n best segmentations of a text, best first."""
+    def decoded(self, ids: tuple[int, ...]) -> bytes:
+        return b"".join([self.raw[i] for i in ids])
+
+    def choose(self, text: str | None) -> tuple[list[Word], list[tuple[float, dict[int, int]]]]:
+        """The words of a text, and of its n best segmentations, best first, the score and the words that take another choice than their first."""
         words = WORD.findall(MARK + text.replace(" ", MARK)) if text else []
-        known = self.known
-        found = [known.get(w) or self.word(w) for w in words]
-        total = sum(f[0] for f in found)
-        whole = [i for f in found for i in f[1]]
+        known = self.known.get
+        found = [known(w) or self.word(w) for w in words]
+        total = sum(map(SCORE, found))
         if self.n == 1 or not found:
-            return [(total, tuple(whole))]
-        seconds = np.fromiter((f[2] for f in found), float, len(found))
-        cheap = np.argsort(seconds, kind="stable")[: self.n - 1].tolist()
-        # (loss, {word: choice}) of the best combinations so far
+            return found, [(total, {})]
+        seconds = np.fromiter(map(SECOND, found), float, len(found))
+        # Only the words whose second choice costs least can differ; of equal ones the first.
+        if len(seconds) > self.n:
+            limit = np.partition(seconds, self.n - 2)[self.n - 2]
+            near = np.flatnonzero(seconds <= limit)
+            cheap = near[np.argsort(seconds[near], kind="stable")[: self.n - 1]].tolist()
+        else:
+            cheap = np.argsort(seconds, kind="stable")[: self.n - 1].tolist()
+        # (loss, ((word, choice), ...)) of the best combinations so far
         best: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
         for w in cheap:
-            top, choices = found[w][0], found[w][3]
-            new = [(loss + top - c[0], how + ((w, k),) * (k > 0)) for loss, how in best for k, c in enumerate(choices)]
+            top, scores = found[w].score, found[w].scores
+            new = [(loss + top - c, how + ((w, k),) * (k > 0)) for loss, how in best for k, c in enumerate(scores)]
             best = heapq.nsmallest(self.n, new, key=lambda x: x[0])
-        out = []
-        for loss, how in best:
-            if how:
-                change = dict(how)
-                whole = [i for k, f in enumerate(found) for i in (f[3][change[k]][1] if k in change else f[1])]
-            out.append((total - loss, tuple(whole)))
-        return out
+        return found, [(total - loss, dict(how)) for loss, how in best]
+
+    def nbest(self, text: str | None) -> list[Segmentation]:
+        """The n best segmentations of a text, best first."""
+        found, best = self.choose(text)
+        return [(score, tuple(chain.from_iterable(chosen([f.ids[0] for f in found], found, tuple, change)))) for score, change in best]
+
+
+SCORE, SECOND = attrgetter("score"), attrgetter("second")
+
+
+def pack(ids: tuple[int, ...]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def chosen(first: list, found: list[Word], form: Callable, change: dict[int, int]) -> list:
+    """``first``, which has a form of each word's first choice, with that of the changed words' ids."""
+    if not change:
+        return first
+    out = first.copy()
+    for at, k in change.items():
+        out[at] = form(found[at].ids[k])
+    return out
 
 
 def decode(ids, raw: list[bytes]) -> str:
@@ -179,7 +217,7 @@ def encode_nbest(df: DataFrame, n: int = 4, text: str = "text", out: str = "nbes
     keep = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model(path)[0], n)
+        encoder = Encoder(*model(path), n)
         kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
         for b in batches:
             found = [[{"score": s, "ids": list(i)} for s, i in encoder.nbest(t)] for t in b.column(text).to_pylist()]
@@ -211,16 +249,17 @@ def nbest_digests(docs: DataFrame, n: int = 4, path: str | None = None) -> DataF
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, raw = model(path)
-        encoder = Encoder(lattice, n)
+        encoder = Encoder(*model(path), n)
         for b in batches:
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                found = encoder.nbest(text)
-                packed = [np.array(i, "<u4").tobytes() for _, i in found]
-                want = (text or "").replace(MARK, " ")
-                same = all(decode(i, raw) == want for _, i in found)
-                rows.append((doc, len(found[0][1]), [s for s, _ in found], zlib.crc32(packed[0]), zlib.crc32(b"".join(packed)), same))
+                found, best = encoder.choose(text)
+                ids, raws = [f.packed for f in found], [f.raw for f in found]
+                packed = [b"".join(chosen(ids, found, pack, change)) for _, change in best]
+                # The first word's mark is no part of the text.
+                want = (text or "").replace(MARK, " ").encode()
+                same = b"".join(raws)[1:] == want and all(encoder.decoded(found[at].ids[k]) == raws[at] for _, change in best for at, k in change.items())
+                rows.append((doc, len(packed[0]) // 4, [s for s, _ in best], zlib.crc32(packed[0]), zlib.crc32(b"".join(packed)), same))
             types = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.bool_()]
             names = ["doc_id", "n_pieces", "scores", "ids_crc32", "nbest_crc32", "round_trip"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, types)], names=names)

@@ -39,7 +39,7 @@ def test_texts_combine_words(real):
         marked = "▁" + text.replace(" ", "▁")
         want = all_segmentations(lattice, marked)
         for n in (1, 2, 5):
-            got = pieces.Encoder(lattice, n).nbest(text)
+            got = pieces.Encoder(lattice, raw, n).nbest(text)
             assert [s for s, _ in got] == [s for s, _ in want[:n]] and set(got) <= set(want)
             assert all(pieces.decode(i, raw) == text for _, i in got)
 
