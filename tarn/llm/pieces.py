@@ -3,7 +3,9 @@
 One Aho-Corasick automaton finds all pieces in a word, which are the arcs of
 its lattice. Forward Viterbi over them gives the best score of every prefix. Search then runs backward from the end: a partial path's priority is
 its own score plus the best score of the prefix before it, which is exact, so
-that A* pops whole segmentations in falling order of score.
+that A* pops whole segmentations in falling order of score. Of equal ones the
+place nearest to the start is popped first, and no place more than ``n`` times,
+as none of the ``n`` best takes a later path to it: pops are at most ``n`` a place.
 
 No piece goes over the start of a word (a run of word marks and what follows),
 so a text's lattice is that of its words in a row: each distinct word is
@@ -85,11 +87,16 @@ class Lattice:
     def nbest(self, word: str, n: int) -> list[Segmentation]:
         arcs, best = self.arcs(word)
         out: list[Segmentation] = []
-        # (-priority, order, place, score so far, path as a chain)
-        queue = [(-best[-1], 0, len(word), 0.0, None)]
+        # (-priority, place, -score so far, order, path as a chain)
+        queue = [(-best[-1], len(word), 0.0, 0, None)]
         order = 0
+        pops = [0] * (len(word) + 1)
         while queue and len(out) < n:
-            _, _, at, score, path = heapq.heappop(queue)
+            _, at, score, _, path = heapq.heappop(queue)
+            if pops[at] == n:
+                continue
+            pops[at] += 1
+            score = -score
             if not at:
                 ids: list[int] = []
                 while path:
@@ -98,8 +105,9 @@ class Lattice:
                 out.append((score, tuple(ids)))
                 continue
             for start, cost, ids in arcs[at]:
-                order += 1
-                heapq.heappush(queue, (-(score + cost + best[start]), order, start, score + cost, (ids, path)))
+                if pops[start] < n:
+                    order += 1
+                    heapq.heappush(queue, (-(score + cost + best[start]), start, -(score + cost), order, (ids, path)))
         return out
 
 

@@ -55,3 +55,33 @@ def test_columns(spark, rng):
     assert all(r.round_trip for r in got) and len(got) == 7
     assert [r.scores for r in got if r.doc_id == 1] == [[0.0]]
     assert pieces.nbest_digests(df.limit(0)).count() == 0
+
+
+def slow_scores(lattice, word, n):
+    """The n best scores, from the n best of each suffix."""
+    best = [[] for _ in word] + [[0.0]]
+    for start in reversed(range(len(word))):
+        arcs = [(end, lattice.pieces[word[start:end]][1]) for end in range(start + 1, min(len(word), start + 64) + 1) if word[start:end] in lattice.pieces]
+        if word[start] not in lattice.pieces:
+            arcs.append((start + 1, lattice.unknown))
+        best[start] = sorted((s + cost for end, cost in arcs for s in best[end]), reverse=True)[:n]
+    return best[0]
+
+
+def test_runs_of_equal_characters(real, monkeypatch):
+    lattice, raw = real
+    for word in ("▁" + "-" * 83, "a" * 301, "▁" + "." * 150, "▁" + "ab" * 100, "一" * 90):
+        got = lattice.nbest(word, 4)
+        assert [s for s, _ in got] == slow_scores(lattice, word, 4) and len(set(got)) == len(got)
+    pushed, push = [0], pieces.heapq.heappush
+
+    def counted(queue, entry):
+        pushed[0] += 1
+        assert pushed[0] < 1_000_000
+        push(queue, entry)
+
+    monkeypatch.setattr(pieces.heapq, "heappush", counted)
+    for c in "-a.":
+        pushed[0] = 0
+        text = c * 20_000
+        assert all(pieces.decode(i, raw) == text for _, i in pieces.Encoder(lattice, raw, 4).nbest(text))
