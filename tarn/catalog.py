@@ -45,13 +45,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Source:
-    """A table of a data set; where it lies is no part of its identity."""
+    """A table of a data set, as its files are now; a change of any gives another key."""
 
     dataset: str
     name: str
+    files: str
     folder: str = steps.unkeyed(default="")
 
 
+def files_digest(spark: SparkSession, path: str) -> str:
+    """A digest of path, size and time of each file at ``path``; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    facts = F.sort_array(F.collect_list(F.struct("path", "length", F.unix_micros("modificationTime"))))
+    return files.agg(F.sha2(F.to_json(facts), 256)).first()[0]
+
+
+def source(spark: SparkSession, sf_dir: str, name: str) -> Source:
+    dataset = sf_dir.rstrip("/").rpartition("/")[2]
+    return Source(dataset=dataset, name=name, files=files_digest(spark, f"{sf_dir}/{name}.parquet"), folder=sf_dir)
+
+
 class OrderRevenue(steps.Step):
     lines: Source
 
@@ -83,9 +96,8 @@ class RevenueByNation(steps.Step):
         )
 
 
-def revenue_step(sf_dir: str) -> RevenueByNation:
-    dataset = sf_dir.rstrip("/").rpartition("/")[2]
-    of = lambda name: Source(dataset=dataset, name=name, folder=sf_dir)
+def revenue_step(spark: SparkSession, sf_dir: str) -> RevenueByNation:
+    of = lambda name: source(spark, sf_dir, name)
     return RevenueByNation(orders=of("orders"), revenue=OrderRevenue(lines=of("lineitem")), customers=CustomersByNation(customers=of("customer"), nations=of("nation")))
 
 
@@ -119,8 +131,7 @@ class Published(steps.Step):
 
 def published(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table written as a result and scanned from there."""
-    dataset = sf_dir.rstrip("/").rpartition("/")[2]
-    step = Published(source=Source(dataset=dataset, name=name, folder=sf_dir), columns=tuple(table(spark, sf_dir, name).columns))
+    step = Published(source=source(spark, sf_dir, name), columns=tuple(table(spark, sf_dir, name).columns))
     return steps.materialize(spark, step, f"{shared_dir(spark)}/results")
 
 
@@ -129,7 +140,7 @@ SELECT n_name, CAST(sum(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 GROUP BY n_name""")
 def revenue_by_nation(spark, sf_dir):
-    return steps.materialize(spark, revenue_step(sf_dir), f"{shared_dir(spark)}/results")
+    return steps.materialize(spark, revenue_step(spark, sf_dir), f"{shared_dir(spark)}/results")
 
 
 @query("SELECT * FROM lineitem")
@@ -145,7 +156,7 @@ def array_leaf_roundtrip(spark, sf_dir):
 @query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
 def result_tree_roundtrip(spark, sf_dir):
     """A result with a scalar, a list and a table, published and loaded."""
-    path = f"{shared_dir(spark)}/results/tree/{sf_dir.rstrip('/').rpartition('/')[2]}"
+    path = f"{shared_dir(spark)}/results/tree/{sf_dir.rstrip('/').rpartition('/')[2]}-{files_digest(spark, f'{sf_dir}/nation.parquet')[:20]}"
     if results.read_manifest(spark, path) is None:
         results.publish(spark, {"scale": 1, "tables": [table(spark, sf_dir, "nation")]}, path)
     return results.load(spark, path)["tables"][0].groupBy("n_regionkey").agg(F.count("*").alias("n"))
@@ -281,10 +292,9 @@ def attempts_by_day(spark, sf_dir):
 def reuse_across_forms(spark, sf_dir):
     """A step whose class gained a field: results of its older form are linked, not built anew."""
     root = f"{shared_dir(spark)}/results"
-    dataset = sf_dir.rstrip("/").rpartition("/")[2]
-    source = Source(dataset=dataset, name="events", folder=sf_dir)
-    steps.materialize(spark, EventCounts(source=source), root)
-    return steps.materialize(spark, EventCountsSeeded(source=source, least=400), root)
+    events = source(spark, sf_dir, "events")
+    steps.materialize(spark, EventCounts(source=events), root)
+    return steps.materialize(spark, EventCountsSeeded(source=events, least=400), root)
 
 
 # Groups, order, limits
