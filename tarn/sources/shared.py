@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session has none, a folder of this machine."""
+    """``spark.checkpoint.dir``. Where it is unset, a local session gets a folder of this machine; a cluster has none that its executors could read."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tarn-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master, application = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
+    if application not in _OWN:
+        _OWN[application] = tempfile.mkdtemp(prefix="tarn-")
+    return _OWN[application]
 
 
 def file_system(spark: SparkSession, path: str):
