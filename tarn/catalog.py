@@ -119,6 +119,46 @@ class EventCountsSeeded(steps.Step):
         raise NotImplementedError("only the older form can be built")
 
 
+@dataclass(frozen=True)
+class Span:
+    days: int
+
+
+@dataclass(frozen=True)
+class SpanFrom:
+    """``Span`` with a field that it did not have."""
+
+    days: int
+    first: int
+
+    migrations = (evolve.Moved("SpanFrom", was="Span"), evolve.Added("first", 0))
+
+
+class UsersBySpan(steps.Step):
+    source: Source
+    span: Span
+
+    def build(self, spark, inputs):
+        start = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (86400 * self.span.days)) * 86400 * self.span.days)
+        return table(spark, self.source.folder, self.source.name).groupBy(start.cast("timestamp_ntz").alias("start")).agg(F.count_distinct("user_id").alias("users"))
+
+
+class UsersBySpanFrom(steps.Step):
+    source: Source
+    span: SpanFrom
+
+    migrations = (evolve.Moved("UsersBySpanFrom", was="UsersBySpan"),)
+
+    def build(self, spark, inputs):
+        raise NotImplementedError("only the older form can be built")
+
+
+@steps.step
+def nations_of(spark: SparkSession, nations: Source, region: int = 0) -> DataFrame:
+    """The nations of a region, as a step written as a function."""
+    return table(spark, nations.folder, nations.name).where(F.col("n_regionkey") == region).select("n_nationkey", "n_name")
+
+
 class Published(steps.Step):
     """Some columns of a table, as a result of its own."""
 
@@ -297,6 +337,53 @@ def reuse_across_forms(spark, sf_dir):
     return steps.materialize(spark, EventCountsSeeded(source=events, least=400), root)
 
 
+@query("SELECT event_type, CASE WHEN n >= 400 THEN 'done' ELSE 'missing' END AS state, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)")
+def step_restored(spark, sf_dir):
+    """A step rebuilt from the record beside its result, with name, schema and values checked; it finds that result."""
+    root, step = f"{shared_dir(spark)}/results", EventCounts(source=source(spark, sf_dir, "events"))
+    steps.materialize(spark, step, root)
+    again = steps.restored_from(spark, steps.path_of(root, step))
+    if again != step:
+        raise AssertionError(f"{again} is not {step}")
+    return steps.load_existing(spark, [again], root)[0]
+
+
+@query("SELECT time_bucket(INTERVAL 2 DAYS, ts, TIMESTAMP '1970-01-01') AS start, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+def reuse_within(spark, sf_dir):
+    """A record within a step's parameters gained a field: the step's older result is found by its record in the present form."""
+    root, events = f"{shared_dir(spark)}/results", source(spark, sf_dir, "events")
+    steps.materialize(spark, UsersBySpan(source=events, span=Span(days=2)), root)
+    return steps.materialize(spark, UsersBySpanFrom(source=events, span=SpanFrom(days=2, first=0)), root)
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+def function_step(spark, sf_dir):
+    return steps.materialize(spark, nations_of(nations=source(spark, sf_dir, "nation"), region=2), f"{shared_dir(spark)}/results")
+
+
+@dataclass(frozen=True)
+class RegionReport:
+    """A result with typed parts."""
+
+    title: str
+    regions: tuple
+    tags: frozenset
+    nations: results.Ref
+
+
+@query("SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def typed_result_roundtrip(spark, sf_dir):
+    """A record with a tuple that holds a table, a set and a part that is read when asked for, published and loaded."""
+    path = f"{shared_dir(spark)}/results/report/{files_digest(spark, f'{sf_dir}/nation.parquet')[:20]}-{files_digest(spark, f'{sf_dir}/region.parquet')[:20]}"
+    if results.read_manifest(spark, path) is None:
+        report = RegionReport("regions", (1, table(spark, sf_dir, "region")), frozenset({"b", "a"}), results.ref(table(spark, sf_dir, "nation")))
+        results.publish(spark, report, path)
+    back = results.load(spark, path)
+    if (type(back), back.title, back.regions[0], back.tags) != (RegionReport, "regions", 1, frozenset({"a", "b"})):
+        raise AssertionError(back)
+    return back.nations.load().join(back.regions[1], F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
+
+
 # Groups, order, limits
 
 

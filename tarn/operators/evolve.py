@@ -50,11 +50,12 @@ class Retyped:
 
 @dataclass(frozen=True)
 class Moved:
-    """The class that the rows belong to has a new name; ``was`` is the old one."""
+    """The class that the rows belong to has a new name; ``was`` is the old one, in ``was_module`` if not in the same module."""
 
     name: str
     breaking: bool = False
     was: str | None = None
+    was_module: str | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.withColumn("class_name", F.lit(self.name))
@@ -116,18 +117,23 @@ def newest_match(targets: DataFrame, sources: DataFrame, on: list[str], generati
     return targets.join(best, on).withColumn("source", F.col("_best.name")).withColumn("generation", -F.col("_best.g")).drop("_best")
 
 
-def final_links(links: DataFrame, most: int = 64) -> DataFrame:
-    """(current, source): chains of links collapsed to their last source, by doubling."""
-    from tarn.sources.shared import written
+def final_links(links: DataFrame) -> DataFrame:
+    """(current, source): chains of links collapsed to their last source, by doubling.
+
+    After k rounds each link spans 2 ** k old ones, so the longest possible
+    chain bounds the rounds; links that still go on are a cycle, an error.
+    """
+    from tarn.sources.shared import discard, written
 
     now = written(links.select("current", "source"), "links")
-    for _ in range(most):
+    for _ in range(now.count().bit_length() + 1):
         onward = now.select(F.col("current").alias("source"), F.col("source").alias("next"))
         step = now.join(onward, "source", "left")
         if step.where("next is not null").isEmpty():
-            break
-        now = written(step.select("current", F.coalesce("next", "source").alias("source")), "links")
-    return now
+            return now
+        now, before = written(step.select("current", F.coalesce("next", "source").alias("source")), "links"), now
+        discard(before)
+    raise ValueError("links form a cycle")
 
 
 def fields(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

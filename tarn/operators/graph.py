@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.sources.shared import written
+from tarn.sources.shared import discard, written
+
+#: Levels after which what was reached is written in one table again.
+JOINED = 8
 
 
 def closure(roots: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -> DataFrame:
@@ -13,20 +16,28 @@ def closure(roots: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -
 
     ``roots`` has root, ``edges`` parent and child; nodes in ``stop`` (node)
     are not gone into, and are left out. Each level is a join of the frontier
-    with the edges; a node seen before is dropped, so cycles end.
+    with the edges; a node seen before is dropped, so cycles end. There are as
+    many rounds as the longest of the shortest paths is long.
     """
     front = roots.select("root", F.col("root").alias("node"))
     if stop is not None:
         front = front.join(stop, "node", "left_anti").select("root", "node")
     seen = written(front.distinct().withColumn("depth", F.lit(0)), "closure")
-    front, depth = seen, 0
+    front, depth, levels = seen, 0, [seen]
     while not front.isEmpty():
         depth += 1
         step = front.join(edges, front.node == edges.parent).select("root", F.col("child").alias("node")).distinct()
         if stop is not None:
             step = step.join(stop, "node", "left_anti").select("root", "node")
         front = written(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
+        levels.append(front)
         seen = seen.unionByName(front)
+        if len(levels) > JOINED:
+            seen = written(seen, "closure")
+            # The frontier is read once more.
+            for df in levels[:-1]:
+                discard(df)
+            levels = [seen, front]
     return seen
 
 
@@ -38,7 +49,8 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     """
     left, n = edges.select("parent", "child").distinct(), -1
     while True:
-        left = written(left, "cycles")
+        left, before = written(left, "cycles"), left
+        discard(before)
         now = left.count()
         if now in (n, 0):
             return left.select(F.col("parent").alias("node")).distinct()

@@ -1,11 +1,19 @@
-"""Lineage: provenance halves, snapshots of files, and reconciling tracked jobs."""
+"""Lineage: provenance halves, snapshots of files, and reconciling tracked jobs.
+
+``file_hashes`` reads whole files, of up to 2 GB each, as Spark's binary source does.
+"""
 
 from __future__ import annotations
 
 import getpass
+import hashlib
+import os
 import platform
 import subprocess
+import sys
+from datetime import UTC, datetime
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +34,34 @@ def git_facts() -> dict[str, object]:
     return {"commit": commit, "branch": git("rev-parse", "--abbrev-ref", "HEAD"), "dirty": bool(git("status", "--porcelain"))} if commit else {}
 
 
-def environment_facts(spark: SparkSession) -> dict[str, object]:
-    """What ran a job, for the record beside its result."""
+#: Files that pin what a project runs with.
+MANIFESTS = ("pyproject.toml", "requirements.txt", "uv.lock", "poetry.lock", "environment.yml")
+
+
+@cache
+def project_facts() -> dict[str, object]:
+    """The nearest folder from the working folder up that has one of ``MANIFESTS``, with their digests; empty if there is none."""
+    here = Path.cwd()
+    for folder in (here, *here.parents):
+        if found := {name: hashlib.sha256((folder / name).read_bytes()).hexdigest() for name in MANIFESTS if (folder / name).is_file()}:
+            return {"folder": str(folder), "files": found}
+    return {}
+
+
+def submitted_facts(spark: SparkSession) -> dict[str, object]:
+    """Who asked for a result, from where, and with what code: the driver's half of its provenance."""
+    return {"user": getpass.getuser(), "host": platform.node(), "folder": os.getcwd(), "command": sys.argv, "python": platform.python_version(), "at": datetime.now(UTC).isoformat(), "git": git_facts(), "project": project_facts()}
+
+
+def executed_facts(spark: SparkSession) -> dict[str, object]:
+    """What computed it: Spark's half."""
     context = spark.sparkContext
-    return {"spark": spark.version, "python": platform.python_version(), "application": context.applicationId, "master": context.master, "host": platform.node(), "user": getpass.getuser(), "git": git_facts()}
+    return {"spark": spark.version, "application": context.applicationId, "master": context.master, "parallelism": context.defaultParallelism, "at": datetime.now(UTC).isoformat()}
+
+
+def environment_facts(spark: SparkSession) -> dict[str, object]:
+    """Both halves in one record."""
+    return executed_facts(spark) | submitted_facts(spark)
 
 
 def merged(submitted: DataFrame, executed: DataFrame, key: str) -> DataFrame:

@@ -40,15 +40,20 @@ def eligible(jobs: DataFrame, workers: DataFrame, ranges: dict[str, tuple[str, s
     """For each worker the jobs whose ranges it satisfies.
 
     ``ranges`` names a worker's resource and the two columns of its bounds in
-    ``jobs``. Jobs are first grouped by what they ask for (``need``), which is
-    a small table whatever the number of jobs, and only those kinds meet the
-    workers; the jobs of a kind are then an equality away.
+    ``jobs``. Jobs are first grouped by what they ask for (``need``) and workers
+    by what they have, so that only the different requests meet the different
+    offers, whatever the number of jobs and workers; both are an equality away.
     """
     kinds = jobs.groupBy(*need).agg(F.count("*").alias("jobs"))
     fits = F.lit(True)
     for resource, (low, high) in ranges.items():
         fits = fits & satisfies(F.col(resource), F.col(low), F.col(high))
-    return kinds.join(workers, fits)
+    same = F.lit(True)
+    offers = workers.select(*(F.col(r).alias(f"_{r}") for r in ranges)).distinct()
+    for resource in ranges:
+        same = same & workers[resource].eqNullSafe(F.col(f"_{resource}"))
+    met = kinds.join(offers.select("*", *(F.col(f"_{r}").alias(r) for r in ranges)), fits).drop(*ranges)
+    return met.join(workers, same).drop(*(f"_{r}" for r in ranges))
 
 
 def ready(nodes: DataFrame, edges: DataFrame, incomplete: DataFrame, key: str, parent: str, child: str) -> DataFrame:

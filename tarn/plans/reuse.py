@@ -5,20 +5,31 @@ A class lists its changes, oldest first, as steps of ``tarn.operators.evolve``:
 and ``Rewritten``. Walking them backward gives the name and the fields of every
 older form, and so where its results lie. Parameters of stored results are a
 table (one row a result, each field as canonical JSON); migrated, the row that
-equals the wanted step's parameters is its result. A link is then published in
-its place, so that the search is made once; no data are copied.
+equals the wanted step's parameters is its result; wanted steps of a class are
+searched together, by a join. A link is then published in its place, so that
+the search is made once; no data are copied.
+
+Steps and records within the parameters may have migrations of their own
+(``Renamed``, ``Added``, ``Retyped`` and ``Moved``). Records of older results
+are then brought to the present form from the inside out, and found by the key
+that this gives.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.names import describe, full_name, hints, shape
 from tarn.operators import evolve
-from tarn.plans.steps import Step, canonical, canonical_json, path_of, schema_key
+from tarn.plans.parameters import canonical, canonical_json, digest, encode, keyed_fields
+from tarn.plans.steps import Step, path_of, schema_key
 from tarn.sources import results
 from tarn.sources.shared import file_system
 
@@ -44,12 +55,19 @@ class Form:
         return not any(c.breaking for c in self.changes)
 
 
-def forms(cls: type[Step]) -> list[Form]:
-    """The present form first, then older ones, newest first. Two alike are an error."""
-    name, fields = cls.__qualname__, dict(cls.declared())
-    out = [Form(name, dict(fields), ())]
-    for i in range(len(cls.migrations) - 1, -1, -1):
-        c = cls.migrations[i]
+def declared(cls: type) -> dict[str, str]:
+    """The keyed fields of a step or a record and their types."""
+    of = hints(cls)
+    return {f.name: describe(of[f.name], keyed_fields) for f in keyed_fields(cls)}
+
+
+def forms(cls: type) -> list[Form]:
+    """The present form first, then older ones, newest first. Two alike are an error. Names in ``Moved`` are those within the class's module."""
+    module, name, fields = cls.__module__, cls.__qualname__, declared(cls)
+    changes = getattr(cls, "migrations", ())
+    out = [Form(f"{module}.{name}", dict(fields), ())]
+    for i in range(len(changes) - 1, -1, -1):
+        c = changes[i]
         if isinstance(c, evolve.Renamed):
             if c.to not in fields or c.field in fields:
                 raise ValueError(f"can't undo {c}: fields at that point are {sorted(fields)}")
@@ -59,16 +77,16 @@ def forms(cls: type[Step]) -> list[Form]:
                 raise ValueError(f"can't undo {c}: fields at that point are {sorted(fields)}")
             fields = {k: v for k, v in fields.items() if k != c.field}
         elif isinstance(c, evolve.Retyped):
-            if c.field not in fields or c.was in (None, fields[c.field]):
+            if c.field not in fields or c.was is None or shape(c.was) == shape(fields[c.field]):
                 raise ValueError(f"{c} changes no declared type: fields at that point are {fields}")
             fields = fields | {c.field: c.was}
         elif isinstance(c, evolve.Moved):
             if c.name != name or not c.was:
                 raise ValueError(f"can't undo {c}: the class is {name} at that point")
-            name = c.was
+            name, module = c.was, c.was_module or module
         elif not isinstance(c, evolve.Rewritten):
             raise TypeError(f"not a migration of a step: {c!r}")
-        out.append(Form(name, dict(fields), tuple(cls.migrations[i:])))
+        out.append(Form(f"{module}.{name}", dict(fields), tuple(changes[i:])))
     # A rewrite alone leaves the fields as they are; it belongs to the change it stands beside.
     places: dict[str, Form] = {}
     for f in out:
@@ -104,20 +122,161 @@ def migrated(rows: DataFrame, form: Form) -> DataFrame:
     return evolve.migrate(df, changes)
 
 
-def matching(spark: SparkSession, step: Step, root: str) -> tuple[str, list[str]] | None:
-    """The path of an older form's result with the step's parameters, and the changes that lead from it. Newest form first, then least path."""
-    want = step.parameters()
-    for form in forms(type(step))[1:]:
-        rows = stored(spark, root, form.place) if form.reusable else None
+def matching(spark: SparkSession, cls: type[Step], wanted: list[Step], root: str) -> dict[str, tuple[str, list[str]]]:
+    """By key of a wanted step of the class: the path of an older form's result with its parameters, and the changes that lead from it. Newest form first, then least path."""
+    found: dict[str, tuple[str, list[str]]] = {}
+    for form in forms(cls)[1:]:
+        left = [s for s in wanted if s.key() not in found]
+        rows = stored(spark, root, form.place) if form.reusable and left else None
         if rows is None:
             continue
+        names = list(left[0].parameters())
+        asked = spark.createDataFrame([(s.key(), *s.parameters().values()) for s in left], ["_key", *(f"_{i}" for i in range(len(names)))])
+        fits = F.lit(True)
         same = migrated(rows, form)
-        for name, value in want.items():
-            same = same.where(F.col(f"`{name}`") == value)
-        first = same.agg(F.min("path")).first()[0]
-        if first:
-            return first, [repr(c) for c in form.changes]
-    return None
+        for i, name in enumerate(names):
+            fits = fits & (same[f"`{name}`"] == asked[f"_{i}"])
+        for r in same.join(asked, fits).groupBy("_key").agg(F.min("path").alias("path")).collect():
+            found[r._key] = r.path, [repr(c) for c in form.changes]
+    return found
+
+
+# Steps and records within parameters
+
+
+def within(value: object) -> Iterator[type]:
+    """Classes of the steps and records in a value, its own first."""
+    if dataclasses.is_dataclass(value) and not isinstance(value, type):
+        yield type(value)
+        for f in dataclasses.fields(value):
+            yield from within(getattr(value, f.name))
+    elif isinstance(value, dict):
+        for v in value.values():
+            yield from within(v)
+    elif isinstance(value, (list, tuple, set, frozenset)):
+        for v in value:
+            yield from within(v)
+
+
+@dataclass(frozen=True)
+class Present:
+    """What records need to know of a class: its name, whether it is a step, its schema, keyed and other fields, and its forms with plain changes."""
+
+    name: str
+    step: bool
+    schema: str
+    keyed: tuple[str, ...]
+    free: tuple[str, ...]
+    forms: tuple[tuple[str, frozenset, tuple | None], ...]
+
+
+def present(cls: type) -> Present:
+    def plain(form: Form) -> tuple | None:
+        """Changes as data; None for a form whose results are not reused."""
+        if not form.reusable or any(isinstance(c, evolve.Rewritten) for c in form.changes):
+            return None
+        return tuple((c.field, c.to) if isinstance(c, evolve.Renamed) else (c.field, None, encode(c.default)) for c in form.changes if isinstance(c, (evolve.Renamed, evolve.Added)))
+
+    fields = declared(cls)
+    free = tuple(f.name for f in dataclasses.fields(cls) if f.name not in fields)
+    return Present(full_name(cls), getattr(cls, "is_step", False), schema_key(fields), tuple(fields), free, tuple((f.name, frozenset(f.fields), plain(f)) for f in forms(cls)))
+
+
+class Unlike(Exception):
+    """A record that can't be brought to the present form; ``known`` if its form is declared, but not reused."""
+
+    def __init__(self, known: bool):
+        super().__init__()
+        self.known = known
+
+
+def renewed(data: object, classes: list[Present]) -> object:
+    """A record's data in the present form, from the inside out."""
+    if isinstance(data, list):
+        return [renewed(v, classes) for v in data]
+    if not isinstance(data, dict):
+        return data
+    if "|class" not in data:
+        return {k: renewed(v, classes) for k, v in data.items()}
+    fields = {k: renewed(v, classes) for k, v in data["|fields"].items()}
+    named = False
+    for c in classes:
+        for name, has, changes in c.forms:
+            if name != data["|class"]:
+                continue
+            named = True
+            if not has <= fields.keys() or fields.keys() - has - set(c.free):
+                continue
+            if changes is None:
+                raise Unlike(True)
+            for change in changes:
+                if len(change) == 2:
+                    fields[change[1]] = fields.pop(change[0])
+                else:
+                    fields[change[0]] = change[2]
+            return {"|class": c.name, "|fields": fields}
+    if named:
+        raise Unlike(False)
+    return {"|class": data["|class"], "|fields": fields}
+
+
+def key_of(data: object, classes: dict[str, Present]) -> object:
+    """A record's data as ``canonical`` gives them; of a step, {"|step": key}."""
+    if isinstance(data, list):
+        return [key_of(v, classes) for v in data]
+    if not isinstance(data, dict):
+        return data
+    if "|frozenset" in data or "|set" in data:
+        return {"|set": sorted((key_of(v, classes) for v in data.get("|set", data.get("|frozenset"))), key=canonical_json)}
+    if "|class" not in data:
+        return {k: key_of(v, classes) for k, v in data.items()}
+    if data["|class"] not in classes:
+        raise Unlike(True)
+    c = classes[data["|class"]]
+    values = {k: key_of(data["|fields"][k], classes) for k in c.keyed}
+    return {"|step": f"{c.name}:{c.schema}:{digest(values)}"} if c.step else {"|class": c.name, "|fields": values}
+
+
+def records(spark: SparkSession, cls: type[Step], wanted: list[Step], root: str) -> DataFrame | None:
+    """(path, place, key, known) of all results under the class's names: the key that a record has in the present form, if it has one."""
+    patterns = []
+    for name in {f.name for f in forms(cls)}:
+        fs, pattern = file_system(spark, f"{root}/{name}/*/*/{results.MANIFEST}")
+        if fs.globStatus(pattern):
+            patterns.append(pattern.toString())
+    if not patterns:
+        return None
+    classes = [present(c) for c in dict.fromkeys(c for s in wanted for c in within(s))]
+    by_name = {c.name: c for c in classes}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, known = [], []
+            for text in b.column("step").to_pylist():
+                try:
+                    keys.append(key_of(renewed(json.loads(text), classes), by_name)["|step"])
+                    known.append(True)
+                except Unlike as e:
+                    keys.append(None)
+                    known.append(e.known)
+            path = b.column("path").to_pylist()
+            place = ["/".join(p.split("/")[-4:-2]) for p in path]
+            yield pa.RecordBatch.from_arrays([pa.array([p.rpartition("/")[0] for p in path], pa.string()), pa.array(place, pa.string()), pa.array(keys, pa.string()), pa.array(known, pa.bool_())], names=["path", "place", "key", "known"])
+
+    text = spark.read.text(patterns, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.get_json_object("value", "$.facts.step").alias("step"))
+    return text.where("step is not null").mapInArrow(run, "path string, place string, key string, known boolean")
+
+
+def matching_within(spark: SparkSession, cls: type[Step], wanted: list[Step], root: str) -> tuple[dict[str, tuple[str, list[str]]], set[str]]:
+    """The same where what is within the parameters has changed; and the stored forms that this explains."""
+    rows = records(spark, cls, wanted, root)
+    if rows is None:
+        return {}, set()
+    asked = spark.createDataFrame([(s.key(),) for s in wanted], "key string")
+    found = rows.join(asked, "key").groupBy("key").agg(F.min("path").alias("path")).collect()
+    changed = sorted({full_name(c) for s in wanted for c in within(s) if getattr(c, "migrations", ())})
+    explained = {r.place for r in rows.where("known").select("place").distinct().collect()}
+    return {r.key: (r.path, [f"within: {name}" for name in changed]) for r in found}, explained
 
 
 def orphans(spark: SparkSession, cls: type[Step], root: str) -> list[str]:
@@ -137,26 +296,44 @@ def orphans(spark: SparkSession, cls: type[Step], root: str) -> list[str]:
 
 def find(spark: SparkSession, step: Step, root: str) -> str | None:
     """Where the step's result lies: its own place, a linked one, or one found through migrations, which is then linked."""
-    own = path_of(root, step)
-    manifest = results.read_manifest(spark, own)
-    if manifest is not None and "link" not in manifest:
-        return own
-    if manifest is not None:
-        if results.read_manifest(spark, manifest["link"]) is not None:
-            return manifest["link"]
-        results.delete(spark, own)  # what it pointed to is gone
-    got = matching(spark, step, root)
-    if got:
-        results.publish_link(spark, own, *got)
-        return got[0]
-    if lost := orphans(spark, type(step), root):
-        raise Stale(f"{type(step).__qualname__} has results of other forms: {', '.join(lost)}; present fields: {json.dumps(type(step).declared())}. Declare migrations, breaking ones to compute anew.")
-    return None
+    return find_all(spark, [step], root)[step.key()]
+
+
+def find_all(spark: SparkSession, wanted: list[Step], root: str) -> dict[str, str | None]:
+    """The same for many steps, by key; what has no result of its own is searched once for each class."""
+    out: dict[str, str | None] = {}
+    lost: dict[tuple[type[Step], str], list[Step]] = {}
+    for s in {s.key(): s for s in wanted}.values():
+        own = path_of(root, s)
+        manifest = results.read_manifest(spark, own)
+        out[s.key()] = None
+        if manifest is not None and "link" not in manifest:
+            out[s.key()] = own
+        elif manifest is not None and results.read_manifest(spark, manifest["link"]) is not None:
+            out[s.key()] = manifest["link"]
+        else:
+            if manifest is not None:
+                results.delete(spark, own)  # what it pointed to is gone
+            lost.setdefault((type(s), s.root(root)), []).append(s)
+    for (cls, at), members in lost.items():
+        got, explained = matching(spark, cls, members, at), set()
+        left = [s for s in members if s.key() not in got]
+        if any(getattr(c, "migrations", ()) for s in left for f in dataclasses.fields(s) for c in within(getattr(s, f.name))):
+            more, explained = matching_within(spark, cls, left, at)
+            got |= more
+        for s in members:
+            if s.key() in got:
+                results.publish_link(spark, path_of(root, s), *got[s.key()])
+                out[s.key()] = got[s.key()][0]
+        if any(s.key() not in got for s in members):
+            if stale := [p for p in orphans(spark, cls, at) if p not in explained]:
+                raise Stale(f"{cls.__qualname__} has results of other forms: {', '.join(stale)}; present fields: {json.dumps(declared(cls))}. Declare migrations, breaking ones to compute anew.")
+    return out
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:
     """One row for each published result or link below ``root``."""
-    facts = "name string, key string, schema map<string,string>, parameters map<string,string>, inputs array<string>, read array<string>, began string"
+    facts = "name string, key string, step string, schema map<string,string>, parameters map<string,string>, inputs array<string>, read array<string>, began string"
     text = spark.read.text(f"{root}/*/*/*/{results.MANIFEST}", wholetext=True)
     m = F.from_json("value", f"facts struct<{facts}>, link string, changes array<string>").alias("m")
     return text.select(F.col("_metadata.file_path").alias("path"), m).select("path", "m.facts.*", "m.link", "m.changes")

@@ -35,4 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a new Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.tarn_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what ``written`` wrote, once nothing reads it any more."""
+    path = df.__dict__.get("tarn_path")
+    if path:
+        fs, target = file_system(df.sparkSession, path)
+        fs.delete(target, True)

@@ -3,6 +3,9 @@ import pytest
 from pyspark.sql import SparkSession
 
 
+from tarn.testing import results_root  # noqa: F401
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (
