@@ -70,18 +70,29 @@ def any_failed() -> Column:
     return base_failed() | (10 * F.col("n_symbols") > F.col("n_words")) | (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"))
 
 
-def host_verdicts(scored: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """One row per host: its documents, failures, shrunken rate and verdict.
+def host_counts(scored: DataFrame, host: str = "source") -> DataFrame:
+    """Documents and failures of each host."""
+    return scored.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("host_docs"), F.sum(any_failed().cast("long")).alias("host_failed"))
 
-    Only the prior's two parameters pass through the driver.
+
+def host_verdicts(hosts: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+    """``host_counts`` with the shrunken rate and the verdict.
+
+    The prior is fitted by moments: the variance of the hosts' rates, less what
+    sampling adds to it (mean * (1 - mean) / documents of a host, on average).
+    If nothing is left, hosts do not differ and all have the mean rate. Only
+    the prior's two parameters pass through the driver.
     """
-    hosts = scored.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("host_docs"), F.sum(any_failed().cast("long")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
-    total = hosts.agg(F.sum("host_docs").alias("n"), F.sum("host_failed").alias("x"), F.count("*").alias("k"), F.var_samp(rate).alias("v")).first()
+    total = hosts.agg(F.sum("host_docs").alias("n"), F.sum("host_failed").alias("x"), F.count("*").alias("k"), F.var_samp(rate).alias("v"), F.avg(1 / F.col("host_docs")).alias("u")).first()
     mean = total["x"] / total["n"] if total["n"] else 0.0
     spread = mean * (1 - mean)
-    strength = min(max(spread / total["v"] - 1, 2.0), 1000.0) if total["v"] and spread else 1000.0
-    shrunk = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
+    between = (total["v"] or 0.0) - spread * (total["u"] or 0.0)
+    if not spread or between <= 0:
+        shrunk = F.lit(mean)
+    else:
+        strength = max(spread / between - 1, 0.0)
+        shrunk = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
     return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", shrunk > limit)
 
 
@@ -89,8 +100,8 @@ def judge(scored: DataFrame, host: str = "source", limit: float = HOST_LIMIT) ->
     """``scored`` with ``base_failed``, ``host_rate`` and ``kept``. ``scored`` is read twice: pass a written table."""
     # A hot host's documents are dealt to SALTS tasks, each with a copy of the verdict.
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    verdicts = host_verdicts(scored, host, limit).select(F.col(host).alias("_host"), "host_rate", "host_rejected", salts.alias("_to"))
-    scored = scored.drop("host_rate", "host_rejected", "base_failed", "kept").withColumn("_salt", F.pmod(F.xxhash64(*COUNTS[:5]), F.lit(SALTS)).cast("int"))
+    verdicts = host_verdicts(common.materialize(host_counts(scored, host), "hosts"), limit).select(F.col(host).alias("_host"), "host_rate", "host_rejected", salts.alias("_to"))
+    scored = scored.drop("host_rate", "host_rejected", "base_failed", "kept").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     out = scored.join(verdicts, (F.col(host) == F.col("_host")) & (F.col("_salt") == F.col("_to")), "left")
     rejected = F.coalesce("host_rejected", F.lit(False))
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~rejected).drop("_host", "_to", "_salt", "host_rejected")
@@ -103,6 +114,14 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: documents that are kept, with the input's columns."""
-    scored = common.materialize(measured(common.packed(docs, "doc_id", "text", "source")), "quality")
-    return common.unpacked(judge(scored).where("kept"), docs.columns)
+    """The pipeline's stage: documents that are kept, with the input's columns.
+
+    Texts are measured twice, once to count by host and once to filter, and so
+    are neither written nor shuffled; documents meet only the rejected hosts,
+    a table that Spark broadcasts if its size allows.
+    """
+    scored = measured(docs.select("source", "text")).drop("text")
+    hosts = common.materialize(host_counts(scored), "hosts")
+    rejected = common.materialize(host_verdicts(hosts).where("host_rejected").select(F.col("source").alias("_host")), "rejected")
+    passed = measured(common.packed(docs, "doc_id", "text", "source")).where(~base_failed())
+    return common.unpacked(passed.join(rejected, F.col("source") == F.col("_host"), "left_anti"), docs.columns)

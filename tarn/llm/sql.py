@@ -35,12 +35,13 @@ WITH words AS (
          sum((base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines)::INT) AS x
   FROM failed WHERE source IS NOT NULL GROUP BY source
 ), prior AS (
-  SELECT sum(x) / sum(n) AS m, var_samp(x / n) AS v FROM hosts
+  SELECT sum(x) / sum(n) AS m, var_samp(x / n) AS v, avg(1 / n) AS u FROM hosts
 ), strength AS (
-  SELECT m, CASE WHEN v > 0 AND m * (1 - m) > 0
-                 THEN least(greatest(m * (1 - m) / v - 1, 2.0), 1000.0) ELSE 1000.0 END AS s FROM prior
+  SELECT m, m * (1 - m) AS spread, coalesce(v, 0) - m * (1 - m) * u AS between_ FROM prior
 ), verdicts AS (
-  SELECT source, (x + m * s) / (n + s) AS host_rate FROM hosts, strength
+  SELECT source, CASE WHEN spread = 0 OR between_ <= 0 THEN m
+                      ELSE (x + m * greatest(spread / between_ - 1, 0.0)) / (n + greatest(spread / between_ - 1, 0.0)) END AS host_rate
+  FROM hosts, strength
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(host_rate > 0.5, false) AS kept,

@@ -33,8 +33,12 @@ def slow_kept(rows):
     rates = [sum(v) / len(v) for v in hosts.values()]
     mean = sum(rates) / len(rates) if rates else 0
     var = sum((r - mean) ** 2 for r in rates) / (len(rates) - 1) if len(rates) > 1 else 0
-    s = min(max(m * (1 - m) / var - 1, 2.0), 1000.0) if var and m * (1 - m) else 1000.0
-    bad = {h for h, v in hosts.items() if (sum(v) + m * s) / (len(v) + s) > 0.5}
+    between = var - m * (1 - m) * sum(1 / len(v) for v in hosts.values()) / len(hosts) if hosts else 0
+    if m * (1 - m) and between > 0:
+        s = max(m * (1 - m) / between - 1, 0)
+        bad = {h for h, v in hosts.items() if (sum(v) + m * s) / (len(v) + s) > 0.5}
+    else:
+        bad = set(hosts) if m > 0.5 else set()
     return {i for i, (base, host) in got.items() if not base and host not in bad}
 
 
@@ -60,3 +64,24 @@ def test_operator(spark, rng):
     assert not got[50].kept and not got[50].base_failed and got[3].kept
     assert [tuple(got[i][c] for c in quality.COUNTS) for i, *_ in rows] == [slow_measure(t) for _, t, _ in rows]
     assert quality.judge(quality.measured(docs.limit(0))).count() == 0
+
+
+def test_hosts_that_differ_by_chance_are_shrunk(spark):
+    """Ten small hosts, each with one failure in four: one with three is no worse than chance, a large one with as many is."""
+    ok, bad = " ".join(f"w{i}" for i in range(60)), "short"
+    rows = [(h, bad if i < (3 if h == "unlucky" else 1) else ok) for h in ["unlucky", *(f"h{n}" for n in range(9))] for i in range(4)]
+    of = lambda rows: {r.source: r.host_rejected for r in quality.host_verdicts(quality.host_counts(quality.measured(spark.createDataFrame(rows, "source string, text string")))).collect()}
+    assert not any(of(rows).values())
+    large = of(rows + [("large", bad if i % 4 else ok) for i in range(400)])
+    assert large["large"] and not large["h1"]
+
+
+def test_stage_drops_a_failing_host(spark):
+    good = [f"{' '.join(f'w{i}x{j}' for j in range(60))}" for i in range(40)]
+    rows = [(i, t, "good", len(t), "n") for i, t in enumerate(good[:20])] + [(20 + i, t if i < 4 else "junk", "bad", len(t), None) for i, t in enumerate(good[20:])]
+    rows += [(90, None, "good", None, "n"), (91, good[0], None, 9, "n"), (None, good[1], "good", 9, "n"), (None, good[1], "good", 9, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, host_rate string")
+    got = quality.filter_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == [*range(20), 91] and got.where("doc_id is null").count() == 2
+    assert quality.filter_stage(spark, docs.limit(0), "").count() == 0
