@@ -20,19 +20,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each links the neighbours of
     a node to the least of them, so that every component ends as a star, which
-    one grouping confirms. A star's links meet in one task of each join, as
-    rows of two numbers that pass through it and are not gathered. Each round
-    is written to the shared folder; only a count reaches the driver.
+    one grouping confirms. The least neighbours are grouped before they are
+    shuffled and written before they are joined, so that a join is one of two
+    plain exchanges and adaptive execution splits the links of a large star.
+    Each round is written to the shared folder; only a count reaches the driver.
     """
     edges = common.materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = common.materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         # One row for each link, all of which now point to a lesser node.
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = common.materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        second = common.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         ends = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        after = common.materialize(large.join(least, "u").select(ends).select("e.*").where("u <> v").distinct(), "links")
+        after = common.materialize(large.join(second, "u").select(ends).select("e.*").where("u <> v").distinct(), "links")
+        for used in (least, large, second):
+            common.discard(used)
         common.discard(edges)
         edges = after
         if _is_stars(edges):

@@ -51,10 +51,16 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     stops = ends[k - 1 :].tolist()
     starts = [0, *(ends[: n - k] + 1).tolist()]
     h = np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, stops)], np.uint64)
-    # 64 byte-wide counters in 8 words; 255 rows at most before a counter is full.
-    bits = np.unpackbits(h.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
-    counts = np.add.reduceat(bits, np.arange(0, len(h), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
+    return int(majority(h)[0])
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the hashes (n, or n rows of several words), as words."""
+    # Byte-wide counters for 8 bits a word; 255 rows at most before a counter is full.
+    words = h.reshape(len(h), -1).shape[1]
+    bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8 * words)
+    counts = np.add.reduceat(bits, np.arange(0, len(h), 255), axis=0).view(np.uint8).reshape(-1, 64 * words).sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
@@ -101,9 +107,10 @@ def _finer(fp: str) -> Column:
 
 
 def planes(x: np.ndarray) -> np.ndarray:
-    """Bit planes of 64-bit words: (64, words of 64 lanes)."""
-    bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    full = np.zeros((64, -(-len(x) // 64) * 64), np.uint8)
+    """Bit planes of fingerprints of one word, or of rows of several: (bits, words of 64 lanes)."""
+    x = x[:, None] if x.ndim == 1 else x
+    bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little")
+    full = np.zeros((64 * x.shape[1], -(-len(x) // 64) * 64), np.uint8)
     full[:, : len(x)] = bits.T
     return np.packbits(full, axis=1, bitorder="little").view(np.uint64)
 
@@ -118,34 +125,42 @@ def _full_adder(a, b, c):
 
 
 def within(diff: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """The lanes with at most ``radius`` (3 to 6) bits set over all planes of ``diff`` (64, words).
+    """The lanes with at most ``radius`` (3 or more) bits set over all planes of ``diff`` (planes, words).
 
     Seven planes at a time go through carry-save adders into a number of three
-    bits, which is added to vertical counters of three bits; a carry out of
-    them marks a lane as over. Words whose lanes are all over are abandoned.
+    bits, which is added to vertical counters just wide enough for the radius;
+    a carry out of them marks a lane as over. Words whose lanes are all over
+    are abandoned.
     """
-    words = diff.shape[1]
+    words, ones = diff.shape[1], np.uint64(0xFFFFFFFFFFFFFFFF)
     live = np.arange(words)
-    c0, c1, c2, over = (np.zeros(words, np.uint64) for _ in range(4))
-    for at in range(0, 64, 7):
+    count, over = [np.zeros(words, np.uint64) for _ in range(max(3, radius.bit_length()))], np.zeros(words, np.uint64)
+    for at in range(0, len(diff), 7):
         p = list(diff[at : at + 7, live] if len(live) < words else diff[at : at + 7])
-        p += [np.zeros_like(c0)] * (7 - len(p))
+        p += [np.zeros_like(over)] * (7 - len(p))
         s, x = _full_adder(p[0], p[1], p[2])
         s, y = _full_adder(s, p[3], p[4])
         s, z = _full_adder(s, p[5], p[6])
         t, f = _full_adder(x, y, z)
-        c0, k = c0 ^ s, c0 & s
-        c1, k = _full_adder(c1, t, k)
-        c2, k = _full_adder(c2, f, k)
-        over |= k
-        # With three bits, a count of radius + 1 or more.
-        now = over.copy()
-        for n in range(radius + 1, 8):
-            now |= (c0 if n & 1 else ~c0) & (c1 if n & 2 else ~c1) & (c2 if n & 4 else ~c2)
-        over = now
-        alive = over != np.uint64(0xFFFFFFFFFFFFFFFF)
+        count[0], k = count[0] ^ s, count[0] & s
+        count[1], k = _full_adder(count[1], t, k)
+        count[2], k = _full_adder(count[2], f, k)
+        for i in range(3, len(count)):
+            count[i], k = count[i] ^ k, count[i] & k
+        over = over | k
+        if at + 7 <= radius:
+            continue
+        # Counts above the radius, from the highest bit down.
+        same = ~over
+        for i in reversed(range(len(count))):
+            if radius >> i & 1:
+                same = same & count[i]
+            else:
+                over = over | (same & count[i])
+                same = same & ~count[i]
+        alive = over != ones
         if not alive.all():
-            live, c0, c1, c2, over = live[alive], c0[alive], c1[alive], c2[alive], over[alive]
+            live, count, over = live[alive], [c[alive] for c in count], over[alive]
             if not len(live):
                 break
     out = np.zeros(words, np.uint64)
@@ -154,11 +169,20 @@ def within(diff: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
 
 def bucket_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of one large bucket of distinct fingerprints.
+    """Links that span the components of one large bucket of distinct fingerprints."""
+    i, j = bucket_places(fps, radius)
+    return fps[i], fps[j]
+
+
+def bucket_places(fps: np.ndarray, radius: int, absorb: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The same links as places in ``fps``, whose fingerprints may have several words.
 
     Each fingerprint is compared once, with those that no component has yet.
+    With ``absorb``, only those within so many bits join a component; others
+    within the radius are linked, and stay for the next.
     """
-    left = fps.copy()
+    fps = fps[:, None] if fps.ndim == 1 else fps
+    place, left = np.arange(len(fps)), fps
     vertical = planes(left)
     alive = np.zeros(vertical.shape[1] * 64, np.uint8)
     alive[: len(left)] = 1
@@ -170,29 +194,31 @@ def bucket_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.
             seed += 1
         if seed == len(left):
             break
-        root = left[seed]
+        root = int(place[seed])
         alive[seed] = 0
         removed += 1
         front = [root]
         while front:
             q = front.pop()
-            query = np.array([ones if int(q) >> i & 1 else 0 for i in range(64)], np.uint64)[:, None]
+            query = (np.unpackbits(fps[q].view(np.uint8), bitorder="little").astype(np.uint64) * ones)[:, None]
             hit = within(vertical ^ query, radius) & np.packbits(alive, bitorder="little").view(np.uint64)
             if hit.any():
                 found = lanes(hit)
+                a.append(np.full(len(found), root if absorb is None else q))
+                b.append(place[found])
+                if absorb is not None:
+                    found = found[np.bitwise_count(left[found] ^ fps[q]).sum(1) <= absorb]
                 alive[found] = 0
                 removed += len(found)
-                new = left[found]
-                a.append(np.full(len(new), root))
-                b.append(new)
-                front.extend(new.tolist())
+                front.extend(place[found].tolist())
             if removed > len(left) // 2 and removed > 64:  # store anew what is left
-                left = left[np.flatnonzero(alive[: len(left)])]
+                stay = np.flatnonzero(alive[: len(left)])
+                place, left = place[stay], left[stay]
                 vertical = planes(left)
                 alive = np.zeros(vertical.shape[1] * 64, np.uint8)
                 alive[: len(left)] = 1
                 seed, removed = 0, 0
-    empty = np.array([], np.uint64)
+    empty = np.array([], np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
@@ -271,16 +297,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read(spark, sf_dir, "documents"))
-
-
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: of each component the row with the least doc_id (of equal ones, the least fingerprint and text) stays."""
-    scored = common.materialize(fingerprints(common.packed(docs, "doc_id", "text")).withColumn("key", common.text_key()), "simhash")
-    slim = scored.select("doc_id", "fp", "key")
-    label = labelled(slim).select("fp", "label")
-    # A null doc_id comes last.
-    first = slim.join(label, "fp").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp", "key")).alias("w"))
-    first = first.select(F.col("w.doc_id").alias("w_id"), F.col("w.key").alias("w_key"))
-    stays = scored.join(first, scored.doc_id.eqNullSafe(first.w_id) & (scored.key == first.w_key), "left_semi")
-    # Rows that agree in id and text.
-    return common.unpacked(stays.dropDuplicates(["doc_id", "key"]), docs.columns)

@@ -1,10 +1,9 @@
 """Each stage against plain Python, on what the stage before it kept."""
 
 import re
-from collections import defaultdict
 
 import corpus_pipeline
-from tests.llm import test_chunks, test_quality, test_secrets, test_simhash
+from tests.llm import test_chunks, test_quality, test_secrets, test_similar
 from tests.llm.test_packing import check_packing
 from tarn.llm import chunks
 
@@ -20,12 +19,8 @@ def test_stages(spark):
         assert len(kept[-1]) == docs.count(), name
     raw = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 20000").collect()}
     assert set(kept[0]) == test_quality.slow_kept([(i, r.text, r.source) for i, r in raw.items()])
-    fps = {i: test_simhash.slow_fingerprint(r.text) for i, r in kept[0].items()}
-    groups = defaultdict(list)
-    component = test_simhash.slow_components(list(fps.values()))
-    for i, f in fps.items():
-        groups[component[f]].append(i)
-    assert set(kept[1]) == {min(g) for g in groups.values()}
+    ids = list(kept[0])
+    assert set(kept[1]) == {min(ids[i] for i in g) for g in test_similar.slow_groups([kept[0][i].text for i in ids])}
     want = test_chunks.slow([(i, r.text) for i, r in kept[1].items()], chunks.MIN_RUN)
     assert {i: r.text for i, r in kept[2].items()} == {i: t for i, t, _ in want}
     found = test_secrets.slow([(i, r.text, r.lang, r.source) for i, r in kept[2].items()])
@@ -41,3 +36,15 @@ def test_stages(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 50
+
+
+def test_empty_and_null_tables(spark):
+    """An empty table and one of nulls alone go through all stages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(3)
+    nulls = docs.selectExpr(*(f"cast(null as {t}) as {c}" for c, t in docs.dtypes))
+    for some in (docs.limit(0), nulls):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, some, SF)
+            assert out.columns == docs.columns
+            some = spark.createDataFrame(out.collect(), docs.schema)
+        assert corpus_pipeline.STAGES[-1][1](spark, some, SF).count() == 0
