@@ -1,22 +1,32 @@
 """Operator 8, suffix-array dedup: depth-limited radix sort.
 
-A byte goes if a ``DEPTH`` = 400-byte string that covers it starts anywhere
-else too. Suffixes are ordered only through 400 bytes, by passes from the most
+A byte goes if a 400-byte string that covers it starts anywhere else too.
+Suffixes are ordered only through 400 bytes, by passes from the most
 significant digit on; what is alone after a pass is dropped, and groups that
 are equal through all passes are exactly the repeated windows.
 
-1. First digit: one gram of 64 bytes for each window, the one with the least
-   hash (so equal windows have it at the same place, and neighbouring windows
-   share it). It stands for a run of windows. Grams that occur once go.
-2. Second digit: runs of up to 32 windows at equal distances from their gram.
-   The 369 bytes that the run's windows share must recur, else all its windows
-   are unique. If the 431 bytes that they cover recur, all are repeated.
-3. Third digit: the 400 bytes of each window of the runs left, and of one
-   member of each repeated class that shares its inner bytes with others.
-
-Each pass is a grouping by a digest (128 bits in passes 2 and 3) that Spark
-aggregates before it shuffles; a passage that a third of the documents share
-is one group with a count, not one task. Equal texts are first made one unit.
+Suffixes are ordered at anchors, not at every byte: the anchor of a window is
+the gram of 64 bytes in it with the least hash, so equal windows have theirs at
+the same place, and neighbouring windows share one.
+
+1. Passes over the suffixes at anchors. Digits are the bytes through 64 (the
+   gram), 128, 256 and 400; each pass groups what the one before left
+   unresolved, and drops suffixes that are alone. How far a suffix came bounds
+   the windows of its anchor that can recur.
+2. Windows of an anchor in runs of up to 32. The 369 bytes that a run's
+   windows share must recur, else all its windows are unique. If the 431 bytes
+   that they cover recur, all are repeated.
+3. The whole 400 bytes of each window of the runs left, and of one member of
+   each repeated class that shares its inner bytes with others.
+
+Each pass is a grouping by digit (64 bits of digest while suffixes are only
+dropped, 128 bits where windows are judged) that Spark aggregates before it
+shuffles; a passage that a third of the documents share is one group with a
+count, not one task. Equal texts are first made one unit.
+
+The same passes over words instead of bytes, through 51 words, give the words
+of passages of over 50 words that recur, which may be under 400 bytes long
+(``n_repeat_words``); nothing is removed for these.
 
 Defined results: a null text is empty; empty and short texts lose nothing;
 repeated rows are copies of each other, so texts of 400 bytes or more go
@@ -28,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +48,57 @@ from pyspark.sql import functions as F
 from tarn.llm import common
 
 DEPTH = 400
-GRAM = 64
-RUN = 32
-_SPAN = DEPTH - GRAM + 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
+#: A random number for each byte, from a fixed seed.
+_BYTE = np.random.default_rng(20240817).integers(0, 2**64, 256, dtype=np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What suffixes are made of: tokens through ``depth``, of which a gram is the first digit; the ends of all digits; windows of a run."""
+
+    depth: int
+    digits: tuple[int, ...]
+    run: int
+    words: bool = False
+
+    @property
+    def gram(self) -> int:
+        return self.digits[0]
+
+    def tokens(self, text: bytes) -> np.ndarray:
+        x = np.frombuffer(text, np.uint8)
+        return word_hashes(x) if self.words else x
 
 
-def gram_hashes(x: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all grams, built from halves."""
+BYTES = Unit(DEPTH, (64, 128, 256, DEPTH), 32)
+WORDS = Unit(51, (8, 16, 32, 51), 4, words=True)
+
+
+def word_hashes(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of its bytes, brought to its start by division."""
+    inside = np.r_[False, ~_SPACE[x], False]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.array([], np.uint64)
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x), _ODD)])
+        total = np.r_[np.uint64(0), np.cumsum(_BYTE[x] * power[:-1], dtype=np.uint64)]
+        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
+        back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x), inverse)])
+        h = (total[end] - total[start]) * back[start]
+        h ^= h >> np.uint64(32)
+        return h * _ODD
+
+
+def gram_hashes(x: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all grams of a size that is a power of two, built from halves."""
     h, k, factor = x.astype(np.uint64) + np.uint64(1), 1, _ODD
-    while k < GRAM:
+    while k < size:
         h = h[:-k] * factor + h[k:]
         factor, k = factor * factor, 2 * k
     h ^= h >> np.uint64(29)
@@ -55,17 +106,17 @@ def gram_hashes(x: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def grams(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def grams(x: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash and place of each chosen gram, and the first and last window that it stands for."""
     with np.errstate(over="ignore"):
-        h = gram_hashes(np.frombuffer(text, np.uint8))
+        h = gram_hashes(x, unit.gram)
     # Of equal hashes the last: its place counts down in the low bits.
     low = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64))
-    k = 1
-    while 2 * k <= _SPAN:
+    k, span = 1, unit.depth - unit.gram + 1
+    while 2 * k <= span:
         low, k = np.minimum(low[:-k], low[k:]), 2 * k
-    if k < _SPAN:
-        low = np.minimum(low[: -(_SPAN - k)], low[_SPAN - k :])
+    if k < span:
+        low = np.minimum(low[: -(span - k)], low[span - k :])
     chosen = (_LOW - (low & _LOW)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
     last = np.r_[first[1:], len(chosen)] - 1
@@ -73,13 +124,29 @@ def grams(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return h[at].view(np.int64), at, first, last
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [(i, *grams(t)) for i, t in enumerate(common.utf8(b.column("text"))) if len(t) >= DEPTH]
-        if got:
-            row = np.repeat([g[0] for g in got], [len(g[1]) for g in got])
-            numbers = [pa.array(np.concatenate([g[i] for g in got])) for i in (1, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays([numbers[0], b.column("key").take(pa.array(row)), *numbers[1:]], names=["h", "key", "at", "first", "last"])
+def _anchors(unit: Unit):
+    """The suffixes at the anchors of each text: digests through each digit, as far as the text goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest as digest
+
+        for b in batches:
+            got, ends = [], []
+            for i, t in enumerate(common.utf8(b.column("text"))):
+                if len(t) >= unit.depth:
+                    x = unit.tokens(t)
+                    if len(x) >= unit.depth:
+                        g = grams(x, unit)
+                        raw, w, n = x.tobytes(), x.itemsize, len(x)
+                        got.append((i, *g))
+                        ends.append([[digest(raw[p * w : (p + k) * w]) if p + k <= n else None for p in g[1].tolist()] for k in unit.digits[1:]])
+            if got:
+                row = np.repeat([g[0] for g in got], [len(g[1]) for g in got])
+                numbers = [pa.array(np.concatenate([g[i] for g in got])) for i in (1, 2, 3, 4)]
+                more = [pa.array([None if d is None else d - (1 << 63) for e in ends for d in e[k]], pa.int64()) for k in range(len(unit.digits) - 1)]
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row)), *numbers[1:], numbers[0], *more], names=["key", "at", "first", "last", *(f"d{k}" for k in range(len(unit.digits)))])
+
+    return run
 
 
 def _halves(digests: list[bytes]) -> list[pa.Array]:
@@ -87,72 +154,91 @@ def _halves(digests: list[bytes]) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 2: digests of what the windows of a run share, and of what they cover."""
-    from xxhash import xxh3_128_digest as digest
-
-    for b in batches:
-        core, full, rows = [], [], []
-        for key, text, found in zip(b.column("key").to_pylist(), common.utf8(b.column("text")), b.column("found").to_pylist()):
-            for g in found:
-                at, first, last = g["at"], g["first"], g["last"]
-                for d in range((at - last) // RUN, (at - first) // RUN + 1):
-                    end = at - d * RUN  # the run's last window
-                    start = end - RUN + 1
-                    core.append(digest(text[end : start + DEPTH], d))
-                    # What the text's ends cut off is equal to nothing.
-                    whole = start >= 0 and end + DEPTH <= len(text)
-                    full.append(digest(text[start : end + DEPTH], d) if whole else digest(b"%b %d %d" % (key, at, d), 1 << 40))
-                    rows.append((key, max(first, start), min(last, end)))
-        if rows:
-            key, lo, hi = zip(*rows)
-            yield pa.RecordBatch.from_arrays([*_halves(core), *_halves(full), pa.array(key, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["c1", "c2", "f1", "f2", "key", "lo", "hi"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 3: the digest of each window of the runs that are left."""
-    from xxhash import xxh3_128_digest as digest
-
-    for b in batches:
-        out, rows = [], []
-        for key, text, found in zip(b.column("key").to_pylist(), common.utf8(b.column("text")), b.column("found").to_pylist()):
-            for g in found:
-                for p in range(g["lo"], g["hi"] + 1):
-                    out.append(digest(text[p : p + DEPTH]))
-                    rows.append((key, p))
-        if rows:
-            key, p = zip(*rows)
-            yield pa.RecordBatch.from_arrays([*_halves(out), pa.array(key, pa.binary()), pa.array(p, pa.int64())], names=["w1", "w2", "key", "p"])
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by windows that start in the given ranges."""
+def _runs(unit: Unit):
+    """Digests of what the windows of a run share, and of what they cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest as digest
+
+        for b in batches:
+            core, full, rows = [], [], []
+            for key, text, found in zip(b.column("key").to_pylist(), common.utf8(b.column("text")), b.column("found").to_pylist()):
+                x = unit.tokens(text)
+                raw, w, n = x.tobytes(), x.itemsize, len(x)
+                for g in found:
+                    at, first, last = g["at"], g["first"], g["last"]
+                    for d in range((at - last) // unit.run, (at - first) // unit.run + 1):
+                        end = at - d * unit.run  # the run's last window
+                        start = end - unit.run + 1
+                        core.append(digest(raw[end * w : (start + unit.depth) * w], d))
+                        # What the text's ends cut off is equal to nothing.
+                        whole = start >= 0 and end + unit.depth <= n
+                        full.append(digest(raw[start * w : (end + unit.depth) * w], d) if whole else digest(b"%b %d %d" % (key, at, d), 1 << 40))
+                        rows.append((key, max(first, start), min(last, end)))
+            if rows:
+                key, lo, hi = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*_halves(core), *_halves(full), pa.array(key, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["c1", "c2", "f1", "f2", "key", "lo", "hi"])
+
+    return run
+
+
+def _windows(unit: Unit):
+    """The digest of each window of the runs that are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest as digest
+
+        for b in batches:
+            out, rows = [], []
+            for key, text, found in zip(b.column("key").to_pylist(), common.utf8(b.column("text")), b.column("found").to_pylist()):
+                x = unit.tokens(text)
+                raw, w = x.tobytes(), x.itemsize
+                for g in found:
+                    for p in range(g["lo"], g["hi"] + 1):
+                        out.append(digest(raw[p * w : (p + unit.depth) * w]))
+                        rows.append((key, p))
+            if rows:
+                key, p = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*_halves(out), pa.array(key, pa.binary()), pa.array(p, pa.int64())], names=["w1", "w2", "key", "p"])
+
+    return run
+
+
+def merged(spans: list[tuple[int, int]], depth: int = DEPTH) -> list[tuple[int, int]]:
+    """Maximal runs of what windows cover that start in the given ranges."""
     out: list[list[int]] = []
     for lo, hi in sorted(spans):
         if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi + DEPTH)
+            out[-1][1] = max(out[-1][1], hi + depth)
         else:
-            out.append([lo, hi + DEPTH])
+            out.append([lo, hi + depth])
     return [(a, b) for a, b in out]
 
 
+CUT = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeat_words long, spans array<struct<start:long,end:long>>"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for key, text, copies, found in zip(b.column("key").to_pylist(), common.utf8(b.column("text")), b.column("copies").to_pylist(), b.column("found").to_pylist()):
+        columns = (b.column(c).to_pylist() for c in ("key", "copies", "found", "more"))
+        for text, key, copies, found, more in zip(common.utf8(b.column("text")), *columns):
             spans = merged([(g["lo"], g["hi"]) for g in found or []])
-            if copies > 1 and len(text) >= DEPTH:
-                spans = [(0, len(text))]
+            words = sum(e - s for s, e in merged([(g["lo"], g["hi"]) for g in more or []], WORDS.depth))
+            if copies > 1:
+                spans = [(0, len(text))] if len(text) >= DEPTH else []
+                n = len(text.split())
+                words = n if n >= WORDS.depth else 0
             kept, at = [], 0
             for s, e in spans:
                 kept.append(text[at:s])
                 at = e
             kept.append(text[at:])
-            rows.append((key, len(text), sum(e - s for s, e in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), [{"start": s, "end": e} for s, e in spans]))
+            rows.append((key, len(text), sum(e - s for s, e in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), words, [{"start": s, "end": e} for s, e in spans]))
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), spans_type]
-        columns = list(zip(*rows)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), spans_type]
+        columns = list(zip(*rows)) or [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeat_words", "spans"])
 
 
 def units(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -178,30 +264,67 @@ def drop_units(texts: DataFrame) -> None:
     texts.sparkSession.sql(f"DROP TABLE IF EXISTS {texts.tarn_path.rpartition('/')[2]}")
 
 
-def repeated_windows(texts: DataFrame) -> DataFrame:
-    """(key, lo, hi): ranges of window starts whose 400 bytes also start elsewhere among ``texts`` (key, text)."""
-    first = common.materialize(texts.select("key", "text").mapInArrow(_grams, "h long, key binary, at long, first long, last long"), "grams")
-    # Groupings are written before they are joined: a join of two plain exchanges is one that adaptive execution splits where a key is hot.
-    twice = common.materialize(first.groupBy("h").count().where("count > 1").select("h"), "twice")
-    found = first.join(twice, "h", "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "first", "last")).alias("found"))
-    runs = common.materialize(texts.join(found, "key").select("key", "text", "found").mapInArrow(_runs, "c1 long, c2 long, f1 long, f2 long, key binary, lo long, hi long"), "runs")
-    classes = common.materialize(runs.groupBy("c1", "c2", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one")), "classes")
-    cores = common.materialize(classes.groupBy("c1", "c2").count().where("count > 1").select("c1", "c2"), "cores")
+def ordered(texts: DataFrame, unit: Unit) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, at, first, last): anchors whose suffixes recur, with the windows that can recur; most significant digit first. And the tables that it reads.
+
+    What a pass drops is kept with the digit that it reached: the suffix is
+    then unlike all others before the next digit's end, and so are windows
+    that go on beyond it.
+    """
+    digits = [f"d{k}" for k in range(len(unit.digits))]
+    schema = "key binary, at long, first long, last long, " + ", ".join(f"{d} long" for d in digits)
+    left = common.materialize(texts.select("key", "text").mapInArrow(_anchors(unit), schema), "suffixes")
+    reached = []
+    for k, digit in enumerate(digits):
+        # Groupings are written before they are joined: a join of two plain exchanges is one that adaptive execution splits where a key is hot.
+        twice = common.materialize(left.where(F.col(digit).isNotNull()).groupBy(digit).count().where("count > 1").select(F.col(digit).alias("_d")), "twice")
+        alone = F.col(digit) == F.col("_d")
+        if k:
+            # Windows through the digit's end at most.
+            out = left.join(twice, alone, "left_anti").select("key", "at", "first", F.least(F.col("last"), F.col("at") + unit.digits[k] - unit.depth).alias("last"))
+            reached.append(common.materialize(out.where("first <= last"), "reached"))
+        left, before = common.materialize(left.join(twice, alone, "left_semi"), "suffixes"), left
+        common.discard(before)
+        common.discard(twice)
+    out = left.select("key", "at", "first", "last")
+    for more in reached:
+        out = out.unionByName(more)
+    return out, [left, *reached]
+
+
+def repeated_windows(texts: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """(key, lo, hi): ranges of window starts whose tokens also start elsewhere among ``texts`` (key, text), as a written table."""
+    anchors, used = ordered(texts, unit)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        used.append(common.materialize(df, name))
+        return used[-1]
+
+    found = anchors.groupBy("key").agg(F.collect_list(F.struct("at", "first", "last")).alias("found"))
+    runs = written(texts.join(found, "key").select("key", "text", "found").mapInArrow(_runs(unit), "c1 long, c2 long, f1 long, f2 long, key binary, lo long, hi long"), "runs")
+    classes = written(runs.groupBy("c1", "c2", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one")), "classes")
+    cores = written(classes.groupBy("c1", "c2").count().where("count > 1").select("c1", "c2"), "cores")
     left = classes.join(cores, ["c1", "c2"], "left_semi").select("one.*").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    windows = common.materialize(texts.join(left, "key").select("key", "text", "found").mapInArrow(_windows, "w1 long, w2 long, key binary, p long"), "windows")
-    same = common.materialize(windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "same")
+    windows = written(texts.join(left, "key").select("key", "text", "found").mapInArrow(_windows(unit), "w1 long, w2 long, key binary, p long"), "windows")
+    same = written(windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "same")
     single = windows.join(same, ["w1", "w2"], "left_semi").select("key", F.col("p").alias("lo"), F.col("p").alias("hi"))
     whole = runs.join(classes.where("n > 1").select("c1", "c2", "f1", "f2"), ["c1", "c2", "f1", "f2"], "left_semi").select("key", "lo", "hi")
-    return whole.unionByName(single)
+    out = common.materialize(whole.unionByName(single), "repeated")
+    for df in used:
+        common.discard(df)
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Per document its bytes, removed bytes and runs, the digest of what is left, and the runs."""
+    """Per document its bytes, removed bytes and runs, the digest of what is left, the words of repeated passages, and the runs."""
     texts = units(docs)
-    found = repeated_windows(texts).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    cut = texts.join(found, "key", "left").select("key", "text", "copies", "found").mapInArrow(_cut, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    both = [repeated_windows(texts, unit) for unit in (BYTES, WORDS)]
+    found, more = (r.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias(name)) for r, name in zip(both, ("found", "more")))
+    cut = texts.join(found, "key", "left").join(more, "key", "left").select("key", "text", "copies", "found", "more").mapInArrow(_cut, CUT)
     cut = common.materialize(cut, "cut")
     drop_units(texts)
+    for r in both:
+        common.discard(r)
     return docs.select("doc_id", common.text_key().alias("key")).join(cut, "key").drop("key")
 
 

@@ -1,7 +1,7 @@
 import hashlib
 from collections import Counter
 
-from tarn.llm import suffixes
+from tarn.llm import common, suffixes
 
 
 def slow(texts):
@@ -18,6 +18,13 @@ def slow(texts):
     return out
 
 
+def slow_words(texts):
+    """Words of each text that a window of 51 words covers which also starts elsewhere."""
+    words = [t.split() for t in texts]
+    seen = Counter(tuple(w[p : p + 51]) for w in words for p in range(len(w) - 50))
+    return [len({p + i for p in range(len(w) - 50) if seen[tuple(w[p : p + 51])] > 1 for i in range(51)}) for w in words]
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice(list("abcdeé"), int(rng.integers(2, 8)))) for _ in range(n))
 
@@ -39,4 +46,24 @@ def test_against_brute_force(spark, rng):
     want = slow([(t or "").encode() for t in texts])
     assert [got[i] for i in range(len(texts))] == want
     assert sum(w[1] > 0 for w in want) > 10
+    got = {r.doc_id: r.n_repeat_words for r in suffixes.remove_repeats(docs).collect()}
+    want = slow_words([(t or "").encode() for t in texts])
+    assert [got[i] for i in range(len(texts))] == want and sum(w > 0 for w in want) > 10
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_short_words(spark, rng):
+    """A passage of 51 words of two letters has under 400 bytes: nothing goes, but its words count."""
+    passage = " ".join("".join(rng.choice(list("abcdefgh"), 2)) for _ in range(51))
+    texts = [f"{prose(rng, 30)} {passage} {prose(rng, 30)}" for _ in range(5)] + [passage[3:], prose(rng, 300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_repeat_words) for r in suffixes.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(7)] == [(0, 51)] * 5 + [(0, 0)] * 2
+
+
+def test_no_tables_stay(spark, tmp_path, rng, monkeypatch):
+    """Only what the result still reads is left in the shared folder."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame([(i, prose(rng, 200)) for i in range(4)] * 2, "doc_id long, text string")
+    assert suffixes.remove_repeats(docs).count() == 8
+    assert [p.name.partition("-")[0] for p in tmp_path.iterdir()] == ["cut"]
