@@ -11,9 +11,10 @@ Digests are counted before they are shuffled, and the join that brings first
 occurrences back is one that adaptive execution can split, so a passage that
 very many documents share is no single task.
 
-Defined results: a null text is empty and stays null; a null doc_id comes
-last, and rows without or with the same one are one document to all others;
-an empty table gives no rows; clashing columns are replaced.
+Defined results: a null text is empty and stays null; documents with a null
+doc_id come last, in the order of a hash of their texts; rows with the same
+doc_id, or with none and the same text, are one document to each other and to
+all others; an empty table gives no rows; clashing columns are replaced.
 """
 
 from __future__ import annotations
@@ -121,7 +122,9 @@ def _cut(text: bytes, found: set[bytes], min_run: int) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with repeats cut from ``text``, and n_bytes, n_removed and ``removed`` (byte spans)."""
     columns = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "removed")]
-    keyed = common.packed(docs.select(*columns), "doc_id", "text").withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)))
+    # A document without an id is known by its text, so that many of them are no one group.
+    unnamed = F.lit(2**62) + F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1))
+    keyed = common.packed(docs.select(*columns), "doc_id", "text").withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), unnamed))
     both = keyed.join(repeated_chunks(keyed), "doc", "left").drop("doc")
     schema = common.with_fields(both.drop("found").schema, ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("removed", SPANS))
     keep = [f.name for f in schema.fields[:-3]]
@@ -154,5 +157,4 @@ def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: all documents, with what repeats cut from their texts; ``n_chars`` follows the text."""
-    out = dedup(common.packed(docs, "doc_id", "text", "n_chars")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return common.unpacked(out, docs.columns)
+    return common.with_length(dedup(common.packed(docs, "doc_id", "text")), docs)

@@ -71,3 +71,9 @@ def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
 def text_key(text="text"):
     """A digest by which equal texts meet (null and empty text are one)."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def with_length(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from what was ``packed``; ``n_chars``, if there is one, follows the text."""
+    out = unpacked(df, docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -1,8 +1,10 @@
 """Operator 5, secret scans: corpus-wide ownership frequency (DataFrame functions only).
 
 Patterns give candidates with their places. Each candidate's digest is counted
-over the corpus by distinct repositories and owners: what at least ``WIDE``
-owners hold is a widely copied example, what fewer hold looks live. Tokens
+over the corpus by distinct repositories and owners. What at least ``WIDE``
+owners hold is a widely copied example, and so is what two hold in at least
+``WIDE_REPOSITORIES`` repositories. What fewer hold looks live, and what one
+owner holds does in however many of its own repositories. Tokens
 that merely look random (``key``) become findings only if they are live and lie
 outside the other findings; those of the base kinds always stay.
 
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from tarn.llm import common
 
 WIDE = 3
+WIDE_REPOSITORIES = 5
 
 
 def _any_case(word: str) -> str:
@@ -73,7 +76,7 @@ def ownership(scanned: DataFrame) -> DataFrame:
     held = scanned.select("owner", "repository", F.explode(F.concat("base", "more")).alias("s")).select("owner", "repository", "s.digest")
     null = F.lit("\0")
     by_owner = held.select("digest", F.coalesce("owner", null).alias("owner"), F.coalesce("repository", null).alias("repository")).distinct().groupBy("digest", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("digest").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners")).withColumn("wide", F.col("n_owners") >= WIDE)
+    return by_owner.groupBy("digest").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners")).withColumn("wide", (F.col("n_owners") >= WIDE) | (F.col("n_owners") >= 2) & (F.col("n_repositories") >= WIDE_REPOSITORIES))
 
 
 def findings(scanned: DataFrame) -> DataFrame:
@@ -123,6 +126,6 @@ def redact(text: Column, spans: str, mark: str = "[SECRET]") -> Column:
 
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: all documents, with every finding replaced; ``n_chars`` follows the text."""
-    rows = common.packed(docs, "text", "source", "lang", "n_chars")
+    rows = common.packed(docs, "text", "source", "lang")
     out = findings(scan(rows, F.col("source"), F.concat_ws("/", "source", "lang"), *rows.columns)).withColumn("text", redact(F.col("text"), "spans"))
-    return common.unpacked(out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), docs.columns)
+    return common.with_length(out, docs)

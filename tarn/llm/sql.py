@@ -51,6 +51,10 @@ FROM failed LEFT JOIN verdicts USING (source)
 
 
 
+#: Levels that the SQL has; the operator has no limit. The test tables' paths have three segments at most.
+LEVELS = 6
+
+
 def _url_templates() -> str:
     """Operator 4: one block of queries for each level of the tree."""
     from tarn.llm import urls as u
@@ -68,38 +72,122 @@ def _url_templates() -> str:
 ), known AS (
   SELECT doc_id AS page_id, coalesce(max((quality = 0 OR toxic = 1)::INT), 0) AS bad FROM labels GROUP BY doc_id
 ), t0 AS (
-  SELECT host, general, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0)::BIGINT AS bad, '' AS template
+  SELECT host, general, count(bad) AS labelled, coalesce(sum(bad), 0)::BIGINT AS bad, '' AS template
   FROM general LEFT JOIN known USING (page_id) GROUP BY host, general
 )"""
     ]
-    for k in range(u.DEPTH + 1):
-        segment = f"split_part(general, '/', {k + 1})" if k < u.DEPTH else f"CASE WHEN len(string_split(general, '/')) > {u.DEPTH} THEN '**' ELSE '' END"
-        parts.append(f"""s{k} AS (SELECT *, {segment} AS segment FROM t{k}),
-n{k} AS (SELECT host, template, segment, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM s{k} GROUP BY ALL),
-b{k} AS (
-  SELECT *, CASE WHEN count(*) OVER w > {u.FANOUT} AND n * {u.FANOUT} < sum(n) OVER w THEN '*' ELSE segment END AS branch
-  FROM n{k} WINDOW w AS (PARTITION BY host, template)
-), r{k} AS (
-  SELECT host, template, branch, sum(labelled)::DOUBLE AS labelled, (sum(bad)::DOUBLE + 0.5::DOUBLE) / (sum(labelled)::DOUBLE + 1.0::DOUBLE) AS rate FROM b{k} GROUP BY ALL
-), l{k} AS (
-  SELECT *, lag(rate) OVER w AS rate0, lag(labelled) OVER w AS labelled0 FROM r{k} WINDOW w AS (PARTITION BY host, template ORDER BY rate, branch)
-), p{k} AS (
-  SELECT *, sum(CASE WHEN rate - rate0 > {u.Z}::DOUBLE * sqrt(rate * (1 - rate) / (labelled + 1.0::DOUBLE) + rate0 * (1 - rate0) / (labelled0 + 1.0::DOUBLE)) THEN 1 ELSE 0 END) OVER (PARTITION BY host, template ORDER BY rate, branch) AS part FROM l{k}
-), m{k} AS (
-  SELECT host, template, part, template || '/' || string_agg(branch, '|' ORDER BY branch) AS next FROM p{k} GROUP BY host, template, part
-), t{k + 1} AS (
-  SELECT s.host, s.general, s.n, s.labelled, s.bad, m.next AS template
-  FROM s{k} s JOIN b{k} b USING (host, template, segment) JOIN p{k} p ON p.host = s.host AND p.template = s.template AND p.branch = b.branch
-  JOIN m{k} m ON m.host = s.host AND m.template = s.template AND m.part = p.part
-)""")
-    parts.append(f"""prior AS (SELECT 1 - (sum(bad)::DOUBLE + 0.5::DOUBLE) / (sum(labelled)::DOUBLE + 1.0::DOUBLE) AS good FROM t{u.DEPTH + 1}),
+    def unlike(n: str, bad: str, all_n: str, all_bad: str) -> str:
+        n, bad, all_n, all_bad = (f"{x}::DOUBLE" for x in (n, bad, all_n, all_bad))
+        apart = f"({bad} * {all_n} - {all_bad} * {n})"
+        return f"({n} >= {u.LABELS} AND {all_n} - {n} >= {u.LABELS} AND {apart} * {apart} * {all_n} > {u.Z * u.Z!r}::DOUBLE * {n} * ({all_n} - {n}) * {all_bad} * ({all_n} - {all_bad}))"
+
+    for k in range(LEVELS):
+        parts.append(f"""s{k} AS MATERIALIZED (SELECT *, string_split(general, '/') AS parts, coalesce(string_split(general, '/')[{k + 1}], '') AS segment FROM t{k}),
+n{k} AS MATERIALIZED (
+  SELECT host, template, count(*) AS paths, max(len(parts)) AS deepest, min(segment) = max(segment) AS single, sum(labelled) AS all_n, sum(bad) AS all_bad,
+         count(*) > 1 AND max(len(parts)) > {k} AND sum(labelled) >= {2 * u.LABELS} AS open FROM s{k} GROUP BY host, template
+), d{k} AS (
+  SELECT host, general, labelled, bad, CASE WHEN deepest <= {k} THEN template WHEN paths = 1 THEN template || '/' || array_to_string(parts[{k + 1}:], '/') ELSE template || '/**' END AS template
+  FROM s{k} JOIN n{k} USING (host, template) WHERE NOT open
+), b{k} AS MATERIALIZED (
+  SELECT host, template, segment, sum(labelled) AS labelled, sum(bad) AS bad, any_value(all_n) AS all_n, any_value(all_bad) AS all_bad, any_value(single) AS single
+  FROM s{k} JOIN n{k} USING (host, template) WHERE open GROUP BY host, template, segment
+), e{k} AS MATERIALIZED (
+  SELECT *, CASE WHEN {unlike('labelled', 'bad', 'all_n', 'all_bad')} THEN CASE WHEN bad * all_n > all_bad * labelled THEN '-' ELSE '+' END END AS side FROM b{k}
+), o{k} AS (
+  SELECT host, template, side, count(*) AS members, sum(labelled) AS pool_n, sum(bad) AS pool_bad FROM e{k} WHERE side IS NOT NULL GROUP BY host, template, side
+), m{k} AS MATERIALIZED (
+  SELECT host, template, segment, template || '/' || CASE WHEN side IS NULL AND single OR side IS NOT NULL AND (members = 1 OR {unlike('labelled', 'bad', 'pool_n', 'pool_bad')}) THEN segment ELSE '*' || coalesce(side, '') END AS next
+  FROM e{k} LEFT JOIN o{k} USING (host, template, side)
+), t{k + 1} AS MATERIALIZED (SELECT s.host, s.general, s.labelled, s.bad, m.next AS template FROM s{k} s JOIN m{k} m USING (host, template, segment))""")
+    parts.append("tree AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(LEVELS)) + ")")
+    parts.append(f"""prior AS (SELECT 1 - (sum(bad)::DOUBLE + 0.5::DOUBLE) / (sum(labelled)::DOUBLE + 1.0::DOUBLE) AS good FROM tree),
 pure AS (
   SELECT host, template, (sum(labelled)::DOUBLE - sum(bad)::DOUBLE + {u.STRENGTH}::DOUBLE * any_value(good)) / (sum(labelled)::DOUBLE + {u.STRENGTH}::DOUBLE) AS purity
-  FROM t{u.DEPTH + 1}, prior GROUP BY host, template
+  FROM tree, prior GROUP BY host, template
 )
 SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN purity < {u.PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 9) AS purity
-FROM general JOIN t{u.DEPTH + 1} USING (host, general) JOIN pure USING (host, template)""")
+FROM general JOIN tree USING (host, general) JOIN pure USING (host, template)""")
     return ",\n".join(parts)
 
 
-ORACLES = {"op3_host_rules": HOST_RULES, "op4_url_templates": _url_templates()}
+#: Operator 8: all windows of 400 bytes, and of 51 words.
+RADIX_REPEATS = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, p, md5(array_slice(b, p, p + 399)) AS d FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS p FROM docs)
+), starts AS (
+  SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY d) AS c FROM windows) WHERE c > 1
+), steps AS (
+  SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before, lead(p) OVER (PARTITION BY r ORDER BY p) AS after FROM starts
+), removed AS (
+  SELECT r, sum(least(400, coalesce(after - p, 400)))::BIGINT AS n_removed, count(*) FILTER (before IS NULL OR p > before + 400)::BIGINT AS n_spans FROM steps GROUP BY r
+), kept AS (
+  SELECT r, string_agg(piece, '' ORDER BY p) AS pieces FROM (
+    SELECT r, 0 AS p, hex(array_slice(b, 1, coalesce(first - 1, octet_length(b)))) AS piece FROM docs LEFT JOIN (SELECT r, min(p) AS first FROM starts GROUP BY r) USING (r)
+    UNION ALL
+    SELECT r, p, hex(array_slice(b, p + 400, coalesce(after - 1, octet_length(b)))) FROM steps JOIN docs USING (r) WHERE coalesce(after, octet_length(b) + 1) > p + 400
+  ) GROUP BY r
+), word_windows AS (
+  SELECT r, p, md5(array_to_string(w[p:p + 50], ' ')) AS d FROM (SELECT r, w, unnest(range(1, len(w) - 49)) AS p FROM docs)
+), word_starts AS (
+  SELECT r, p, lead(p) OVER (PARTITION BY r ORDER BY p) AS after FROM (SELECT r, p, count(*) OVER (PARTITION BY d) AS c FROM word_windows) WHERE c > 1
+), words AS (
+  SELECT r, sum(least(51, coalesce(after - p, 51)))::BIGINT AS n_repeat_words FROM word_starts GROUP BY r
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(pieces)) AS kept_sha256,
+       coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+FROM docs JOIN kept USING (r) LEFT JOIN removed USING (r) LEFT JOIN words USING (r)
+"""
+
+
+def _secret_ownership() -> str:
+    """Operator 5: places from the lengths of matches and of the gaps between them."""
+    from tarn.llm import secrets as s
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    kinds = " UNION ALL ".join(
+        f"SELECT r, {rank} AS rank, generate_subscripts(h, 1) AS i, unnest(h) AS hit, unnest(g[:len(h)]) AS gap "
+        f"FROM (SELECT r, regexp_extract_all(text, {quoted(pattern)}) AS h, string_split_regex(text, {quoted(pattern)}) AS g FROM docs)"
+        for rank, (_, pattern, _, _) in enumerate(s.KINDS)
+    )
+    value = f"CASE WHEN rank = 0 THEN regexp_extract(hit, {quoted(s.KINDS[0][1])}, {s.KINDS[0][2]}) ELSE hit END"
+    good = " OR ".join(f"(rank = {rank} AND regexp_matches(value, {quoted(must)}){' AND regexp_matches(value, ' + quoted('[0-9].*[0-9]') + ')' if rank == s.BASE else ''})" for rank, (_, _, _, must) in enumerate(s.KINDS))
+    names = "[" + ", ".join(quoted(k) for k, *_ in s.KINDS) + "]"
+    shown = f"{names}[rank + 1] || ':' || start || ':' || stop"
+    counts = ", ".join(f"(count(*) FILTER (rank = {rank}))::BIGINT AS n_{kind}" for rank, (kind, *_) in enumerate(s.KINDS[: s.BASE]))
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, chr(0)) AS owner, concat_ws('/', source, lang) AS repository FROM documents
+), hits AS ({kinds}
+), placed AS (
+  SELECT r, rank, (sum(length(gap) + length(hit)) OVER (PARTITION BY r, rank ORDER BY i))::BIGINT AS stop, length(hit) AS size, {value} AS value FROM hits
+), spans AS (SELECT r, rank, stop - size AS start, stop, value FROM placed WHERE {good}
+), base AS (SELECT * FROM spans WHERE rank < {s.BASE}
+), more AS (
+  SELECT * FROM spans k WHERE rank = {s.BASE} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = k.r AND b.start < k.stop AND k.start < b.stop)
+), found AS (SELECT * FROM base UNION ALL SELECT * FROM more
+), owners AS (
+  SELECT value, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, repository)) AS n_repositories FROM found JOIN docs USING (r) GROUP BY value
+), judged AS (
+  SELECT f.*, n_owners >= {s.WIDE} OR n_owners >= 2 AND n_repositories >= {s.WIDE_REPOSITORIES} AS wide FROM found f JOIN owners USING (value)
+), kept AS (
+  SELECT r, string_agg({shown}, ',' ORDER BY start, rank) AS spans, (count(*) FILTER (NOT wide))::BIGINT AS n_live, (count(*) FILTER (wide))::BIGINT AS n_example
+  FROM judged WHERE rank < {s.BASE} OR NOT wide GROUP BY r
+), counted AS (
+  SELECT r, {counts}, string_agg({shown}, ',' ORDER BY start, rank) AS shown FROM base GROUP BY r
+)
+SELECT doc_id, {', '.join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in s.KINDS[: s.BASE])}, sha256(coalesce(shown, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM docs LEFT JOIN counted USING (r) LEFT JOIN kept USING (r)"""
+
+
+ORACLES = {
+    "op3_host_rules": HOST_RULES,
+    "op4_url_templates": _url_templates(),
+    "op5_secret_ownership": _secret_ownership(),
+    "op8_radix_repeats": RADIX_REPEATS,
+}

@@ -1,16 +1,27 @@
 """Operator 4, URL filters: path-template trees.
 
-Each host has a tree of path segments. Digits in a segment become ``{n}`` and
-long hexadecimal runs ``{h}``; below a node with many children the rare ones
-become ``*``; what lies deeper than ``DEPTH`` segments is ``**``. Siblings whose
-shares of bad labelled pages do not differ significantly are merged into one
-branch, level by level. A template is rejected if its smoothed purity, the
-share of good labelled pages shrunk to that of all, is under ``PURITY``.
-Fixed rules on hosts and paths come before templates.
-
-Trees are built from counts by (host, generalised path), so that a hot host is
-small before any of its nodes meet. Siblings that a window orders are at most
-``FANOUT`` + 1 a node.
+Each host has a tree of path segments, in which digits are ``{n}`` and long
+hexadecimal runs ``{h}``. From the root down, level by level, the segments
+below a node become branches by their labelled pages:
+
+* A segment whose share of bad pages is not significantly unlike that of all
+  its siblings together joins the wildcard ``*``, and so does one with under
+  ``LABELS`` labelled pages, which could have no verdict of its own. As each is
+  compared with the pooled counts, not with its neighbour, one without labels
+  bridges nothing.
+* Those that are unlike, worse or better, are held against the pool of their
+  side: what is like it joins ``*-`` or ``*+``, the rest stay by themselves.
+
+A node ends the tree where it has one path left, or too few labelled pages to
+part; what lies below is ``**``. Depth and number of segments are not limited.
+A template is rejected if its smoothed purity, the share of good labelled
+pages shrunk to that of all, is under ``PURITY``. Fixed rules on hosts and
+paths come before templates.
+
+Trees are built from counts by (host, generalised path), and nodes from sums
+that Spark aggregates before it shuffles; nothing gathers a node's segments.
+What many rows of a hot node join is written first, as adaptive execution
+splits a join of two plain exchanges.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path, and these form one template; pages without a label count as unlabelled;
@@ -20,13 +31,13 @@ unlabelled; an empty table gives no rows; repeated rows each count.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import common
 
-DEPTH = 4
-FANOUT = 20
+#: Least labelled pages of a branch, and of what it is compared with.
+LABELS = 10
 PURITY = 0.5
 STRENGTH = 10.0
 Z = 1.96
@@ -63,28 +74,49 @@ def general_path() -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(hexed, "[0-9]+", "{n}"), "/+", "/"), "^/|/$", "")
 
 
+def unlike(n: Column, bad: Column, all_n: Column, all_bad: Column) -> Column:
+    """Whether ``bad`` of ``n`` differs from the rest of ``all_bad`` of ``all_n``: the square of the two-sample z, without division."""
+    n, bad, all_n, all_bad = (c.cast("double") for c in (n, bad, all_n, all_bad))
+    apart = bad * all_n - all_bad * n
+    return (n >= LABELS) & (all_n - n >= LABELS) & (apart * apart * all_n > F.lit(Z * Z) * n * (all_n - n) * all_bad * (all_n - all_bad))
+
+
 def templates(counts: DataFrame) -> DataFrame:
-    """(host, general, template) for ``counts`` (host, general, n, labelled, bad)."""
-    rows = counts.withColumn("template", F.lit(""))
-    for level in range(DEPTH + 1):
-        segment = F.split_part("general", F.lit("/"), F.lit(level + 1)) if level < DEPTH else F.when(F.size(F.split("general", "/")) > DEPTH, F.lit("**")).otherwise(F.lit(""))
-        rows = common.materialize(rows.withColumn("segment", segment), "templates")
-        total = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-        nodes = rows.groupBy("host", "template", "segment").agg(*total)
-        fan = nodes.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all"))
-        rare = (F.col("children") > FANOUT) & (F.col("n") * FANOUT < F.col("all"))
-        nodes = nodes.join(fan, ["host", "template"]).withColumn("branch", F.when(rare, F.lit("*")).otherwise(F.col("segment")))
-        branches = nodes.groupBy("host", "template", "branch").agg(*total).withColumn("rate", (F.col("bad") + 0.5) / (F.col("labelled") + 1.0))
-        order = Window.partitionBy("host", "template").orderBy("rate", "branch")
-        se = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("labelled") + 1.0) + F.col("rate0") * (1 - F.col("rate0")) / (F.col("labelled0") + 1.0))
-        apart = F.when(F.col("rate") - F.col("rate0") > Z * se, 1).otherwise(0)
-        branches = branches.withColumn("rate0", F.lag("rate").over(order)).withColumn("labelled0", F.lag("labelled").over(order))
-        branches = branches.withColumn("apart", apart).withColumn("part", F.sum("apart").over(order))
-        names = F.array_join(F.array_sort(F.collect_list("branch").over(Window.partitionBy("host", "template", "part"))), "|")
-        step = branches.withColumn("next", F.concat_ws("/", "template", names)).select("host", "template", "branch", "next")
-        step = nodes.select("host", "template", "segment", "branch").join(step, ["host", "template", "branch"]).select("host", "template", "segment", "next")
-        rows = rows.join(step, ["host", "template", "segment"]).drop("template", "segment").withColumnRenamed("next", "template")
-    return rows
+    """(host, general, template, labelled, bad) for ``counts`` (host, general, n, labelled, bad)."""
+    node, total = ["host", "template"], [F.sum(c).alias(c) for c in ("labelled", "bad")]
+    rows = common.materialize(counts.withColumn("template", F.lit("")), "templates")
+    done, level = [], 0
+    while True:
+        parts = F.split("general", "/")
+        here = rows.withColumn("segment", F.coalesce(F.get(parts, F.lit(level)), F.lit("")))
+        nodes = here.groupBy(node).agg(
+            F.count("*").alias("paths"), F.max(F.size(parts)).alias("deepest"), (F.min("segment") == F.max("segment")).alias("single"),
+            F.sum("labelled").alias("all_n"), F.sum("bad").alias("all_bad"),
+        )
+        nodes = nodes.withColumn("open", (F.col("paths") > 1) & (F.col("deepest") > level) & (F.col("all_n") >= 2 * LABELS))
+        here = here.join(common.materialize(nodes, "nodes"), node)
+        rest = F.array_join(F.slice(parts, level + 1, F.size(parts)), "/")
+        end = F.when(F.col("deepest") <= level, F.col("template")).when(F.col("paths") == 1, F.concat_ws("/", "template", rest)).otherwise(F.concat("template", F.lit("/**")))
+        done.append(here.where("not open").select("host", "general", end.alias("template"), "labelled", "bad"))
+        here = here.where("open")
+        branches = here.groupBy(*node, "segment").agg(*total, *(F.first(c).alias(c) for c in ("all_n", "all_bad", "single")))
+        worse = F.col("bad") * F.col("all_n") > F.col("all_bad") * F.col("labelled")
+        side = F.when(unlike(F.col("labelled"), F.col("bad"), F.col("all_n"), F.col("all_bad")), F.when(worse, "-").otherwise("+"))
+        branches = common.materialize(branches.withColumn("side", side), "branches")
+        if branches.isEmpty():
+            break
+        pools = branches.where("side is not null").groupBy(*node, "side").agg(F.count("*").alias("members"), F.sum("labelled").alias("pool_n"), F.sum("bad").alias("pool_bad"))
+        branches = branches.join(common.materialize(pools, "pools"), [*node, "side"], "left")
+        alone = F.when(F.col("side").isNull(), F.col("single")).otherwise((F.col("members") == 1) | unlike(F.col("labelled"), F.col("bad"), F.col("pool_n"), F.col("pool_bad")))
+        name = F.when(alone, F.col("segment")).otherwise(F.concat(F.lit("*"), F.coalesce("side", F.lit(""))))
+        names = common.materialize(branches.select(*node, "segment", F.concat_ws("/", "template", name).alias("next")), "names")
+        rows = here.select("host", "general", "n", "labelled", "bad", "template", "segment").join(names, [*node, "segment"])
+        rows = common.materialize(rows.select("host", "general", "n", "labelled", "bad", F.col("next").alias("template")), "templates")
+        level += 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -97,8 +129,8 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     whole = tree.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
     good = 1 - (whole["bad"] + 0.5) / (whole["labelled"] + 1.0) if whole["labelled"] is not None else 1.0
     purity = (F.sum("labelled") - F.sum("bad") + F.lit(STRENGTH * good)) / (F.sum("labelled") + F.lit(STRENGTH))
-    pure = tree.groupBy("host", "template").agg(purity.alias("purity"))
-    judged = tree.join(pure, ["host", "template"]).select("host", "general", "template", "purity")
+    pure = common.materialize(tree.groupBy("host", "template").agg(purity.alias("purity")), "purity")
+    judged = common.materialize(tree.join(pure, ["host", "template"]).select("host", "general", "template", "purity"), "judged")
     rule, verdict = rule_of()
     own = F.when(F.col("purity") < PURITY, F.lit("block")).otherwise(F.lit("allow"))
     out = urls.join(judged, ["host", "general"])

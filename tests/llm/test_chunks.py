@@ -86,3 +86,14 @@ def test_against_brute_force(spark, rng):
     same = spark.createDataFrame([(None, rows[20][1]), (7, rows[20][1]), (7, rows[20][1])], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.n_removed > 0) for r in chunks.dedup(same).collect()) == [(False, False), (False, False), (True, True)]
     assert chunks.dedup(docs.limit(0)).count() == 0
+
+
+def test_documents_without_ids(spark, rng):
+    """Those without an id are documents of their own: what repeats among them is cut."""
+    shared = prose(rng, 80)
+    rows = [(None, f"{prose(rng, 20)} {shared} {prose(rng, 20)}") for _ in range(6)] + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.n_removed > 0 for r in chunks.dedup(docs).collect()) == [False] * 3 + [True] * 5
+    out = chunks.dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns and out.count() == 8
+    assert chunks.dedup_stage(spark, docs.limit(0), "").count() == 0

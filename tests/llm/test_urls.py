@@ -22,6 +22,15 @@ def general(path):
     return re.sub("^/|/$", "", path)
 
 
+def unlike(own, rest):
+    """Two-sample z test of shares, (bad, labelled) each."""
+    (x, n), (y, m) = own, rest
+    if n < urls.LABELS or m < urls.LABELS or not 0 < x + y < n + m:
+        return False
+    p = (x + y) / (n + m)
+    return abs(x / n - y / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m)) > urls.Z
+
+
 def slow(pages, labels):
     """The tree of each host, node by node."""
     bad_of = {}
@@ -35,39 +44,45 @@ def slow(pages, labels):
     good = 1 - (sum(total) + 0.5) / (len(total) + 1)
     out = {}
 
+    def counts(rows):
+        known = [b for _, b in rows if b is not None]
+        return sum(known), len(known)
+
+    def less(a, b):
+        return a[0] - b[0], a[1] - b[1]
+
     def grow(rows, template, level):
-        if level > urls.DEPTH:
-            known = [b for _, b in rows if b is not None]
-            purity = (len(known) - sum(known) + urls.STRENGTH * good) / (len(known) + urls.STRENGTH)
-            return {g: (template, purity) for g, _ in rows}
+        """(template, rows) of the leaves below a node."""
+        paths, whole = {g for g, _ in rows}, counts(rows)
+        if all(len(g.split("/")) <= level for g in paths):
+            return [(template, rows)]
+        if len(paths) == 1:
+            return [("/".join([template, *next(iter(paths)).split("/")[level:]]), rows)]
+        if whole[1] < 2 * urls.LABELS:
+            return [(f"{template}/**", rows)]
         kids = defaultdict(list)
         for g, b in rows:
-            parts = g.split("/")
-            kids[(parts[level] if level < len(parts) else "") if level < urls.DEPTH else "**" if len(parts) > urls.DEPTH else ""].append((g, b))
-        if len(kids) > urls.FANOUT:
-            merged = defaultdict(list)
-            for k, r in kids.items():
-                merged["*" if len(r) * urls.FANOUT < len(rows) else k] += r
-            kids = merged
-        rated = []
+            kids[(g.split("/")[level:] or [""])[0]].append((g, b))
+        sides = defaultdict(list)
         for k, r in kids.items():
-            known = [b for _, b in r if b is not None]
-            rated.append(((sum(known) + 0.5) / (len(known) + 1.0), k, len(known)))
-        rated.sort()
-        parts, last = [], None
-        for rate, k, n in rated:
-            if last is None or rate - last[0] > urls.Z * math.sqrt(rate * (1 - rate) / (n + 1.0) + last[0] * (1 - last[0]) / (last[1] + 1.0)):
-                parts.append([])
-            parts[-1].append(k)
-            last = (rate, n)
-        found = {}
-        for names in parts:
-            found |= grow([x for k in names for x in kids[k]], f"{template}/{'|'.join(sorted(names))}", level + 1)
-        return found
+            own, rest = counts(r), less(whole, counts(r))
+            sides["" if not unlike(own, rest) else "-" if own[0] * rest[1] > rest[0] * own[1] else "+"].append(k)
+        branches = defaultdict(list)
+        for side, members in sides.items():
+            pool = counts([x for k in members for x in kids[k]])
+            for k in members:
+                alone = len(kids) == 1 if not side else len(members) == 1 or unlike(counts(kids[k]), less(pool, counts(kids[k])))
+                branches[k if alone else f"*{side}"] += kids[k]
+        return [leaf for name, r in branches.items() for leaf in grow(r, f"{template}/{name}", level + 1)]
 
     for host, rows in hosts.items():
-        for g, got in grow(rows, "", 0).items():
-            out[host, g] = got
+        leaves = defaultdict(list)
+        for template, r in grow(rows, "", 0):
+            leaves[template] += r
+        for template, r in leaves.items():
+            bad, known = counts(r)
+            for g, _ in r:
+                out[host, g] = template, (known - bad + urls.STRENGTH * good) / (known + urls.STRENGTH)
     result = []
     for i, url in pages:
         host, path = split(url)
@@ -108,3 +123,31 @@ def test_empty(spark):
     assert urls.judge(pages, labels).count() == 0
     one = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     assert [r.verdict for r in urls.judge(one, labels).collect()] == ["allow"]
+
+
+def verdicts(spark, pages, bad, labelled):
+    """Verdicts by the start of the path, of pages (path, number), with shares of labelled and of bad pages."""
+    rows, labels = [], []
+    for path, n in pages:
+        for k in range(n):
+            i = len(rows)
+            rows.append((i, f"http://h.io{path}/{k}x{'abcdefgh'[k % 8]}" if path.endswith("/") else f"http://h.io{path}"))
+            if k < labelled(path, n):
+                labels.append((i, int(k >= bad(path)), 0))
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert sorted(tuple(r) for r in got) == slow(rows, labels) or [tuple(r)[:6] for r in sorted(got)] == [r[:6] for r in sorted(slow(rows, labels))]
+    return {path: {r.verdict for r in got if r.path.startswith(path)} for path, _ in pages}
+
+
+def test_unlabelled_siblings_bridge_nothing(spark):
+    pages = [("/news", 300), ("/spam", 300), ("/misc", 50), ("/more", 50)]
+    got = verdicts(spark, pages, lambda p: 300 if p == "/spam" else 0, lambda p, n: n if n == 300 else 0)
+    assert got["/news"] == {"allow"} and got["/spam"] == {"block"}
+
+
+def test_deep_and_rare_sections(spark):
+    """A bad section in the eighth segment, and one that has one page in a hundred of a node with many children."""
+    deep = "/a/b/c/d/e/f/g"
+    pages = [(f"{deep}/good", 200), (f"{deep}/bad", 100), *((f"{deep}/other{'abcdefghijklmnopqrstuvwxyz'[i]}", 120) for i in range(26)), (f"{deep}/rare", 30)]
+    got = verdicts(spark, pages, lambda p: 1000 if p.endswith(("bad", "rare")) else 2, lambda p, n: n)
+    assert got[f"{deep}/good"] == {"allow"} and got[f"{deep}/bad"] == {"block"} and got[f"{deep}/rare"] == {"block"}
