@@ -1,23 +1,28 @@
 """Operator 6, license scans: MinHash bands over text windows (DataFrame functions only).
 
-Texts and templates become shingles of ``K`` = 5 lower-case words. A window of
-a text that shares no shingle with any template cannot contain a part of one,
-so only windows around shared shingles are looked at; this loses nothing. Each
-gets MinHash values in bands, which are joined with those of the templates'
-windows (taken at every word). The windows come in two scales. Short: 8 words,
-every 4 words, bands of one row; a window that holds the one shingle of a
-five-word notice has a similarity of 1/4, and 48 bands find it but for one case
-in a million. Long: 64 words, every 32, for templates of at least 64 words;
-at a similarity of 0.6, 32 bands of two rows miss one in a million. What the
-bands retrieve is verified exactly: the share of the template's distinct
-shingles that occur around the window must be at least ``CONTAINED`` = 0.8.
-
-The templates are a short fixed list, so their bands are a table of a known
-size and are broadcast; nothing that grows with the corpus is.
+Texts and templates become shingles of ``K`` = 5 lower-case words. A text's
+windows are ``WINDOW`` = 4 shingles (8 words) wide and overlap by four words;
+each shingle is in one of them. A template's are taken at every shingle. Of
+each window there are ``BANDS`` = 48 bands of one row, the least shingle by as
+many orders (hashes with some bits turned), and windows that share a band are
+joined: these bands alone retrieve templates.
+
+A window that holds the only shingle of a five-word notice has a similarity of
+1/4 to it, and 48 bands miss one in a million. In a template of at least
+``LONG`` = 8 shingles that is contained to four fifths, some window of the text
+is whole in it, so all its bands agree, and ``FEW`` = 4 bands are kept of such
+templates. What the bands retrieve is verified exactly: the share of the
+template's distinct shingles that occur in the text within a template's length
+before and after the window must be at least ``CONTAINED`` = 0.8.
+
+Templates are a fixed list, so their bands are a table of a known size and are
+broadcast; nothing that grows with the corpus is. No text is shuffled or
+written, only what is found.
 
 Defined results: a null text is empty and has no license; a text of under five
 words has none; each row of a text gives a row per license found in it, and
-none if there is none; repeated rows repeat them; an empty table gives no rows.
+none if there is none; of several places of a license the best share and the
+first word count; repeated rows repeat them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,22 +37,26 @@ from tarn.llm import common
 
 K = 5
 CONTAINED = 0.8
-#: Words of a window, words between windows, bands, rows of a band, least words of a template.
-SCALES = ((8, 4, 48, 1, 0), (64, 32, 32, 2, 64))
+WINDOW, BANDS = 4, 48
+LONG, FEW = 8, 4
 
 #: License texts and notices (fixed values).
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
     ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 )
 
 
@@ -66,40 +75,24 @@ def shingle_hashes(words: list[str]) -> list[int]:
     return out
 
 
-def _reseeded(h: int, seed: int) -> int:
-    """Spark's xxhash64 of a long and a long."""
-    first = xxh64_intdigest((h % (1 << 64)).to_bytes(8, "little"), 42)
-    return _signed(xxh64_intdigest(seed.to_bytes(8, "little"), first))
+#: Bits to turn for each band's order.
+TURNS = [_signed(xxh64_intdigest(j.to_bytes(8, "little"), 7)) for j in range(BANDS)]
 
 
 def template_words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
-def template_tables(spark: SparkSession, templates) -> tuple[DataFrame, DataFrame, set[int]]:
-    """(template, license, words, shingles), (scale, band, value, template) and all shingles."""
-    listed, bands, every = [], set(), set()
+def template_tables(spark: SparkSession, templates) -> tuple[DataFrame, DataFrame]:
+    """(template, license, n_words, parts) and (value, template) of the bands."""
+    listed, bands = [], set()
     for t, (name, text) in enumerate(templates):
-        words = template_words(text)
-        hashes = shingle_hashes(words)
-        listed.append((t, name, len(words), sorted(set(hashes))))
-        every |= set(hashes)
-        for s, (width, _, n, rows, least) in enumerate(SCALES):
-            if len(words) < least or any(len(words) >= more[4] > least for more in SCALES):
-                continue
-            for i in range(max(1, len(words) - width + 1)):
-                window = hashes[i : i + width - K + 1]
-                least_of = [min(_reseeded(h, j) for h in window) for j in range(n * rows)]
-                for b in range(n):
-                    value = 42
-                    for x in least_of[b * rows : (b + 1) * rows]:
-                        value = xxh64_intdigest((x % (1 << 64)).to_bytes(8, "little"), value)
-                    bands.add((s, b, _signed(value), t))
-    return (
-        spark.createDataFrame(listed, "template int, license string, n_words int, parts array<bigint>"),
-        spark.createDataFrame(sorted(bands), "scale int, band int, value bigint, template int"),
-        every,
-    )
+        hashes = shingle_hashes(template_words(text))
+        listed.append((t, name, len(hashes) + K - 1, sorted(set(hashes))))
+        turns = TURNS if len(hashes) < LONG else TURNS[:FEW]
+        for i in range(max(1, len(hashes) - WINDOW + 1)):
+            bands |= {(min(h ^ turn for h in hashes[i : i + WINDOW]), t) for turn in turns if hashes}
+    return spark.createDataFrame(listed, "template int, license string, n_words int, parts array<bigint>"), spark.createDataFrame(sorted(bands), "value bigint, template int")
 
 
 def words_of(text: str) -> Column:
@@ -117,32 +110,21 @@ def hashed(words: Column) -> Column:
 
 
 def matches(docs: DataFrame, *keep: str, templates=TEMPLATES) -> DataFrame:
-    """``keep`` and license, contained, first_word and n_hits for each license of each row."""
-    spark = docs.sparkSession
-    listed, bands, every = template_tables(spark, templates)
-    parts = docs.select(*keep, hashed(words_of("text")).alias("_parts")).where(F.exists("_parts", lambda h: h.isin(*every)))
-    rows = common.materialize(parts.withColumn("_rid", F.monotonically_increasing_id()), "licenses")
-    places = F.filter(F.transform("_parts", lambda h, i: F.struct(i.alias("at"), h.alias("h"))), lambda p: p["h"].isin(*every))
-    hits = rows.select("_rid", "_parts", places.alias("hits"))
-    found = None
-    for s, (width, step, n, band_rows, _) in enumerate(SCALES):
-        # Windows k that hold the shingle at i whole: k * step <= i <= k * step + width - K.
-        near = F.flatten(F.transform("hits", lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p["at"] + K - width) / step).cast("int")), F.floor(p["at"] / step).cast("int"))))  # noqa: B023
-        windows = hits.select("_rid", "_parts", F.explode(F.array_distinct(near)).alias("k"))
-        windows = windows.select("_rid", "k", F.slice("_parts", F.col("k") * step + 1, width - K + 1).alias("part"))
-        least = [F.array_min(F.transform("part", lambda h: F.xxhash64(h, F.lit(j).cast("bigint")))) for j in range(n * band_rows)]  # noqa: B023
-        values = F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(*least[b * band_rows : (b + 1) * band_rows]).alias("value")) for b in range(n)))
-        got = windows.select("_rid", "k", F.explode(values).alias("v")).select("_rid", "k", "v.band", "v.value")
-        own = F.broadcast(bands.where(F.col("scale") == s))
-        got = got.join(own, ["band", "value"]).select("_rid", "template", (F.col("k") * step).alias("start"), F.lit(width).alias("width")).distinct()
-        found = got if found is None else found.unionByName(got)
-    near = found.join(hits.select("_rid", "hits"), "_rid").join(F.broadcast(listed), "template")
-    inside = F.filter("hits", lambda p: (p["at"] >= F.col("start") - F.col("n_words")) & (p["at"] < F.col("start") + F.col("width") + F.col("n_words")) & F.array_contains(F.col("parts"), p["h"]))
-    near = near.withColumn("inside", inside)
-    distinct = F.size(F.array_distinct(F.transform("inside", lambda p: p["h"])))
-    near = near.withColumn("share", distinct / F.size("parts")).where(F.col("share") >= CONTAINED)
-    best = near.groupBy("_rid", "license").agg(F.max("share").alias("contained"), F.min(F.col("inside")[0]["at"]).cast("long").alias("first_word"))
-    return rows.join(best, "_rid").select(*keep, "license", F.round("contained", 6).alias("contained"), "first_word")
+    """``keep`` and license, contained and first_word for each license of each row."""
+    listed, bands = template_tables(docs.sparkSession, templates)
+    # The id tells rows apart within this one plan, and is not kept.
+    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*keep).alias("_keep"), hashed(words_of("text")).alias("_parts"))
+    at = F.sequence(F.lit(0), F.floor((F.size("_parts") - 1) / WINDOW).cast("int"))
+    windows = F.transform(at, lambda k: F.struct((k * WINDOW).alias("at"), *(F.get("_parts", k * WINDOW + i).alias(f"h{i}") for i in range(WINDOW))))
+    rows = rows.where(F.size("_parts") > 0).select("_rid", "_keep", "_parts", F.explode(windows).alias("w"))
+    values = F.array(*(F.least(*(F.col(f"w.h{i}").bitwiseXOR(F.lit(turn)) for i in range(WINDOW))) for turn in TURNS))
+    found = rows.select("_rid", "_keep", "_parts", F.col("w.at").alias("at"), F.explode(values).alias("value")).join(F.broadcast(bands), "value").join(F.broadcast(listed), "template")
+    first = F.greatest(F.lit(0), F.col("at") - F.col("n_words"))
+    found = found.withColumn("first", first).withColumn("near", F.slice("_parts", F.col("first") + 1, F.col("at") + WINDOW + K - 1 + F.col("n_words") - F.col("first")))
+    found = found.withColumn("shared", F.array_intersect("parts", "near")).withColumn("share", F.size("shared") / F.size("parts")).where(F.col("share") >= CONTAINED)
+    word = F.col("first") + F.array_min(F.transform("shared", lambda h: F.array_position("near", h))) - 1
+    best = found.groupBy("_rid", "license").agg(F.first("_keep").alias("_keep"), F.max("share").alias("contained"), F.min(word).alias("first_word"))
+    return best.select("_keep.*", "license", F.round("contained", 6).alias("contained"), "first_word")
 
 
 def op6_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
