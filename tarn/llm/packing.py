@@ -5,7 +5,7 @@ ids is first cut into full windows; what is left of each goes, longest first,
 into the open window with the least room that still holds it. A segment tree
 indexed by remaining capacity finds that window in ten steps.
 
-Documents are dealt by a hash of the document into bins of about
+Documents are dealt by a hash of the row into bins of about
 ``BIN_DOCS`` documents, and each bin is packed on its own: a bin has thousands
 of pieces, so that what stays open at its end is a small share, and bins are
 independent of each other and repeatable if an executor is lost. A hot source
@@ -85,7 +85,9 @@ def pieces(docs: DataFrame, bins: int, vocabulary: str, window: int = WINDOW) ->
             names = [x.split()[0] for x in PIECE.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(names), names=names)
 
-    salted = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(bins)).alias("bin"))
+    # The row's place is hashed too: repeated rows, or many without an id, are no one bin.
+    row = F.xxhash64("doc_id", F.length("text"), F.monotonically_increasing_id())
+    salted = docs.select("doc_id", "text", F.pmod(row, F.lit(bins)).alias("bin"))
     return salted.mapInArrow(run, PIECE)
 
 

@@ -70,3 +70,10 @@ def test_operator(spark, rng):
     for bin_docs in (2048, 8):
         check_packing(packing.pack(docs, bin_docs=bin_docs).collect(), rows)
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_no_one_bin(spark):
+    """A third of the rows are one and the same: bins stay alike."""
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "if(id % 3 = 0, 'same', 'other') as text").repartition(3)
+    bins = [r["count"] for r in packing.pieces(docs, 10, packing.default_vocabulary()).groupBy("bin").count().collect()]
+    assert len(bins) == 10 and max(bins) < 450
