@@ -114,11 +114,12 @@ def matches(docs: DataFrame, *keep: str, templates=TEMPLATES) -> DataFrame:
     listed, bands = template_tables(docs.sparkSession, templates)
     # The id tells rows apart within this one plan, and is not kept.
     rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*keep).alias("_keep"), hashed(words_of("text")).alias("_parts"))
-    at = F.sequence(F.lit(0), F.floor((F.size("_parts") - 1) / WINDOW).cast("int"))
-    windows = F.transform(at, lambda k: F.struct((k * WINDOW).alias("at"), *(F.get("_parts", k * WINDOW + i).alias(f"h{i}") for i in range(WINDOW))))
-    rows = rows.where(F.size("_parts") > 0).select("_rid", "_keep", "_parts", F.explode(windows).alias("w"))
-    values = F.array(*(F.least(*(F.col(f"w.h{i}").bitwiseXOR(F.lit(turn)) for i in range(WINDOW))) for turn in TURNS))
-    found = rows.select("_rid", "_keep", "_parts", F.col("w.at").alias("at"), F.explode(values).alias("value")).join(F.broadcast(bands), "value").join(F.broadcast(listed), "template")
+    # Windows and bands are rows of one generated loop each, so that no expression is too long to be compiled.
+    windows = rows.where(F.size("_parts") > 0).select("_rid", "_keep", "_parts", F.explode(F.sequence(F.lit(0), F.size("_parts") - 1, F.lit(WINDOW))).alias("at"))
+    windows = windows.select("*", *(F.get("_parts", F.col("at") + i).alias(f"h{i}") for i in range(WINDOW)))
+    turned = windows.select("*", F.explode(F.array(*map(F.lit, TURNS))).alias("turn"))
+    value = F.least(*(F.col(f"h{i}").bitwiseXOR(F.col("turn")) for i in range(WINDOW)))
+    found = turned.select("_rid", "_keep", "_parts", "at", value.alias("value")).join(F.broadcast(bands), "value").join(F.broadcast(listed), "template")
     first = F.greatest(F.lit(0), F.col("at") - F.col("n_words"))
     found = found.withColumn("first", first).withColumn("near", F.slice("_parts", F.col("first") + 1, F.col("at") + WINDOW + K - 1 + F.col("n_words") - F.col("first")))
     found = found.withColumn("shared", F.array_intersect("parts", "near")).withColumn("share", F.size("shared") / F.size("parts")).where(F.col("share") >= CONTAINED)
