@@ -352,7 +352,7 @@ def _children(value: object) -> list[tuple[str, object]] | None:
 
 def explain(value: object, depth: int = 99, name: str = "", indent: int = 0) -> str:
     """The parameters of a step as an indented tree; below ``depth`` only what they are."""
-    head = f"{type(value).__name__} · key={value.key().rpartition(':')[2][:5]}" if is_step(value) else type(value).__name__
+    head = f"{type(value).__name__} [{value.key().rpartition(':')[2][:8]}]" if is_step(value) else type(value).__name__
     held = _children(value)
     if held is None:
         head = f"{value:_}" if type(value) is int else json.dumps(value, ensure_ascii=False) if isinstance(value, str) else repr(value)

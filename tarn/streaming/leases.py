@@ -29,7 +29,12 @@ def leases(beats: DataFrame, holder: str, at: str, lifetime: int = LIFETIME, slo
 
 
 def attempts(events: DataFrame, key: str, at: str, event_id: str, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Attempts of each key by ``every``; an event reported twice within ``late`` counts once. For streams and batches."""
+    """Attempts of each key by ``every``; an event reported twice within ``late`` counts once. For streams and batches.
+
+    A batch knows all reports of an event and counts it once however far apart
+    they are. A stream forgets an event ``late`` after it; one that is reported
+    again beyond that counts again.
+    """
     own = events.withWatermark(at, late)
     own = own.dropDuplicatesWithinWatermark([event_id]) if events.isStreaming else own.dropDuplicates([event_id])
     return own.groupBy(F.window(at, every).alias("w"), key).agg(F.count("*").alias("attempts")).select(F.col("w.start").alias("start"), key, "attempts")

@@ -80,6 +80,7 @@ def test_snapshots(spark, tmp_path):
     assert lineage.snapshot_ids(files, "g", "path", "hash").first().snapshot_id != one
 
 
+# Seconds and how they must be shown.
 @pytest.mark.parametrize(("seconds", "shown"), [(0.0, "0ms"), (0.85, "850ms"), (0.999, "999ms"), (1.0, "1.0s"), (3.2, "3.2s"), (59.9, "59.9s"), (60.0, "1m00s"), (125.0, "2m05s"), (3599.0, "59m59s"), (3599.9, "59m59s"), (3600.0, "1h00m"), (3661.0, "1h01m"), (7384.0, "2h03m")])
 def test_durations(spark, seconds, shown):
     assert spark.range(1).select(text.format_duration(F.lit(seconds))).first()[0] == shown

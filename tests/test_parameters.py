@@ -222,7 +222,7 @@ def test_explain_and_diff_go_into_containers():
     assert steps.diff(a, b) == [("options/depth", 3, 4), ("options/names", ["x"], ["x", "y"]), ("values/1/0", 2.5, 2.0), ("named/a/n", 2, 3)]
     assert steps.diff(everything(values=(1,)), everything(values=(1.0,))) == [("values/0", 1, 1.0)]
     shown = steps.explain(a)
-    assert "  named: dict\n    a: Clean · key=" in shown and "    depth: 3" in shown
+    assert "  named: dict\n    a: Clean [" in shown and "    depth: 3" in shown
 
 
 # Records and steps within parameters at different times

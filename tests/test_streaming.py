@@ -51,3 +51,15 @@ def test_attempts_count_repeats_once(spark, rng, tmp_path):
         leases.append_to(leases.attempts(stream, "holder", "at", "id", late="6 hours"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("start", "holder", "attempts").collect())
     assert got == want and sum(r[2] for r in got) == 120
+
+
+def test_a_repeat_beyond_late_counts_again_in_a_stream(spark, tmp_path):
+    rows = [("a", START, 7), ("a", START + timedelta(minutes=10), 7), ("a", START + timedelta(days=2), 7)]
+    batch = leases.attempts(spark.createDataFrame(rows, SCHEMA), "holder", "at", "id").collect()
+    assert [r.attempts for r in batch] == [1]
+    for part in (rows[:2], [("b", START + timedelta(days=1), 8)], rows[2:], [("end", START + timedelta(days=9), -1)]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        leases.append_to(leases.attempts(stream, "holder", "at", "id"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).where("holder = 'a'").orderBy("start").collect()
+    assert [(r.start, r.attempts) for r in got] == [(START, 1), (START + timedelta(days=2), 1)]
