@@ -106,7 +106,10 @@ class Step:
 
     @classmethod
     def schema_key(cls) -> str:
-        return schema_key(cls.declared())
+        """A digest of the fields' types; a class's are looked at once."""
+        if "_schema_key" not in cls.__dict__:
+            cls._schema_key = schema_key(cls.declared())
+        return cls._schema_key
 
     def _values(self) -> dict[str, object]:
         return {f.name: canonical(getattr(self, f.name), tuple(self.encoders)) for f in keyed_fields(self)}
