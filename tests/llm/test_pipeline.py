@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 from tests.llm import test_chunks, test_quality, test_secrets, test_similar
 from tests.llm.test_packing import check_packing
-from tarn.llm import chunks
+from tarn.llm import chunks, common
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,8 +33,10 @@ def test_stages(spark):
     check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect(), [(r.doc_id, r.text) for r in kept[3].values()])
 
 
-def test_run(spark):
+def test_run(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
     rows = corpus_pipeline.run(spark, SF)
+    assert [p.name.partition("-")[0] for p in tmp_path.iterdir()] == ["packing"]
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 50
 
 
