@@ -42,7 +42,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import common
@@ -76,23 +76,43 @@ class Unit:
 
 BYTES = Unit(DEPTH, (64, 128, 256, DEPTH), 32)
 WORDS = Unit(51, (8, 16, 32, 51), 4, words=True)
+#: Both go through all passes together, as rows that say which they are by place.
+UNITS = (BYTES, WORDS)
+
+
+_powers = [np.array([1], np.uint64), np.array([1], np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers, over ``n`` of them, of an odd number and of its inverse; kept for the next text."""
+    if len(_powers[0]) <= n:
+        with np.errstate(over="ignore"):
+            inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
+            _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(2 * n, x)]) for x in (_ODD, inverse)]
+    return _powers[0], _powers[1]
+
+
+class Stretches:
+    """Hashes of any stretches of a text's tokens: polynomials from sums of all before, brought to their start by division."""
+
+    def __init__(self, values: np.ndarray):
+        self.power, self.back = powers(len(values))
+        with np.errstate(over="ignore"):
+            self.total = np.r_[np.uint64(0), np.cumsum(values * self.power[: len(values)], dtype=np.uint64)]
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (self.total[end] - self.total[start]) * self.back[start]
+            h ^= h >> np.uint64(32)
+            h *= _ODD
+            return h ^ (h >> np.uint64(29))
 
 
 def word_hashes(x: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of its bytes, brought to its start by division."""
+    """A 64-bit hash of each word."""
     inside = np.r_[False, ~_SPACE[x], False]
     edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.array([], np.uint64)
-    with np.errstate(over="ignore"):
-        power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x), _ODD)])
-        total = np.r_[np.uint64(0), np.cumsum(_BYTE[x] * power[:-1], dtype=np.uint64)]
-        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(x), inverse)])
-        h = (total[end] - total[start]) * back[start]
-        h ^= h >> np.uint64(32)
-        return h * _ODD
+    return Stretches(_BYTE[x]).hashes(edge[::2], edge[1::2]) if len(edge) else np.array([], np.uint64)
 
 
 def gram_hashes(x: np.ndarray, size: int) -> np.ndarray:
@@ -124,29 +144,25 @@ def grams(x: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return h[at].view(np.int64), at, first, last
 
 
-def _anchors(unit: Unit):
-    """The suffixes at the anchors of each text: digests through each digit, as far as the text goes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest as digest
-
-        for b in batches:
-            got, ends = [], []
-            for i, t in enumerate(common.utf8(b.column("text"))):
-                if len(t) >= unit.depth:
-                    x = unit.tokens(t)
-                    if len(x) >= unit.depth:
-                        g = grams(x, unit)
-                        raw, w, n = x.tobytes(), x.itemsize, len(x)
-                        got.append((i, *g))
-                        ends.append([[digest(raw[p * w : (p + k) * w]) if p + k <= n else None for p in g[1].tolist()] for k in unit.digits[1:]])
-            if got:
-                row = np.repeat([g[0] for g in got], [len(g[1]) for g in got])
-                numbers = [pa.array(np.concatenate([g[i] for g in got])) for i in (1, 2, 3, 4)]
-                more = [pa.array([None if d is None else d - (1 << 63) for e in ends for d in e[k]], pa.int64()) for k in range(len(unit.digits) - 1)]
-                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row)), *numbers[1:], numbers[0], *more], names=["key", "at", "first", "last", *(f"d{k}" for k in range(len(unit.digits)))])
-
-    return run
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes at the anchors of each text: hashes through each digit, as far as the text goes."""
+    for b in batches:
+        got = []
+        for i, t in enumerate(common.utf8(b.column("text"))):
+            for u, unit in enumerate(UNITS):
+                x = unit.tokens(t) if len(t) >= unit.depth else b""
+                if len(x) < unit.depth:
+                    continue
+                h, at, first, last = grams(x, unit)
+                of = Stretches(_BYTE[x] if x.dtype == np.uint8 else x)
+                # The unit goes into the hash: a digit of words is none of bytes.
+                digits = [(h, np.ones(len(at), bool))] + [(of.hashes(at, np.minimum(at + k, len(x))) ^ np.uint64(k), at + k <= len(x)) for k in unit.digits[1:]]
+                got.append((np.full(len(at), i), np.full(len(at), u), at, first, last, *(d.view(np.int64) for d, _ in digits), *(whole for _, whole in digits)))
+        if got:
+            columns = [np.concatenate(c) for c in zip(*got)]
+            n = len(BYTES.digits)
+            numbers = [pa.array(c) for c in columns[1:5]] + [pa.array(d, mask=~whole) for d, whole in zip(columns[5 : 5 + n], columns[5 + n :])]
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(columns[0])), *numbers], names=["key", "u", "at", "first", "last", *(f"d{k}" for k in range(n))])
 
 
 def _halves(digests: list[bytes]) -> list[pa.Array]:
@@ -154,54 +170,54 @@ def _halves(digests: list[bytes]) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)]
 
 
-def _runs(unit: Unit):
-    """Digests of what the windows of a run share, and of what they cover."""
+def _tokens(text: bytes, found: list[dict]) -> dict[int, tuple[bytes, int, int]]:
+    """By unit that something was found in: the text's tokens as bytes, a token's bytes, and the number of tokens."""
+    tokens = {u: UNITS[u].tokens(text) for u in {g["u"] for g in found}}
+    return {u: (x.tobytes(), x.itemsize, len(x)) for u, x in tokens.items()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest as digest
-
-        for b in batches:
-            core, full, rows = [], [], []
-            for key, text, found in zip(b.column("key").to_pylist(), common.utf8(b.column("text")), b.column("found").to_pylist()):
-                x = unit.tokens(text)
-                raw, w, n = x.tobytes(), x.itemsize, len(x)
-                for g in found:
-                    at, first, last = g["at"], g["first"], g["last"]
-                    for d in range((at - last) // unit.run, (at - first) // unit.run + 1):
-                        end = at - d * unit.run  # the run's last window
-                        start = end - unit.run + 1
-                        core.append(digest(raw[end * w : (start + unit.depth) * w], d))
-                        # What the text's ends cut off is equal to nothing.
-                        whole = start >= 0 and end + unit.depth <= n
-                        full.append(digest(raw[start * w : (end + unit.depth) * w], d) if whole else digest(b"%b %d %d" % (key, at, d), 1 << 40))
-                        rows.append((key, max(first, start), min(last, end)))
-            if rows:
-                key, lo, hi = zip(*rows)
-                yield pa.RecordBatch.from_arrays([*_halves(core), *_halves(full), pa.array(key, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["c1", "c2", "f1", "f2", "key", "lo", "hi"])
-
-    return run
-
-
-def _windows(unit: Unit):
-    """The digest of each window of the runs that are left."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest as digest
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of what the windows of a run share, and of what they cover."""
+    from xxhash import xxh3_128_digest as digest
 
-        for b in batches:
-            out, rows = [], []
-            for key, text, found in zip(b.column("key").to_pylist(), common.utf8(b.column("text")), b.column("found").to_pylist()):
-                x = unit.tokens(text)
-                raw, w = x.tobytes(), x.itemsize
-                for g in found:
-                    for p in range(g["lo"], g["hi"] + 1):
-                        out.append(digest(raw[p * w : (p + unit.depth) * w]))
-                        rows.append((key, p))
-            if rows:
-                key, p = zip(*rows)
-                yield pa.RecordBatch.from_arrays([*_halves(out), pa.array(key, pa.binary()), pa.array(p, pa.int64())], names=["w1", "w2", "key", "p"])
+    for b in batches:
+        core, full, rows = [], [], []
+        for key, text, found in zip(b.column("key").to_pylist(), common.utf8(b.column("text")), b.column("found").to_pylist()):
+            tokens = _tokens(text, found)
+            for g in found:
+                u, at, first, last = g["u"], g["at"], g["first"], g["last"]
+                (raw, w, n), run, depth = tokens[u], UNITS[u].run, UNITS[u].depth
+                for d in range((at - last) // run, (at - first) // run + 1):
+                    end = at - d * run  # the run's last window
+                    start = end - run + 1
+                    seed = d << 1 | u
+                    core.append(digest(raw[end * w : (start + depth) * w], seed))
+                    # What the text's ends cut off is equal to nothing.
+                    whole = start >= 0 and end + depth <= n
+                    full.append(digest(raw[start * w : (end + depth) * w], seed) if whole else digest(b"%b %d %d" % (key, at, seed), 1 << 40))
+                    rows.append((key, u, max(first, start), min(last, end)))
+        if rows:
+            key, u, lo, hi = zip(*rows)
+            yield pa.RecordBatch.from_arrays([*_halves(core), *_halves(full), pa.array(key, pa.binary()), pa.array(u, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["c1", "c2", "f1", "f2", "key", "u", "lo", "hi"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest of each window of the runs that are left."""
+    from xxhash import xxh3_128_digest as digest
 
-    return run
+    for b in batches:
+        out, rows = [], []
+        for key, text, found in zip(b.column("key").to_pylist(), common.utf8(b.column("text")), b.column("found").to_pylist()):
+            tokens = _tokens(text, found)
+            for g in found:
+                u = g["u"]
+                (raw, w, _), depth = tokens[u], UNITS[u].depth
+                for p in range(g["lo"], g["hi"] + 1):
+                    out.append(digest(raw[p * w : (p + depth) * w], u))
+                    rows.append((key, u, p))
+        if rows:
+            key, u, p = zip(*rows)
+            yield pa.RecordBatch.from_arrays([*_halves(out), pa.array(key, pa.binary()), pa.array(u, pa.int64()), pa.array(p, pa.int64())], names=["w1", "w2", "key", "u", "p"])
 
 
 def merged(spans: list[tuple[int, int]], depth: int = DEPTH) -> list[tuple[int, int]]:
@@ -221,10 +237,9 @@ CUT = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 strin
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        columns = (b.column(c).to_pylist() for c in ("key", "copies", "found", "more"))
-        for text, key, copies, found, more in zip(common.utf8(b.column("text")), *columns):
-            spans = merged([(g["lo"], g["hi"]) for g in found or []])
-            words = sum(e - s for s, e in merged([(g["lo"], g["hi"]) for g in more or []], WORDS.depth))
+        for text, key, copies, found in zip(common.utf8(b.column("text")), *(b.column(c).to_pylist() for c in ("key", "copies", "found"))):
+            spans, more = (merged([(g["lo"], g["hi"]) for g in found or [] if g["u"] == u], unit.depth) for u, unit in enumerate(UNITS))
+            words = sum(e - s for s, e in more)
             if copies > 1:
                 spans = [(0, len(text))] if len(text) >= DEPTH else []
                 n = len(text.split())
@@ -264,16 +279,21 @@ def drop_units(texts: DataFrame) -> None:
     texts.sparkSession.sql(f"DROP TABLE IF EXISTS {texts.tarn_path.rpartition('/')[2]}")
 
 
-def ordered(texts: DataFrame, unit: Unit) -> tuple[DataFrame, list[DataFrame]]:
-    """(key, at, first, last): anchors whose suffixes recur, with the windows that can recur; most significant digit first. And the tables that it reads.
+def of_unit(values) -> Column:
+    """A number of the row's unit."""
+    return F.when(F.col("u") == 0, values[0]).otherwise(values[1])
+
+
+def ordered(texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, u, at, first, last): anchors whose suffixes recur, with the windows that can recur; most significant digit first. And the tables that it reads.
 
     What a pass drops is kept with the digit that it reached: the suffix is
     then unlike all others before the next digit's end, and so are windows
     that go on beyond it.
     """
-    digits = [f"d{k}" for k in range(len(unit.digits))]
-    schema = "key binary, at long, first long, last long, " + ", ".join(f"{d} long" for d in digits)
-    left = common.materialize(texts.select("key", "text").mapInArrow(_anchors(unit), schema), "suffixes")
+    digits = [f"d{k}" for k in range(len(BYTES.digits))]
+    schema = "key binary, u long, at long, first long, last long, " + ", ".join(f"{d} long" for d in digits)
+    left = common.materialize(texts.select("key", "text").mapInArrow(_anchors, schema), "suffixes")
     reached = []
     for k, digit in enumerate(digits):
         # Groupings are written before they are joined: a join of two plain exchanges is one that adaptive execution splits where a key is hot.
@@ -281,34 +301,35 @@ def ordered(texts: DataFrame, unit: Unit) -> tuple[DataFrame, list[DataFrame]]:
         alone = F.col(digit) == F.col("_d")
         if k:
             # Windows through the digit's end at most.
-            out = left.join(twice, alone, "left_anti").select("key", "at", "first", F.least(F.col("last"), F.col("at") + unit.digits[k] - unit.depth).alias("last"))
+            less = F.col("at") + of_unit([u.digits[k] - u.depth for u in UNITS])
+            out = left.join(twice, alone, "left_anti").select("key", "u", "at", "first", F.least("last", less).alias("last"))
             reached.append(common.materialize(out.where("first <= last"), "reached"))
-        left, before = common.materialize(left.join(twice, alone, "left_semi"), "suffixes"), left
+        left, before = common.materialize(left.join(twice, alone, "left_semi").drop(digit), "suffixes"), left
         common.discard(before)
         common.discard(twice)
-    out = left.select("key", "at", "first", "last")
+    out = left.select("key", "u", "at", "first", "last")
     for more in reached:
         out = out.unionByName(more)
     return out, [left, *reached]
 
 
-def repeated_windows(texts: DataFrame, unit: Unit = BYTES) -> DataFrame:
-    """(key, lo, hi): ranges of window starts whose tokens also start elsewhere among ``texts`` (key, text), as a written table."""
-    anchors, used = ordered(texts, unit)
+def repeated_windows(texts: DataFrame) -> DataFrame:
+    """(key, u, lo, hi): ranges of window starts whose tokens also start elsewhere among ``texts`` (key, text), as a written table."""
+    anchors, used = ordered(texts)
 
     def written(df: DataFrame, name: str) -> DataFrame:
         used.append(common.materialize(df, name))
         return used[-1]
 
-    found = anchors.groupBy("key").agg(F.collect_list(F.struct("at", "first", "last")).alias("found"))
-    runs = written(texts.join(found, "key").select("key", "text", "found").mapInArrow(_runs(unit), "c1 long, c2 long, f1 long, f2 long, key binary, lo long, hi long"), "runs")
-    classes = written(runs.groupBy("c1", "c2", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one")), "classes")
+    found = anchors.groupBy("key").agg(F.collect_list(F.struct("u", "at", "first", "last")).alias("found"))
+    runs = written(texts.join(found, "key").select("key", "text", "found").mapInArrow(_runs, "c1 long, c2 long, f1 long, f2 long, key binary, u long, lo long, hi long"), "runs")
+    classes = written(runs.groupBy("c1", "c2", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("key", "u", "lo", "hi")).alias("one")), "classes")
     cores = written(classes.groupBy("c1", "c2").count().where("count > 1").select("c1", "c2"), "cores")
-    left = classes.join(cores, ["c1", "c2"], "left_semi").select("one.*").groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    windows = written(texts.join(left, "key").select("key", "text", "found").mapInArrow(_windows(unit), "w1 long, w2 long, key binary, p long"), "windows")
+    left = classes.join(cores, ["c1", "c2"], "left_semi").select("one.*").groupBy("key").agg(F.collect_list(F.struct("u", "lo", "hi")).alias("found"))
+    windows = written(texts.join(left, "key").select("key", "text", "found").mapInArrow(_windows, "w1 long, w2 long, key binary, u long, p long"), "windows")
     same = written(windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "same")
-    single = windows.join(same, ["w1", "w2"], "left_semi").select("key", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    whole = runs.join(classes.where("n > 1").select("c1", "c2", "f1", "f2"), ["c1", "c2", "f1", "f2"], "left_semi").select("key", "lo", "hi")
+    single = windows.join(same, ["w1", "w2"], "left_semi").select("key", "u", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    whole = runs.join(classes.where("n > 1").select("c1", "c2", "f1", "f2"), ["c1", "c2", "f1", "f2"], "left_semi").select("key", "u", "lo", "hi")
     out = common.materialize(whole.unionByName(single), "repeated")
     for df in used:
         common.discard(df)
@@ -318,13 +339,11 @@ def repeated_windows(texts: DataFrame, unit: Unit = BYTES) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per document its bytes, removed bytes and runs, the digest of what is left, the words of repeated passages, and the runs."""
     texts = units(docs)
-    both = [repeated_windows(texts, unit) for unit in (BYTES, WORDS)]
-    found, more = (r.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias(name)) for r, name in zip(both, ("found", "more")))
-    cut = texts.join(found, "key", "left").join(more, "key", "left").select("key", "text", "copies", "found", "more").mapInArrow(_cut, CUT)
-    cut = common.materialize(cut, "cut")
+    repeated = repeated_windows(texts)
+    found = repeated.groupBy("key").agg(F.collect_list(F.struct("u", "lo", "hi")).alias("found"))
+    cut = common.materialize(texts.join(found, "key", "left").select("key", "text", "copies", "found").mapInArrow(_cut, CUT), "cut")
     drop_units(texts)
-    for r in both:
-        common.discard(r)
+    common.discard(repeated)
     return docs.select("doc_id", common.text_key().alias("key")).join(cut, "key").drop("key")
 
 
