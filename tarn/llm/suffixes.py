@@ -10,7 +10,7 @@ the gram of 64 bytes in it with the least hash, so equal windows have theirs at
 the same place, and neighbouring windows share one.
 
 1. Passes over the suffixes at anchors. Digits are the bytes through 64 (the
-   gram), 128, 256 and 400; each pass groups what the one before left
+   gram), 192 and 400; each pass groups what the one before left
    unresolved, and drops suffixes that are alone. How far a suffix came bounds
    the windows of its anchor that can recur.
 2. Windows of an anchor in runs of up to 32. The 369 bytes that a run's
@@ -20,7 +20,7 @@ the same place, and neighbouring windows share one.
    each repeated class that shares its inner bytes with others.
 
 Each pass is a grouping by digit (64 bits of digest while suffixes are only
-dropped, 128 bits where windows are judged) that Spark aggregates before it
+dropped, 128 bits or more where windows are judged) that Spark aggregates before it
 shuffles; a passage that a third of the documents share is one group with a
 count, not one task. Equal texts are first made one unit.
 
@@ -74,8 +74,8 @@ class Unit:
         return word_hashes(x) if self.words else x
 
 
-BYTES = Unit(DEPTH, (64, 128, 256, DEPTH), 32)
-WORDS = Unit(51, (8, 16, 32, 51), 4, words=True)
+BYTES = Unit(DEPTH, (64, 192, DEPTH), 32)
+WORDS = Unit(51, (8, 24, 51), 8, words=True)
 #: Both go through all passes together, as rows that say which they are by place.
 UNITS = (BYTES, WORDS)
 
@@ -178,6 +178,7 @@ def _tokens(text: bytes, found: list[dict]) -> dict[int, tuple[bytes, int, int]]
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of what the windows of a run share, and of what they cover."""
+    from xxhash import xxh3_64_intdigest as number
     from xxhash import xxh3_128_digest as digest
 
     for b in batches:
@@ -194,11 +195,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     core.append(digest(raw[end * w : (start + depth) * w], seed))
                     # What the text's ends cut off is equal to nothing.
                     whole = start >= 0 and end + depth <= n
-                    full.append(digest(raw[start * w : (end + depth) * w], seed) if whole else digest(b"%b %d %d" % (key, at, seed), 1 << 40))
+                    full.append(number(raw[start * w : (end + depth) * w], seed) if whole else number(b"%b %d %d" % (key, at, seed), 1 << 40))
                     rows.append((key, u, max(first, start), min(last, end)))
         if rows:
             key, u, lo, hi = zip(*rows)
-            yield pa.RecordBatch.from_arrays([*_halves(core), *_halves(full), pa.array(key, pa.binary()), pa.array(u, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["c1", "c2", "f1", "f2", "key", "u", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([*_halves(core), pa.array(np.array(full, np.uint64).view(np.int64)), pa.array(key, pa.binary()), *(pa.array(x, pa.int32()) for x in (u, lo, hi))], names=["c1", "c2", "f", "key", "u", "lo", "hi"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +218,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((key, u, p))
         if rows:
             key, u, p = zip(*rows)
-            yield pa.RecordBatch.from_arrays([*_halves(out), pa.array(key, pa.binary()), pa.array(u, pa.int64()), pa.array(p, pa.int64())], names=["w1", "w2", "key", "u", "p"])
+            yield pa.RecordBatch.from_arrays([*_halves(out), pa.array(key, pa.binary()), pa.array(u, pa.int32()), pa.array(p, pa.int32())], names=["w1", "w2", "key", "u", "p"])
 
 
 def merged(spans: list[tuple[int, int]], depth: int = DEPTH) -> list[tuple[int, int]]:
@@ -322,14 +323,20 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
         return used[-1]
 
     found = anchors.groupBy("key").agg(F.collect_list(F.struct("u", "at", "first", "last")).alias("found"))
-    runs = written(texts.join(found, "key").select("key", "text", "found").mapInArrow(_runs, "c1 long, c2 long, f1 long, f2 long, key binary, u long, lo long, hi long"), "runs")
-    classes = written(runs.groupBy("c1", "c2", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("key", "u", "lo", "hi")).alias("one")), "classes")
-    cores = written(classes.groupBy("c1", "c2").count().where("count > 1").select("c1", "c2"), "cores")
-    left = classes.join(cores, ["c1", "c2"], "left_semi").select("one.*").groupBy("key").agg(F.collect_list(F.struct("u", "lo", "hi")).alias("found"))
-    windows = written(texts.join(left, "key").select("key", "text", "found").mapInArrow(_windows, "w1 long, w2 long, key binary, u long, p long"), "windows")
+    runs = written(texts.join(found, "key").select("key", "text", "found").mapInArrow(_runs, "c1 long, c2 long, f long, key binary, u int, lo int, hi int"), "runs")
+    # What a run covers is told apart among those that share their core, so 64 bits more are enough.
+    counted = runs.groupBy("c1", "c2", "f").count()
+    alike = written(counted.groupBy("c1", "c2").agg(F.count("*").alias("classes"), F.max("count").alias("most")).where("classes > 1 or most > 1"), "alike")
+    near = written(runs.join(alike, ["c1", "c2"], "left_semi"), "near")
+    common.discard(runs)
+    classes = near.groupBy("c1", "c2", "f").agg(F.count("*").alias("n"), F.min(F.struct("key", "u", "lo", "hi")).alias("one"))
+    several = alike.where("classes > 1").select("c1", "c2")
+    left = classes.join(several, ["c1", "c2"], "left_semi").select("one.*").groupBy("key").agg(F.collect_list(F.struct("u", "lo", "hi")).alias("found"))
+    windows = written(texts.join(left, "key").select("key", "text", "found").mapInArrow(_windows, "w1 long, w2 long, key binary, u int, p int"), "windows")
     same = written(windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2"), "same")
     single = windows.join(same, ["w1", "w2"], "left_semi").select("key", "u", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    whole = runs.join(classes.where("n > 1").select("c1", "c2", "f1", "f2"), ["c1", "c2", "f1", "f2"], "left_semi").select("key", "u", "lo", "hi")
+    repeated = written(near.groupBy("c1", "c2", "f").count().where("count > 1").select("c1", "c2", "f"), "whole")
+    whole = near.join(repeated, ["c1", "c2", "f"], "left_semi").select("key", "u", "lo", "hi")
     out = common.materialize(whole.unionByName(single), "repeated")
     for df in used:
         common.discard(df)
