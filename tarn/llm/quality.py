@@ -78,16 +78,17 @@ def host_counts(scored: DataFrame, host: str = "source") -> DataFrame:
 def host_verdicts(hosts: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """``host_counts`` with the shrunken rate and the verdict.
 
-    The prior is fitted by moments: the variance of the hosts' rates, less what
-    sampling adds to it (mean * (1 - mean) / documents of a host, on average).
-    If nothing is left, hosts do not differ and all have the mean rate. Only
-    the prior's two parameters pass through the driver.
+    The prior is fitted by moments: the rates' squared distances from the mean
+    of all documents, weighted by documents, less what sampling alone would
+    give. If nothing is left, hosts do not differ and all have the mean rate.
+    Only sums over hosts pass through the driver.
     """
-    rate = F.col("host_failed") / F.col("host_docs")
-    total = hosts.agg(F.sum("host_docs").alias("n"), F.sum("host_failed").alias("x"), F.count("*").alias("k"), F.var_samp(rate).alias("v"), F.avg(1 / F.col("host_docs")).alias("u")).first()
+    n, x = F.col("host_docs"), F.col("host_failed")
+    total = hosts.agg(F.sum(n).alias("n"), F.sum(x).alias("x"), F.count("*").alias("k"), F.sum(x * x / n).alias("xx"), F.sum(n.cast("double") * n).alias("nn")).first()
     mean = total["x"] / total["n"] if total["n"] else 0.0
     spread = mean * (1 - mean)
-    between = (total["v"] or 0.0) - spread * (total["u"] or 0.0)
+    unlike = total["n"] - total["nn"] / total["n"] if total["n"] else 0.0
+    between = (total["xx"] - total["x"] * mean - (total["k"] - 1) * spread) / unlike if unlike > 0 else 0.0
     if not spread or between <= 0:
         shrunk = F.lit(mean)
     else:

@@ -35,9 +35,9 @@ WITH words AS (
          sum((base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines)::INT) AS x
   FROM failed WHERE source IS NOT NULL GROUP BY source
 ), prior AS (
-  SELECT sum(x) / sum(n) AS m, var_samp(x / n) AS v, avg(1 / n) AS u FROM hosts
+  SELECT sum(x) / sum(n) AS m, count(*) AS k, sum(x) AS x, sum(x * x / n) AS xx, sum(n) - sum(n::DOUBLE * n) / sum(n) AS unlike_ FROM hosts
 ), strength AS (
-  SELECT m, m * (1 - m) AS spread, coalesce(v, 0) - m * (1 - m) * u AS between_ FROM prior
+  SELECT m, m * (1 - m) AS spread, CASE WHEN unlike_ > 0 THEN (xx - x * m - (k - 1) * m * (1 - m)) / unlike_ ELSE 0 END AS between_ FROM prior
 ), verdicts AS (
   SELECT source, CASE WHEN spread = 0 OR between_ <= 0 THEN m
                       ELSE (x + m * greatest(spread / between_ - 1, 0.0)) / (n + greatest(spread / between_ - 1, 0.0)) END AS host_rate

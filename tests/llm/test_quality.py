@@ -30,10 +30,9 @@ def slow_kept(rows):
     hosts.pop(None, None)
     n, x = sum(map(len, hosts.values())), sum(map(sum, hosts.values()))
     m = x / n if n else 0.0
-    rates = [sum(v) / len(v) for v in hosts.values()]
-    mean = sum(rates) / len(rates) if rates else 0
-    var = sum((r - mean) ** 2 for r in rates) / (len(rates) - 1) if len(rates) > 1 else 0
-    between = var - m * (1 - m) * sum(1 / len(v) for v in hosts.values()) / len(hosts) if hosts else 0
+    away = sum(len(v) * (sum(v) / len(v) - m) ** 2 for v in hosts.values()) - (len(hosts) - 1) * m * (1 - m)
+    unlike = n - sum(len(v) ** 2 for v in hosts.values()) / n if n else 0
+    between = away / unlike if unlike > 0 else 0
     if m * (1 - m) and between > 0:
         s = max(m * (1 - m) / between - 1, 0)
         bad = {h for h, v in hosts.items() if (sum(v) + m * s) / (len(v) + s) > 0.5}
