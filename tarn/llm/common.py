@@ -18,14 +18,14 @@ from tarn.sources.shared import file_system, shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a scan of it.
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet, with the writer's ``options``, to the shared folder and return a scan of it.
 
     This cuts the lineage in a way that survives the loss of executors.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tarn_path = path
     made = _made.get()

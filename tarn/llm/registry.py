@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import chunks, licenses, media, packing, pieces, quality, secrets, simhash, sql, suffixes, urls
+from tarn.llm import chunks, codes, divergence, extract, licenses, media, packing, pieces, quality, secrets, simhash, sql, suffixes, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_radix_repeats": suffixes.op8_radix_repeats,
         "op9_media_sniff": media.op9_media_sniff,
         "op10_gear_chunks": chunks.op10_gear_chunks,
+        "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_filtering_codes": codes.op12_filtering_codes,
+        "op13_tag_path_text": extract.op13_tag_path_text,
     }
 
 

@@ -185,9 +185,85 @@ SELECT doc_id, {', '.join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in s
 FROM docs LEFT JOIN counted USING (r) LEFT JOIN kept USING (r)"""
 
 
+#: Operator 11. Every word of every pair, as whole numbers of 128 bits.
+SOURCE_DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS MATERIALIZED (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), cells AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), totals AS (
+  SELECT lang, source, sum(n) AS total FROM cells GROUP BY lang, source
+), grouped AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce(t.total, 0)::HUGEINT AS total, coalesce(l.v, 0)::HUGEINT AS v, coalesce(l.total, 0)::HUGEINT AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN totals t USING (lang, source) LEFT JOIN langs l USING (lang)
+), shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v) AS p,
+         1 + (1000000000::HUGEINT * (k.n + 5)) // (g.lang_total + 5 * g.v) AS q
+  FROM grouped g JOIN kept k ON k.lang = g.lang LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM grouped a JOIN grouped b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), found AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def _vector_codes(rounds: int = 6) -> str:
+    """Operator 12: a step of Lloyd's iteration as three queries, distances of all parts to all entries."""
+    steps = []
+    for k in range(rounds + 1):
+        # Nearest entries of all parts; a tie goes to the lower index.
+        steps.append(f"""d{k} AS MATERIALIZED (
+  SELECT r, part, arg_min(entry, (distance, entry)) AS entry, min(distance) AS distance
+  FROM (SELECT x.r, x.part, b.entry, sum((x.x - b.x) * (x.x - b.x)) AS distance FROM parts x JOIN b{k} b USING (part, i) GROUP BY x.r, x.part, b.entry) GROUP BY r, part
+)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.i, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+    SELECT part, entry, i, (sum(x.x) - ((sum(x.x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM parts x JOIN d{k} USING (r, part) GROUP BY part, entry, i
+  ) m ON m.part = b.part AND m.entry = b.entry AND m.i = b.i
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0 AND len(embedding) % 8 = 0
+), places AS (
+  SELECT r, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS place, len(embedding) // 8 AS size FROM kept
+), parts AS MATERIALIZED (
+  SELECT r, place // size AS part, place % size AS i, floor(x::DOUBLE * 4096)::HUGEINT AS x FROM places
+), seeds AS (
+  SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 16
+), b0 AS MATERIALIZED (
+  SELECT part, entry, i, x FROM parts JOIN seeds USING (r)
+), {', '.join(steps)}, books AS (
+  SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM b{rounds}
+), coded AS (
+  SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(distance) AS error FROM d{rounds} GROUP BY r
+)
+SELECT vec_id, code, error::BIGINT AS error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r) CROSS JOIN books
+"""
+
+
 ORACLES = {
     "op3_host_rules": HOST_RULES,
     "op4_url_templates": _url_templates(),
     "op5_secret_ownership": _secret_ownership(),
     "op8_radix_repeats": RADIX_REPEATS,
+    "op11_source_divergence": SOURCE_DIVERGENCE,
+    "op12_filtering_codes": _vector_codes(),
 }

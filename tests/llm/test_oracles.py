@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_query(spark, name):
     con = duckdb.connect()
     con.sql("SET timezone='UTC'")
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     want = con.sql(registry.oracle_sql()[name])
@@ -37,6 +37,9 @@ CONTRACTS = {
     "op7_best_fit_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op8_radix_repeats": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op9_media_sniff": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+    "op11_source_divergence": "lang source part item value rank",
+    "op12_filtering_codes": "vec_id code error label_error codebooks_sha256",
+    "op13_tag_path_text": "page_id url text n_chars",
 }
 
 
@@ -45,5 +48,5 @@ def test_columns(spark, name):
     types = dict(registry.queries()[name](spark, SF).dtypes)
     want = CONTRACTS[name].split()
     assert not set(want) - set(types)
-    text = {"fingerprint", "host", "path", "rule", "verdict", "base_sha256", "spans", "kept_sha256", "payload_sha256", "media_sha256", "feature"}
-    assert {c: types[c] for c in want} == {c: "string" if c in text else "boolean" if c in ("base_failed", "kept") else "bigint" for c in want}
+    text = {"fingerprint", "host", "path", "rule", "verdict", "base_sha256", "spans", "kept_sha256", "payload_sha256", "media_sha256", "feature", "lang", "source", "part", "item", "code", "codebooks_sha256", "url", "text"}
+    assert {c: types[c] for c in want} == {c: "string" if c in text else "boolean" if c in ("base_failed", "kept") else "int" if c == "rank" else "bigint" for c in want}
