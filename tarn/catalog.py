@@ -6,17 +6,20 @@ requests, events for attempts and leases, documents for files.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text
 from tarn.operators import evolve, graph, grouping, keys, lineage, lookup
 from tarn.plans import steps
-from tarn.sources import results
-from tarn.sources.shared import shared_dir
+from tarn.sources import arrays, datasource, results, rows
+from tarn.sources.shared import shared_dir, written
 from tarn.streaming import leases
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +196,33 @@ def array_leaf_roundtrip(spark, sf_dir):
     return published(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dims"), "label")
 
 
+@query("SELECT vec_id, len(embedding)::INTEGER AS dims, embedding[1]::DOUBLE AS first, embedding[-1]::DOUBLE AS last FROM embeddings")
+def array_shards_roundtrip(spark, sf_dir):
+    """Vectors as one array of many shards, written and read by executors."""
+    numbered = grouping.numbered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), [], "vec_id", "at")
+    numbered = written(numbered, "numbered")
+    folder = f"{shared_dir(spark)}/array-{uuid.uuid4().hex}"
+    arrays.save(numbered, folder, "at", "embedding", most=1 << 16)
+    back = arrays.load(spark, folder, split=1 << 14)
+    value = lambda i: F.element_at("value", i).cast("double")
+    return back.join(numbered.select("at", "vec_id"), F.col("index") == F.col("at")).select("vec_id", F.size("value").alias("dims"), value(1).alias("first"), value(-1).alias("last"))
+
+
+@query("""SELECT n_name, count(*) AS customers FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name""")
+def store_pushdown(spark, sf_dir):
+    """A result for each nation and each market segment, written by executors; those of nations are read back by filters that reach the reader."""
+    datasource.register(spark)
+    root = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    for name, by in (("nation", "n_name"), ("segment", "c_mktsegment")):
+        value = F.to_json(F.struct(F.col(by).alias("of"), F.struct(F.count("*").alias("customers"), F.max("c_custkey").alias("last")).alias("counts")))
+        made = c.groupBy(by).agg(value.alias("value")).select(F.lit(name).alias("name"), F.lit("v1").alias("schema"), keys.content_key(by).alias("key"), "value")
+        made.write.format("tarn").mode("append").save(root)
+    found = spark.read.format("tarn").load(root).where("name = 'nation' and leaf in ('of', 'counts/customers')")
+    of = lambda leaf: F.max(F.when(F.col("leaf") == leaf, F.col("value")))
+    return found.groupBy("key").agg(F.trim(of("of"), F.lit('"')).alias("n_name"), of("counts/customers").cast("long").alias("customers")).drop("key")
+
+
 @query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
 def result_tree_roundtrip(spark, sf_dir):
     """A result with a scalar, a list and a table, published and loaded."""
@@ -450,6 +480,27 @@ def worker_demand(spark, sf_dir):
     return grouping.demand(counts, "wanted", "tracked", 4)
 
 
+# Rows computed once
+
+
+def joined_key(t: pa.Table) -> pa.Table:
+    parts = [pc.cast(t["o_custkey"], pa.string()), t["o_orderpriority"]]
+    return t.select(["o_custkey", "o_orderpriority"]).append_column("label", pc.binary_join_element_wise(*parts, ":"))
+
+
+@query("""SELECT o_orderkey, o_custkey || ':' || o_orderpriority AS label,
+CASE WHEN (o_custkey, o_orderpriority) IN (SELECT (o_custkey, o_orderpriority) FROM orders WHERE o_orderstatus = 'F') THEN 1 ELSE 2 END AS created FROM orders""")
+def rows_created_once(spark, sf_dir):
+    """Finished orders are asked for first, then all: the second request computes only what the first left, by customer in groups of at most 64."""
+    schema = "o_custkey long, o_orderpriority string, label string"
+    store = rows.create(spark, f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}", schema, ["o_custkey", "o_orderpriority"], 16)
+    orders = table(spark, sf_dir, "orders")
+    store.load_or_create(orders.where("o_orderstatus = 'F'").select(*store.key), rows.batched(joined_key, schema))
+    all_of = store.load_or_create(orders.select("o_orderkey", *store.key), lambda misses: rows.batched(joined_key, schema, ["o_custkey"], 64)(misses.select(*store.key, rows.HASH)))
+    early = store.scan(1).select(*store.key).withColumn("created", F.lit(1))
+    return all_of.join(early, store.key, "left").select("o_orderkey", "label", F.coalesce("created", F.lit(2)).alias("created"))
+
+
 # Graphs
 
 EDGES = """edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),

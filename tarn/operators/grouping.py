@@ -28,7 +28,11 @@ def numbered(df: DataFrame, keys: list[str], order: str, out: str, width: int =
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy(*keys, "_cut").orderBy(order)
     out_col = F.row_number().over(within) - 1 + F.col("_start")
-    return cut.join(starts, [*keys, "_cut"]).withColumn(out, out_col.cast("long")).drop("_cut", "_start")
+    same = F.col("_cut") == F.col("_of")
+    for i, k in enumerate(keys):  # null is a key like any other
+        starts, same = starts.withColumnRenamed(k, f"_key{i}"), same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    starts = starts.withColumnRenamed("_cut", "_of")
+    return cut.join(starts, same).withColumn(out, out_col.cast("long")).drop("_cut", "_start", "_of", *(f"_key{i}" for i in range(len(keys))))
 
 
 def chunks(df: DataFrame, keys: list[str], order: str, cap: int, out: str = "chunk") -> DataFrame:
