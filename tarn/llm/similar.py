@@ -2,21 +2,33 @@
 
 The pipeline's form of operator 2. Texts are sets of shingles of five words;
 two are near-duplicates at a Jaccard similarity of at least 0.8. Sets become
-fingerprints of 128 bits. At a similarity of 0.8 two differ in 19 bits on
-average, so a fixed few bits would not do: the fingerprint is cut into 16
-bytes, and each pair of bytes is a table, so that two fingerprints meet if they
-agree in any two bytes (19 in 20 pairs of similarity 0.8, all but 2 in 1,000 at
-0.9). Within a bucket distances are counted
-on bit planes as in operator 2; those up to 28 bits are candidates. Of these a
-bucket yields a forest that spans what they join, closest links first: what is
-joined by texts alike enough is joined by the forest's own closest links, and a
-large group of near copies yields no square of its size. Of links about as
-close, those of the least node come first, which are the same in many tables.
-Candidates are confirmed by the exact similarity of their shingles, and of each
-component of confirmed links one document stays.
-
-Nothing is dropped or capped; what SimHash itself misses is measured in the
-README. Equal sets of shingles are one node of the graph.
+fingerprints of 128 bits, in which such pairs differ in 19 bits on average at
+0.8, so a fixed few bits would not do. A table takes some of the 128 bits, drawn
+once and for all, as its key; fingerprints meet in a bucket if they agree in a
+table's bits. The key grows with the number of fingerprints, so that buckets
+stay small, and the number of tables with the key, so that a pair 19 bits apart
+meets in ``HITS`` tables on average (``drawn``). Two that meet, differ in up to
+``RADIUS`` bits, counted on bit planes as in operator 2, and have sets of sizes
+that allow a similarity of 0.8, are a candidate, which the exact similarity of
+their shingles confirms or not.
+
+The result is the components of all confirmed candidates; the rounds in which
+these are looked at only save work:
+
+* First, few tables with long keys: each member of a bucket is held against the
+  bucket's first. This joins most of a large group of near copies by as many
+  candidates as it has members.
+* Then all tables. Members of a bucket whose components differ are candidates,
+  closest first; a member passes on its first ``FIRST`` ones. Members of the
+  bucket's largest component are not compared with each other.
+* Members that had more candidates are looked at again, with eight times as
+  many, less those already tested, until nobody has more.
+
+So no candidate between different components is left untested, whatever the
+size of a bucket, and none within a component is needed.
+
+Equal sets of shingles are one node of the graph. What SimHash itself misses is
+measured in the README.
 
 Defined results: a null text is empty; texts of under five words have one
 shingle, all their words, and texts without words are equal; of a component
@@ -27,27 +39,36 @@ gives no rows; other columns are passed on, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tarn.llm import common
 from tarn.llm.components import components
-from tarn.llm.simhash import bucket_places, lanes, majority, planes, within
+from tarn.llm.simhash import lanes, majority, planes, within
 
 SHINGLE = 5
-#: Classes of differing bits, of 128. The last is the farthest that candidates may be apart.
-CLASSES = (10, 14, 17, 20, 24, 28)
-RADIUS = CLASSES[-1]
-TABLES = list(combinations(range(16), 2))
-#: Buckets up to the first size are compared pair by pair, many at a time; up to the second, all with all in one go.
-SMALL, MIDDLE = 16, 1024
-
+BITS = 128
+#: The farthest that candidates may be apart, and the distance at similarity 0.8.
+RADIUS = 28
+USUAL = 19
+#: Tables in which a pair at the usual distance meets on average; bits of a key at least and at most; nodes of a bucket.
+HITS = 5
+KEY = (16, 40)
+HELD = 32
+#: Bits and tables of the first round.
+LONG = 40, 16
+#: Candidates that a member passes on at first, and how much more each time. Buckets of up to ``SMALL`` never have more.
+FIRST, MORE = 16, 8
+SMALL = 16
+#: Words of bit planes that are compared at once.
+PLANES = 1 << 22
+SEED = 11
 
 def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     """128-bit hashes of the distinct shingles of a text: rows of two words."""
@@ -65,17 +86,18 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Node (a digest of the set of shingles) and fingerprint of each text."""
+    """Node (a digest of the set of shingles), size of the set and fingerprint of each text."""
     for b in batches:
-        nodes, fps = [], np.zeros((b.num_rows, 2), np.uint64)
+        nodes, sizes, fps = [], [], np.zeros((b.num_rows, 2), np.uint64)
         for i, text in enumerate(common.utf8(b.column("text"))):
             h = shingles(text)
             nodes.append(h.sum(0, dtype=np.uint64).tobytes())
+            sizes.append(len(h))
             if len(h):
                 fps[i] = majority(h)
         fps = fps.view(np.int64)
         numbers = [pa.array(np.ascontiguousarray(fps[:, i])) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(nodes, pa.binary()), *numbers], names=["doc_id", "key", "node", "lo", "hi"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), *numbers], names=["doc_id", "key", "node", "size", "lo", "hi"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,150 +108,220 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("vid"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["vid", "parts"])
 
 
-def forest(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """The links (i, j) of a forest that spans all, of the closest class first and then of the least place: rounds in which every tree takes its best link."""
-    names, ends = np.unique(np.r_[i, j], return_inverse=True)
-    order = np.lexsort((j, i, np.searchsorted(CLASSES, far)))
-    a, b = ends[: len(i)][order], ends[len(i) :][order]
-    tree, rank, keep = np.arange(len(names)), np.arange(len(i)), []
-    while True:
-        open_ = tree[a] != tree[b]
-        a, b, rank = a[open_], b[open_], rank[open_]
-        if not len(a):
-            return order[np.sort(np.concatenate(keep))] if keep else np.array([], np.int64)
-        best = np.full(len(names), len(i))
-        np.minimum.at(best, tree[a], rank)
-        np.minimum.at(best, tree[b], rank)
-        taken = np.searchsorted(rank, np.unique(best[best < len(i)]))
-        keep.append(rank[taken])
-        parent = list(range(len(names)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        for x, y in zip(tree[a[taken]].tolist(), tree[b[taken]].tolist()):
-            parent[root(y)] = root(x)
-        tree = np.array([root(x) for x in range(len(names))])[tree]
+def drawn(n: int) -> tuple[int, int]:
+    """Bits of a key and number of tables for ``n`` nodes."""
+    bits = min(max(math.ceil(math.log2(max(n, 1) / HELD)), KEY[0]), KEY[1])
+    meet = math.prod((BITS - USUAL - i) / (BITS - i) for i in range(bits))
+    return bits, math.ceil(HITS / meet)
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+@cache
+def tables(bits: int, n: int) -> np.ndarray:
+    """The places of the bits of ``n`` tables."""
+    return np.random.default_rng(SEED).permuted(np.tile(np.arange(BITS), (n, 1)), axis=1)[:, :bits]
 
 
-def middle_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (places) within one bucket of a middle size: all its fingerprints are queries at once."""
-    n = len(fps)
-    vertical = planes(fps)
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(n, 16), axis=1, bitorder="little").T
-    diff = vertical[:, None, :] ^ (bits.astype(np.uint64) * np.uint64(0xFFFFFFFFFFFFFFFF))[:, :, None]
-    i, j = divmod(lanes(within(diff.reshape(128, -1), RADIUS)), vertical.shape[1] * 64)
-    keep = (i < j) & (j < n)
-    i, j = i[keep], j[keep]
-    keep = forest(i, j, _distance(fps[i], fps[j]))
-    return i[keep], j[keep]
+def dealt(nodes: DataFrame, bits: int, n: int) -> DataFrame:
+    """``nodes`` (vid, label, size, lo, hi, asks), a row for each table, with its bucket there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                fps = np.stack([b.column(c).to_numpy() for c in ("lo", "hi")], 1)
+                own = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little").astype(bool)
+                weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+                for t, places in enumerate(tables(bits, n)):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[:, places] @ weights + (t << bits)), *b.columns], names=["bucket", *names])
+
+    names = ["vid", "label", "size", "lo", "hi", "asks"]
+    return nodes.select(*names).mapInArrow(run, "bucket long, vid long, label long, size int, lo long, hi long, asks boolean")
+
+
+def like_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can have a similarity of 0.8."""
+    return 5 * np.minimum(a, b).astype(np.int64) >= 4 * np.maximum(a, b).astype(np.int64)
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
-def large_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (places) within one large bucket: a forest of each class, which together hold the closest one."""
-    each = [bucket_places(fps, radius, radius) for radius in CLASSES]
-    return np.concatenate([x[0] for x in each]), np.concatenate([x[1] for x in each])
+def star_links(start: np.ndarray, vid: np.ndarray, size: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of buckets that begin at ``start``, each member and the first, if they can be alike."""
+    first = np.repeat(start, np.diff(np.r_[start, len(vid)]))
+    at = np.flatnonzero(first < np.arange(len(vid)))
+    at = at[like_sizes(size[at], size[first[at]])]
+    at = at[_distance(fps[at], fps[first[at]]) <= RADIUS]
+    return vid[first[at]], vid[at]
 
 
-def small_links(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (places) within many small buckets: each pair of a bucket is a lane."""
-    left, right = [], []
+def small_links(start: np.ndarray, sizes: np.ndarray, label: np.ndarray, size: np.ndarray, fps: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates (places) within many small buckets: each pair of a bucket is a lane."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for n in np.unique(sizes):
         i, j = np.triu_indices(int(n), 1)
-        s = starts[sizes == n][:, None]
+        s = start[sizes == n][:, None]
         left.append((s + i).ravel())
         right.append((s + j).ravel())
     i, j = np.concatenate(left), np.concatenate(right)
-    found = [k + lanes(within(planes(fps[i[k : k + 65536]] ^ fps[j[k : k + 65536]]), RADIUS)) for k in range(0, len(i), 65536)]
+    some = (label[i] != label[j]) & (asks[i] | asks[j])
+    i, j = i[some], j[some]
+    some = like_sizes(size[i], size[j])
+    i, j = i[some], j[some]
+    found = [np.zeros(0, np.int64), *(k + lanes(within(planes(fps[i[k : k + 65536]] ^ fps[j[k : k + 65536]]), RADIUS)) for k in range(0, len(i), 65536))]
     found = np.concatenate(found)
     found = found[found < len(i)]
-    i, j = i[found], j[found]
-    keep = forest(i, j, _distance(fps[i], fps[j]))
-    return i[keep], j[keep]
-
+    return i[found], j[found]
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within the buckets of a partition sorted by bucket; a bucket may go over several batches."""
 
-    def linked(bucket: np.ndarray, vid: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+def large_links(label: np.ndarray, size: np.ndarray, fps: np.ndarray, asks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (places) within one bucket, for each member that asks its ``most`` closest, and the members that have more."""
+    names, code, n = np.unique(label, return_inverse=True, return_counts=True)
+    queries = np.flatnonzero(asks & (code != n.argmax()))
+    asked = np.zeros(len(label), bool)
+    asked[queries] = True
+    vertical = planes(fps)
+    step = max(PLANES // vertical.size, 1)
+    a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(queries), step):
+        q = queries[at : at + step]
+        bits = np.unpackbits(np.ascontiguousarray(fps[q]).view(np.uint8), axis=1, bitorder="little").T
+        diff = vertical[:, None, :] ^ (bits.astype(np.uint64) * np.uint64(0xFFFFFFFFFFFFFFFF))[:, :, None]
+        i, j = divmod(lanes(within(diff.reshape(BITS, -1), RADIUS)), vertical.shape[1] * 64)
+        i, j = i[j < len(fps)], j[j < len(fps)]
+        # Of two members that ask, the first does.
+        some = (label[q[i]] != label[j]) & ~(asked[j] & (j < q[i]))
+        i, j = i[some], j[some]
+        some = like_sizes(size[q[i]], size[j])
+        i, j = q[i[some]], j[some]
+        order = np.lexsort((j, _distance(fps[i], fps[j]), i))
+        i, j = i[order], j[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        a.append(i[rank < most])
+        b.append(j[rank < most])
+        more.append(i[rank == most])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(more)
+
+
+def linked(rows: DataFrame, most: int) -> DataFrame:
+    """Candidates (a, b) of what was ``dealt``, a < b; (a, -1) for members that have more. ``most`` = 0: each member with its bucket's first."""
+
+    def links(bucket, vid, label, size, fps, asks) -> pa.RecordBatch:
         new = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         sizes = np.diff(np.r_[new, len(vid)])
-        small = (sizes > 1) & (sizes <= SMALL)
-        found = [small_links(fps, new[small], sizes[small])] if small.any() else []
-        for s, n in zip(new[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            i, j = (middle_links if n <= MIDDLE else large_links)(fps[s : s + n])
-            found.append((i + s, j + s))
-        a, b = (vid[np.concatenate([x[i] for x in found])] if found else np.array([], np.int64) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    kept: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bucket, vid = (batch.column(c).to_numpy() for c in ("bucket", "vid"))
-        fps = np.stack([batch.column(c).to_numpy() for c in ("lo", "hi")], 1).view(np.uint64)
-        cut = int(np.searchsorted(bucket, bucket[-1]))
-        if cut or not kept or kept[-1][0][-1] != bucket[0]:
-            kept.append([bucket[:cut], vid[:cut], fps[:cut]])
-            if sum(len(x[0]) for x in kept):
-                yield linked(*(np.concatenate(x) for x in zip(*kept)))
-            kept = []
-        kept.append([bucket[cut:], vid[cut:], fps[cut:]])
-    if kept:
-        yield linked(*(np.concatenate(x) for x in zip(*kept)))
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes (vid, lo, hi) that may be near-duplicates."""
-    of = [F.shiftright(c, 8 * i).bitwiseAND(F.lit(255)).cast("int") for c in ("lo", "hi") for i in range(8)]
-    keys = F.array(*(of[i] * 256 + of[j] + t * 65536 for t, (i, j) in enumerate(TABLES)))
-    rows = nodes.select("vid", "lo", "hi", F.explode(keys).alias("bucket"))
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "vid")
-    return dealt.select("bucket", "vid", "lo", "hi").mapInArrow(_links, "a long, b long").distinct()
+        open_ = np.zeros(0, np.int64)
+        if not most:
+            a, b = star_links(new, vid, size, fps)
+        else:
+            few = (sizes > 1) & (sizes <= SMALL)
+            found = [small_links(new[few], sizes[few], label, size, fps, asks)]
+            for s, n in zip(new[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+                here = slice(s, s + n)
+                i, j, more = large_links(label[here], size[here], fps[here], asks[here], most)
+                found.append((i + s, j + s))
+                open_ = np.r_[open_, vid[more + s]]
+            a, b = (vid[np.concatenate(x)] for x in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[np.minimum(a, b), open_]), pa.array(np.r_[np.maximum(a, b), np.full(len(open_), -1)])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []  # a bucket may go over several batches
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, vid, label, size = (batch.column(c).to_numpy() for c in ("bucket", "vid", "label", "size"))
+            fps = np.stack([batch.column(c).to_numpy() for c in ("lo", "hi")], 1).view(np.uint64)
+            now = (bucket, vid, label, size, fps, batch.column("asks").to_numpy(zero_copy_only=False))
+            cut = int(np.searchsorted(bucket, bucket[-1]))
+            if cut or not kept or kept[-1][0][-1] != bucket[0]:
+                kept.append(tuple(x[:cut] for x in now))
+                if sum(len(x[0]) for x in kept):
+                    yield links(*(np.concatenate(x) for x in zip(*kept)))
+                kept = []
+            kept.append(tuple(x[cut:] for x in now))
+        if kept:
+            yield links(*(np.concatenate(x) for x in zip(*kept)))
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "vid").mapInArrow(run, "a long, b long").distinct()
 
 
 def _same_row(left: DataFrame, right: DataFrame):
     return left.doc_id.eqNullSafe(right.w_id) & (left.key == right.w_key)
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """The links (a, b) whose texts have a similarity of at least 0.8. ``docs`` has doc_id, key and text; ``nodes`` the row (w_id, w_key) of one text."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
-    needed = common.materialize(nodes.join(ends, "vid", "left_semi").select("vid", "w_id", "w_key"), "needed")
-    texts = docs.join(needed, _same_row(docs, needed)).select("vid", "text")
-    # Repeated rows give a node's text more than once.
-    sets = texts.mapInArrow(_sets, "vid long, parts array<long>").groupBy("vid").agg(F.first("parts").alias("parts"))
-    sets = common.materialize(sets, "sets")
+class Sets:
+    """The sets of shingles of nodes that are ends of links, each made once."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame):
+        self.docs, self.nodes, self.made = docs, nodes, None
+
+    def of(self, links: DataFrame) -> DataFrame:
+        ends = links.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
+        if self.made is not None:
+            ends = ends.join(self.made, "vid", "left_anti")
+        needed = common.materialize(self.nodes.join(ends, "vid", "left_semi").select("vid", "w_id", "w_key"), "needed")
+        texts = self.docs.join(needed, _same_row(self.docs, needed)).select("vid", "text")
+        # Repeated rows give a node's text more than once.
+        sets = texts.mapInArrow(_sets, "vid long, parts array<long>").groupBy("vid").agg(F.first("parts").alias("parts"))
+        sets = common.materialize(sets, "sets")
+        self.made = sets if self.made is None else self.made.unionByName(sets)
+        return self.made
+
+
+def confirmed(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) whose sets (vid, parts) have a similarity of at least 0.8."""
     both = links.join(sets.select(F.col("vid").alias("a"), F.col("parts").alias("x")), "a").join(sets.select(F.col("vid").alias("b"), F.col("parts").alias("y")), "b")
     common_ = F.size(F.array_intersect("x", "y"))
     # 5 * common >= 4 * (x + y - common)
     return both.where(9 * common_ >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def grouped(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, label) for the nodes that have a near-duplicate; ``docs`` has doc_id, key and text, ``nodes`` vid, size, lo, hi and the row (w_id, w_key) of one text."""
+    sets = Sets(docs, nodes)
+    bits, n = drawn(nodes.count())
+    asking = nodes.select("vid", F.col("vid").alias("label"), "size", "lo", "hi", F.lit(True).alias("asks"))
+    tested = common.materialize(linked(dealt(asking, *LONG), 0), "candidates")
+    known = common.materialize(confirmed(tested, sets.of(tested)), "confirmed")
+    label, open_, most = components(known), None, FIRST
+    while True:
+        asks = nodes.select("vid", "size", "lo", "hi").join(label.withColumnRenamed("node", "vid"), "vid", "left").withColumn("label", F.coalesce("label", "vid"))
+        asks = asks.withColumn("asks", F.lit(True)) if open_ is None else asks.join(open_.withColumn("asks", F.lit(True)), "vid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        asks = common.materialize(asks, "asking")
+        rows = dealt(asks, bits, n)
+        if open_ is not None:
+            rows = rows.join(dealt(asks.where("asks"), bits, n).select("bucket").distinct(), "bucket", "left_semi")
+        found = common.materialize(linked(rows, most), "candidates")
+        new = common.materialize(found.where("b >= 0").join(tested, ["a", "b"], "left_anti"), "untested")
+        if not new.isEmpty():
+            more = common.materialize(confirmed(new, sets.of(new)), "confirmed")
+            if not more.isEmpty():
+                known = known.unionByName(more)
+                label = components(known)
+        tested, most = tested.unionByName(new), most * MORE
+        open_ = found.where("b < 0").select(F.col("a").alias("vid")).distinct()
+        common.discard(asks)
+        if open_.isEmpty():
+            return label
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: of each component of near-duplicates one row stays."""
     rows = common.packed(docs, "doc_id", "text").withColumn("key", common.text_key())
     own = docs.schema["doc_id"].dataType.simpleString()
-    slim = rows.select("doc_id", "key", "text").mapInArrow(_signatures, f"doc_id {own}, key binary, node binary, lo long, hi long")
+    slim = rows.select("doc_id", "key", "text").mapInArrow(_signatures, f"doc_id {own}, key binary, node binary, size int, lo long, hi long")
     slim = common.materialize(slim, "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key"))
-    nodes = slim.groupBy("node", "lo", "hi").agg(first.alias("w")).select(F.monotonically_increasing_id().alias("vid"), "lo", "hi", F.col("w.doc_id").alias("w_id"), F.col("w.key").alias("w_key"))
+    nodes = slim.groupBy("node", "size", "lo", "hi").agg(first.alias("w")).select(F.monotonically_increasing_id().alias("vid"), "size", "lo", "hi", F.col("w.doc_id").alias("w_id"), F.col("w.key").alias("w_key"))
     nodes = common.materialize(nodes, "nodes")
-    links = common.materialize(candidates(nodes), "candidates")
-    label = components(confirmed(rows, nodes, links))
+    label = grouped(rows, nodes)
     named = nodes.join(label, F.col("vid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "vid"))
     best = named.groupBy("label").agg(F.min(F.struct(F.col("w_id").isNull().alias("n"), "w_id", "w_key")).alias("w")).select("w.w_id", "w.w_key")
     # Rows that agree in id and text: only these have to be looked at for repeats, so texts are not shuffled once more.
     again = slim.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key")
     stays = common.materialize(best.join(again.withColumn("again", F.lit(True)), best.w_id.eqNullSafe(again.doc_id) & (best.w_key == again.key), "left").select("w_id", "w_key", F.coalesce("again", F.lit(False)).alias("again")), "stays")
-    for used in (slim, nodes, links):
+    for used in (slim, nodes):
         common.discard(used)
     single, several = stays.where("not again"), stays.where("again")
     out = rows.join(single, _same_row(rows, single), "left_semi").unionByName(rows.join(several, _same_row(rows, several), "left_semi").dropDuplicates(["doc_id", "key"]))
