@@ -9,7 +9,8 @@ that merely look random (``key``) become findings only if they are live and lie
 outside the other findings; those of the base kinds always stay.
 
 The places of a pattern's matches follow from the lengths of the matches and
-of the gaps between them, in code points.
+of the gaps between them, in code points, summed up within the row; no step is
+quadratic in the matches of a text.
 
 Defined results: a null text is empty; a null owner or repository counts as
 one of its own; an empty table gives no rows; repeated rows are each reported,
@@ -18,6 +19,8 @@ and add no owner; columns of the input are passed on by ``scan`` only as named.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,23 +45,61 @@ BASE = len(KINDS) - 1
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,digest:binary>>"
 
 
+#: A string has under 2 ** 31 bytes and a match at least four, so no text has more matches than this many doublings reach.
+DOUBLINGS = 29
+
+
+def running(array: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Each element joined with all before it, as sums or maxima are, by doubling: n log n steps in all."""
+
+    def step(k: int) -> Callable[[Column], Column]:
+        def of(a: Column) -> Column:
+            return F.when(F.size(a) > 1 << k, F.transform(a, lambda x, i: F.when(i < 1 << k, x).otherwise(join(x, F.get(a, i - (1 << k)))))).otherwise(a)
+
+        return of
+
+    for k in range(DOUBLINGS):
+        array = F.transform(F.array(array), step(k))[0]  # bound to a variable, so that it is made once
+    return array
+
+
 def spans_of(text: Column, rank: int) -> Column:
-    """The matches of one kind as an array of (start, rank, end, digest of the value)."""
+    """The matches of one kind as an array of (start, rank, end, digest of the value), in order."""
     _, pattern, group, must = KINDS[rank]
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
+    lengths = F.transform(parts, lambda p: (F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0))).cast("bigint"))
+    placed = F.arrays_zip(running(lengths, lambda x, y: x + y).alias("end"), hits.alias("hit"))
 
-    def step(acc: Column, part: Column) -> Column:
-        hit = part["hit"]
-        start = acc["at"] + F.length(part["gap"])
-        end = start + F.length(hit)
-        value = F.regexp_extract(hit, pattern, group) if group else hit
+    def span(p: Column) -> Column:
+        value = F.regexp_extract(p["hit"], pattern, group) if group else p["hit"]
         good = value.rlike(must) & (value.rlike("[0-9].*[0-9]") if rank == BASE else F.lit(True))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.unhex(F.md5(value.cast("binary"))).alias("digest"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(hit.isNotNull() & good, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+        return F.when(good, F.struct((p["end"] - F.length(p["hit"])).cast("bigint").alias("start"), F.lit(rank).alias("rank"), p["end"].cast("bigint").alias("end"), F.unhex(F.md5(value.cast("binary"))).alias("digest")))
 
-    none = F.array().cast(SPAN)
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, zero, step, lambda acc: acc["found"])).otherwise(none)
+    found = F.filter(F.transform(F.filter(placed, lambda p: p["hit"].isNotNull()), span), lambda x: x.isNotNull())
+    return F.when(text.rlike(pattern), found).otherwise(F.array()).cast(SPAN)
+
+
+def below(places: Column, limits: Column, or_equal: bool) -> Column:
+    """For each of ``limits``, which are in order, how many of ``places`` are below it (or equal to it)."""
+    first, second = (0, 1) if or_equal else (1, 0)
+    event = lambda at, place, counts: F.struct(at.alias("at"), F.lit(place).alias("place"), F.lit(counts).cast("bigint").alias("n"))
+    events = F.array_sort(F.concat(F.transform(places, lambda x: event(x, first, 1)), F.transform(limits, lambda x: event(x, second, 0))))
+
+    def of(e: Column) -> Column:
+        counts = F.arrays_zip(e.getField("n").alias("n"), running(e.getField("n"), lambda x, y: x + y).alias("sum"))
+        return F.filter(counts, lambda x: x["n"] == 0).getField("sum")
+
+    return F.transform(F.array(events), of)[0]
+
+
+def apart_from(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others. As many others begin before such a span's end as end at its start or before."""
+    begun = below(others.getField("start"), spans.getField("end"), False)
+    ended = below(others.getField("end"), spans.getField("start"), True)
+    both = F.arrays_zip(spans.alias("span"), begun.alias("begun"), ended.alias("ended"))
+    alone = F.filter(both, lambda x: x["begun"] == x["ended"]).getField("span")
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), alone).otherwise(spans)
 
 
 def scan(docs: DataFrame, owner: Column, repository: Column, *extra: str) -> DataFrame:
@@ -66,8 +107,7 @@ def scan(docs: DataFrame, owner: Column, repository: Column, *extra: str) -> Dat
     text = F.coalesce("text", F.lit(""))
     found = docs.select(*extra, owner.alias("owner"), repository.alias("repository"), *(spans_of(text, r).alias(f"s{r}") for r in range(len(KINDS))))
     base = F.concat(*(F.col(f"s{r}") for r in range(BASE)))
-    apart = F.filter(f"s{BASE}", lambda k: ~F.exists(F.col("base"), lambda b: (b["start"] < k["end"]) & (k["start"] < b["end"])))
-    found = found.withColumn("base", F.array_sort(base)).withColumn("more", apart)
+    found = found.withColumn("base", F.array_sort(base)).withColumn("more", apart_from(F.col(f"s{BASE}"), F.col("base")))
     return common.materialize(found.select(F.monotonically_increasing_id().alias("rid"), *extra, "owner", "repository", "base", "more"), "secrets")
 
 
@@ -112,16 +152,22 @@ def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(text: Column, spans: str, mark: str = "[SECRET]") -> Column:
     """The text with each run of overlapping spans (sorted by start) replaced by ``mark``."""
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+
+    def replaced(chars: Column) -> Column:
+        def of(ends: Column) -> Column:
+            def piece(s: Column, i: Column) -> Column:
+                before = F.coalesce(F.get(ends, i - 1), F.lit(0).cast("bigint"))
+                gap = F.array_join(F.slice(chars, (before + 1).cast("int"), F.greatest(s["start"] - before, F.lit(0)).cast("int")), "")
+                return F.when((i == 0) | (s["start"] >= before), F.concat(gap, F.lit(mark))).otherwise("")
+
+            rest = F.array_join(F.slice(chars, (F.element_at(ends, -1) + 1).cast("int"), F.size(chars)), "")
+            return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        new = F.struct(F.concat(acc["out"], gap, F.lit(mark)).alias("out"), s["end"].alias("at"))
-        longer = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-        return F.when((s["start"] >= acc["at"]) & ((s["start"] > 0) | (acc["out"] == "")), new).otherwise(longer)
+        return F.transform(F.array(ends), of)[0]
 
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
+    # An array of characters, as a place in a string is found by counting from its start.
+    return F.when(F.size(spans) > 0, F.transform(F.array(F.split(text, "")), replaced)[0]).otherwise(text)
 
 
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

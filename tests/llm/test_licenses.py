@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+
 from tarn.llm import licenses
 
 
@@ -37,3 +39,21 @@ def test_against_brute_force(spark, rng):
     assert len(got) == len(set(got))
     assert set(got) == slow(rows)
     assert licenses.matches(docs.limit(0), "doc_id").count() == 0
+
+
+def test_bands_are_independent(rng):
+    """A shingle anywhere among the hashes is the least of its window in one band of four: of windows of four, one in a million has it in none of 48."""
+    bands = np.zeros(licenses.BANDS)
+    missed, n = 0, 20_000
+    for _ in range(n):
+        hashes = [int(x) - (1 << 63) for x in rng.integers(0, 2**63, licenses.WINDOW, dtype=np.uint64)]
+        hit = np.array([licenses.band_value(hashes[:1], j) == licenses.band_value(hashes, j) for j in range(licenses.BANDS)])
+        bands += hit
+        missed += not hit.any()
+    assert missed <= 2 and (abs(bands / n - 0.25) < 0.02).all()
+
+
+def test_band_values_are_those_of_the_column(spark):
+    h = [0, 1, -1, 2**63 - 1, -(2**63), 123456789]
+    rows = spark.createDataFrame([(x, j) for x in h for j in (0, 1, 47)], "h long, band int").selectExpr("h", "band", "xxhash64(h, band) as value").collect()
+    assert all(r.value == licenses.band_value([r.h], r.band) for r in rows)

@@ -67,3 +67,47 @@ def test_redaction(spark):
     assert got[4] == "é𝄞 [SECRET] end" and got[1] is None and got[3] == "no finding here"
     assert got[8] == "[SECRET] then [SECRET]" and got[11] == ROWS[10][1]
     assert got[14].endswith(" z [SECRET]") and HEX not in str(got.values())
+
+
+def test_many_matches_in_one_text(spark):
+    """Time goes with the number of matches: ten times as many take about ten times as long."""
+    import time
+
+    def text(n):
+        return "".join(f"é token={i:08d} Zx81kdQp00aaBB7yTT{i:06d} " for i in range(n))
+
+    seconds = {}
+    for n in (5_000, 50_000):
+        rows = [(1, text(n), "en", "a")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        began = time.time()
+        (got,) = secrets.secret_spans(docs).collect()
+        seconds[n] = time.time() - began
+        assert got.n_assign == n and got.n_live == 2 * n
+        at, spans = 0, []
+        for i in range(n):  # é, a space, token=, eight digits; a key of 24 characters
+            spans += [f"assign:{at + 2}:{at + 16}", f"key:{at + 17}:{at + 41}"]
+            at += 42
+        assert got.spans == ",".join(spans) and got.base_sha256 == hashlib.sha256(",".join(spans[::2]).encode()).hexdigest()
+        (clean,) = secrets.redact_stage(spark, docs, "").collect()
+        assert clean.text == "é [SECRET] [SECRET] " * n
+    assert seconds[50_000] < 30 * max(seconds[5_000], 1)
+
+
+def test_runs_of_spans(spark):
+    """Spans that overlap are one mark, those that touch are two; places count from zero."""
+    cases = [("abcdef", [(0, 2)]), ("abcdef", [(0, 2), (2, 4)]), ("a\U0001f600cdef", [(1, 4), (2, 3), (3, 6)]), ("abc", [(0, 3), (0, 3)]), ("abc", []), ("", []), ("abcdef", [(1, 6), (2, 3), (4, 5)])]
+    df = spark.createDataFrame([(t, [(a, 0, b, None) for a, b in s]) for t, s in cases], f"text string, spans {secrets.SPAN}")
+    got = [r[0] for r in df.select(secrets.redact(df.text, "spans", "#")).collect()]
+    assert got == ["#cdef", "##ef", "a#", "#", "abc", "", "a#"]
+
+
+def test_spans_apart(spark, rng):
+    rows = []
+    for _ in range(200):
+        cut = sorted(rng.choice(60, 2 * int(rng.integers(0, 6)), replace=False).tolist())
+        others = [(a, 0, a + int(rng.integers(1, 6)), None) for a in sorted(rng.integers(0, 60, int(rng.integers(0, 5))).tolist())]
+        rows.append(([(a, 3, b, None) for a, b in zip(cut[::2], cut[1::2])], others))
+    df = spark.createDataFrame(rows, f"spans {secrets.SPAN}, others {secrets.SPAN}")
+    got = [[(s.start, s.end) for s in r[0]] for r in df.select(secrets.apart_from(df.spans, df.others)).collect()]
+    assert got == [[(a, b) for a, _, b, _ in spans if not any(c < b and a < d for c, _, d, _ in others)] for spans, others in rows]
