@@ -531,7 +531,39 @@ def dag_cycles(spark, sf_dir):
     """The graph with edges from the customers of nation 3 back to it: they, it and what leads to it."""
     _, edges = graph_tables(spark, sf_dir)
     back = table(spark, sf_dir, "customer").where("c_nationkey = 3").selectExpr("'c' || c_custkey as parent", "'n3' as child")
-    return graph.on_cycles(edges.unionByName(back))
+    return graph.leading_to_cycles(edges.unionByName(back))
+
+
+PARTS = """edges AS (SELECT p_partkey AS parent, p_size::BIGINT * 31 AS child, p_brand FROM part UNION SELECT p_partkey, p_partkey // 2, p_brand FROM part WHERE p_retailprice > 1500)"""
+
+
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph with cycles: each part leads to one by its size, and dear ones to the one of half their number."""
+    p = table(spark, sf_dir, "part")
+    by_size = p.selectExpr("p_partkey as parent", "cast(p_size as bigint) * 31 as child", "p_brand")
+    return by_size.unionByName(p.where("p_retailprice > 1500").selectExpr("p_partkey as parent", "p_partkey div 2 as child", "p_brand"))
+
+
+@query(f"""WITH RECURSIVE {PARTS}, nodes AS (SELECT parent AS node FROM edges UNION SELECT child FROM edges),
+walk AS (SELECT parent AS a, child AS b FROM edges UNION SELECT a, child FROM walk JOIN edges ON b = parent)
+SELECT node, least(node, coalesce(min(x.b), node)) AS component, count(x.b) > 0 AS cyclic
+FROM nodes LEFT JOIN (SELECT v.a, v.b FROM walk v JOIN walk w ON v.a = w.b AND v.b = w.a) x ON x.a = node GROUP BY node""")
+def dag_components(spark, sf_dir):
+    return graph.components(part_edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {PARTS}, now AS (SELECT parent, child FROM edges WHERE p_brand <> 'Brand#11' UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_brand = 'Brand#22'),
+walk AS (SELECT parent AS a, child AS b FROM now UNION SELECT a, child FROM walk JOIN now ON b = parent)
+SELECT a AS parent, count(*) AS n, sum(b)::BIGINT AS total FROM walk GROUP BY a""")
+def closure_updated(spark, sf_dir):
+    """All pairs of the graph of parts, brought up to date as one brand's edges go and another's come."""
+    edges = part_edges(spark, sf_dir)
+    before = edges.select("parent", "child")
+    stays = edges.where("p_brand <> 'Brand#11'").select("parent", "child")
+    gone = written(before.join(stays, ["parent", "child"], "left_anti"), "gone")
+    come = table(spark, sf_dir, "part").where("p_brand = 'Brand#22'").selectExpr("p_partkey as parent", "p_partkey + 1 as child")
+    pairs = graph.updated(graph.reachable(before), before, come, gone)
+    return pairs.groupBy("parent").agg(F.count("*").alias("n"), F.sum("child").alias("total"))
 
 
 # Schema evolution

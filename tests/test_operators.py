@@ -45,8 +45,8 @@ def test_closure_and_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "c"), ("x", "y")], "parent string, child string")
     roots = spark.createDataFrame([("a",), ("x",)], "root string")
     assert rows(graph.closure(roots, edges)) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("x", "x", 0), ("x", "y", 1)]
-    assert rows(graph.on_cycles(edges)) == [("a",), ("b",), ("c",), ("d",)]
-    assert graph.on_cycles(edges.where("parent = 'x'")).isEmpty() and graph.closure(roots.limit(0), edges).isEmpty()
+    assert rows(graph.leading_to_cycles(edges)) == [("a",), ("b",), ("c",), ("d",)]
+    assert graph.leading_to_cycles(edges.where("parent = 'x'")).isEmpty() and graph.closure(roots.limit(0), edges).isEmpty()
 
 
 def test_steps_refuse_wrong_fields(spark):
