@@ -6,20 +6,22 @@ requests, events for attempts and leases, documents for files.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text
 from tarn.operators import evolve, graph, grouping, keys, lineage, lookup
+from tarn.operators import trees as record_trees
 from tarn.plans import steps
 from tarn.sources import arrays, datasource, results, rows
-from tarn.sources.shared import shared_dir, written
+from tarn.sources.shared import file_system, shared_dir, written
 from tarn.streaming import leases
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,11 +58,26 @@ class Source:
     folder: str = steps.unkeyed(default="")
 
 
+#: How Hadoop's file statuses show themselves.
+STATUS = re.compile(r"\bpath=(.*?); isDirectory=(true|false);(?: length=(\d+);)?.*? modification_time=(\d+);")
+
+
 def files_digest(spark: SparkSession, path: str) -> str:
-    """A digest of path, size and time of each file at ``path``; their contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    facts = F.sort_array(F.collect_list(F.struct("path", "length", F.unix_micros("modificationTime"))))
-    return files.agg(F.sha2(F.to_json(facts), 256)).first()[0]
+    """A digest of path, size and time of each file at ``path``; their contents are not read.
+
+    Folders are listed through the file system, without a job. Files whose
+    contents change while all three stay are taken for the same.
+    """
+    fs, top = file_system(spark, path)
+    facts, folders = [], [top]
+    while folders:
+        for shown in fs.listStatus(folders.pop()):
+            name, folder, size, at = STATUS.search(shown.toString()).groups()
+            if folder == "true":
+                folders.append(file_system(spark, name)[1])
+            else:
+                facts.append((name, int(size), int(at)))
+    return steps.digest(sorted(facts))
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> Source:
@@ -587,6 +604,37 @@ def migrate_nested(spark, sf_dir):
     return evolve.migrate(old, [evolve.Nested("parts", "speaker", "who")]).selectExpr("conv_id", "turn", "parts[0].length as length", "parts[0].who as who")
 
 
+TURN, BODY, TALLY = ([evolve.Renamed("role", "who"), evolve.Added("seed", 7)], [evolve.Retyped("size", "long"), evolve.Rewritten(lambda f: {"size": f["size"] * 2})], [evolve.Renamed("n", "total")])
+
+
+@query("""SELECT conv_id, turn, role AS who, 7 AS seed, length(text)::BIGINT * 2 AS size, count(*) OVER (PARTITION BY conv_id, role) AS total FROM conversations""")
+def migrate_cascade(spark, sf_dir):
+    """Records in arrays of records and in maps, each class with changes of its own."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("size"))
+    tally = c.groupBy("conv_id", "role").agg(F.count("*").alias("n")).groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("role", F.struct("n")))).alias("tally"))
+    body = F.struct("size").alias("body", metadata=evolve.of_class("Body"))
+    turns = c.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", body)).alias("turns")).join(tally, "conv_id")
+    tagged = turns.select("conv_id", F.col("turns").alias("turns", metadata=evolve.of_class("Turn")), F.col("tally").alias("tally", metadata=evolve.of_class("Tally")))
+    new = evolve.Cascade({"Turn": TURN, "Body": BODY, "Tally": TALLY}).apply(tagged)
+    flat = new.select("conv_id", "tally", F.explode("turns").alias("t"))
+    return flat.select("conv_id", "t.turn", "t.who", "t.seed", "t.body.size", F.element_at("tally", F.col("t.who"))["total"].alias("total"))
+
+
+@query("""WITH t AS (SELECT conv_id, role, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations)
+SELECT conv_id, 'turns/' || i || '/n' AS path, '~' AS change, n::VARCHAR AS old, (n + 1)::VARCHAR AS new FROM t WHERE role = 'user'
+UNION ALL SELECT DISTINCT conv_id, 'meta', '+', NULL, '{"count":' || k || '}' FROM t""")
+def deep_differences(spark, sf_dir):
+    """Conversations as trees, before and after users' numbers change and a part is added."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
+
+    def trees(n: Column, *more: Column) -> DataFrame:
+        turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", n.alias("n")))), lambda t: F.struct(t["role"].alias("role"), t["n"].alias("n")))
+        return c.groupBy("conv_id").agg(F.to_json(F.struct(turns.alias("turns"), *more)).alias("tree"))
+
+    after = trees(F.when(F.col("role") == "user", F.col("n") + 1).otherwise(F.col("n")), F.struct(F.count("*").alias("count")).alias("meta"))
+    return record_trees.differences(trees(F.col("n")), after, ["conv_id"], "tree")
+
+
 @query("""SELECT c_custkey, -g AS generation, name AS source FROM (SELECT o_custkey, min((-CAST(substr(o_orderpriority, 1, 1) AS INTEGER), o_orderkey)) AS m, m[1] AS g, m[2] AS name FROM orders GROUP BY o_custkey) JOIN customer ON c_custkey = o_custkey""")
 def migrate_match(spark, sf_dir):
     sources = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.substring("o_orderpriority", 1, 1).cast("int").alias("generation"), "o_orderkey")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -63,16 +65,28 @@ class Moved:
 
 @dataclass(frozen=True)
 class Rewritten:
-    """New values for some fields; the set of fields must not change."""
+    """New values for some fields; the set of fields must not change.
 
-    values: Callable[[], dict[str, Column]]
+    ``values`` gives columns by field, from nothing or, as it must within
+    records (see ``Cascade``), from the fields as columns by name. ``data`` is
+    the same for a record's fields as data, for steps and records within the
+    parameters of a step.
+    """
+
+    values: Callable[..., dict[str, Column]] | None = None
     breaking: bool = False
+    data: Callable[[dict], dict] | None = None
+
+    def new(self, fields: dict[str, Column]) -> dict[str, Column]:
+        if self.values is None:
+            raise ValueError("this change is for parameters as data, not for tables")
+        found = self.values(fields) if inspect.signature(self.values).parameters else self.values()
+        if unknown := set(found) - set(fields):
+            raise ValueError(f"no fields {sorted(unknown)}: fields are {list(fields)}")
+        return found
 
     def apply(self, df: DataFrame) -> DataFrame:
-        new = self.values()
-        if unknown := set(new) - set(df.columns):
-            raise ValueError(f"no fields {sorted(unknown)}: fields are {df.columns}")
-        return df.withColumns(new)
+        return df.withColumns(self.new({c: F.col(f"`{c}`") for c in df.columns}))
 
 
 @dataclass(frozen=True)
@@ -90,6 +104,90 @@ class Nested:
         return df.withColumn(self.field, F.transform(self.field, rename) if kind.startswith("array") else rename(F.col(self.field)))
 
 
+def of_class(name: str) -> dict[str, str]:
+    """Metadata of a column or field: the structs in it, or in its arrays and maps, are records of the class."""
+    return {"class": name}
+
+
+@dataclass(frozen=True)
+class Cascade:
+    """The changes of the classes of records that a table's columns hold, at any depth.
+
+    ``classes`` has each class's changes, oldest first. Fields say by their
+    metadata (``of_class``) what class their structs are, also within arrays,
+    maps and arrays of arrays. The table's types are compiled to one expression
+    a column, of nested transforms, in which what a record holds is changed
+    before the record itself; columns without such a class are not touched.
+    Null records stay null.
+    """
+
+    classes: dict[str, list]
+
+    @property
+    def breaking(self) -> bool:
+        return any(c.breaking for changes in self.classes.values() for c in changes)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        out = []
+        for f in df.schema.fields:
+            made = self._value(f.dataType, f.metadata.get("class"))
+            column = F.col(f"`{f.name}`")
+            out.append(column if made is None else made(column).alias(f.name, metadata=f.metadata))
+        return df.select(*out)
+
+    def _value(self, kind: T.DataType, name: str | None) -> Callable[[Column], Column] | None:
+        """What makes a new value of an old one; None if nothing changes."""
+        if isinstance(kind, T.ArrayType):
+            inner = self._value(kind.elementType, name)
+            return inner and (lambda c: F.transform(c, inner))
+        if isinstance(kind, T.MapType):
+            inner = self._value(kind.valueType, name)
+            return inner and (lambda c: F.transform_values(c, lambda _, v: inner(v)))
+        if isinstance(kind, T.StructType):
+            return self._record(kind, name)
+        if name is not None:
+            raise TypeError(f"{name} is the class of {kind.simpleString()}, which is no record")
+        return None
+
+    def _record(self, kind: T.StructType, name: str | None) -> Callable[[Column], Column] | None:
+        below = {f.name: self._value(f.dataType, f.metadata.get("class")) for f in kind.fields}
+        changes = self.classes.get(name, []) if name else []
+        if not changes and not any(below.values()):
+            return None
+
+        def of(record: Column) -> Column:
+            fields = {f: record.getField(f) if make is None else make(record.getField(f)) for f, make in below.items()}
+            for c in changes:
+                fields = self._changed(fields, c)
+            return F.when(record.isNotNull(), F.struct(*(v.alias(f, metadata=meta.get(f, {})) for f, v in fields.items())))
+
+        meta = {f.name: f.metadata for f in kind.fields}
+        for c in changes:
+            if isinstance(c, Renamed):
+                meta[c.to] = meta.pop(c.field, {})
+        return of
+
+    @staticmethod
+    def _changed(fields: dict[str, Column], change) -> dict[str, Column]:
+        if isinstance(change, Renamed):
+            if change.field not in fields or change.to in fields:
+                raise ValueError(f"can't rename {change.field} to {change.to}: fields are {list(fields)}")
+            return {change.to if k == change.field else k: v for k, v in fields.items()}
+        if isinstance(change, Added):
+            if change.field in fields:
+                raise ValueError(f"{change.field} is there already")
+            return fields | {change.field: F.lit(change.default)}
+        if isinstance(change, Retyped):
+            if change.field not in fields:
+                raise ValueError(f"no field {change.field}: fields are {list(fields)}")
+            return fields | {change.field: fields[change.field].cast(change.to)}
+        if isinstance(change, Rewritten):
+            return fields | change.new(fields)
+        if isinstance(change, Moved):
+            return fields
+        raise TypeError(f"not a change of a record: {change!r}")
+
+
 def migrate(df: DataFrame, steps: list) -> DataFrame:
     """Rows of an old generation as the newest one has them."""
     for step in steps:

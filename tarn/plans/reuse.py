@@ -10,8 +10,7 @@ searched together, by a join. A link is then published in its place, so that
 the search is made once; no data are copied.
 
 Steps and records within the parameters may have migrations of their own
-(``Renamed``, ``Added``, ``Retyped`` and ``Moved``). Records of older results
-are then brought to the present form from the inside out, and found by the key
+(``Rewritten`` by its ``data``). Records of older results are then brought to the present form from the inside out, and found by the key
 that this gives.
 """
 
@@ -22,6 +21,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ from tarn.names import describe, full_name, hints, shape
 from tarn.operators import evolve
 from tarn.plans.parameters import canonical, canonical_json, digest, encode, keyed_fields
 from tarn.plans.steps import Step, path_of, schema_key
-from tarn.sources import results
+from tarn.sources import files, results
 from tarn.sources.shared import file_system
 
 
@@ -173,9 +173,10 @@ class Present:
 def present(cls: type) -> Present:
     def plain(form: Form) -> tuple | None:
         """Changes as data; None for a form whose results are not reused."""
-        if not form.reusable or any(isinstance(c, evolve.Rewritten) for c in form.changes):
+        if not form.reusable or any(isinstance(c, evolve.Rewritten) and c.data is None for c in form.changes):
             return None
-        return tuple((c.field, c.to) if isinstance(c, evolve.Renamed) else (c.field, None, encode(c.default)) for c in form.changes if isinstance(c, (evolve.Renamed, evolve.Added)))
+        say = {evolve.Renamed: lambda c: (c.field, c.to), evolve.Added: lambda c: (c.field, None, encode(c.default)), evolve.Rewritten: lambda c: (c.data,)}
+        return tuple(say[type(c)](c) for c in form.changes if type(c) in say)
 
     fields = declared(cls)
     free = tuple(f.name for f in dataclasses.fields(cls) if f.name not in fields)
@@ -210,7 +211,12 @@ def renewed(data: object, classes: list[Present]) -> object:
             if changes is None:
                 raise Unlike(True)
             for change in changes:
-                if len(change) == 2:
+                if len(change) == 1:
+                    new = change[0](dict(fields))
+                    if new.keys() - fields.keys():
+                        raise ValueError(f"a rewrite of {c.name} gives fields that it has not: {sorted(new.keys() - fields.keys())}")
+                    fields |= new
+                elif len(change) == 2:
                     fields[change[1]] = fields.pop(change[0])
                 else:
                     fields[change[0]] = change[2]
@@ -279,6 +285,51 @@ def matching_within(spark: SparkSession, cls: type[Step], wanted: list[Step], ro
     return {r.key: (r.path, [f"within: {name}" for name in changed]) for r in found}, explained
 
 
+def changes(old: dict[str, str], new: dict[str, str]) -> list[str]:
+    """Fields and types that differ, a line each: ``+`` only new, ``-`` only old, ``~`` of another type."""
+    lines = []
+    for name in sorted(old.keys() | new.keys()):
+        if name not in old:
+            lines.append(f"+ {name}: {new[name]}")
+        elif name not in new:
+            lines.append(f"- {name}: {old[name]}")
+        elif shape(old[name]) != shape(new[name]):
+            lines.append(f"~ {name}: {old[name]} -> {new[name]}")
+    return lines
+
+
+def report(spark: SparkSession, cls: type[Step], root: str, places: list[str]) -> str:
+    """What stored forms that no migration explains have otherwise than the class, whose results they are, and since when."""
+    lines = [f"{cls.__qualname__} has results of other forms. Declare migrations, breaking ones to compute anew."]
+    for place in places:
+        text = spark.read.text(f"{root}/{place}/*/{results.MANIFEST}", wholetext=True)
+        facts = F.from_json("value", "facts struct<schema: map<string,string>, submitted: struct<user: string>, began: string>").alias("m")
+        one = text.select(facts).agg(F.count("*").alias("n"), F.min_by("m.facts", "m.facts.began").alias("first")).first()
+        first = one.first
+        lines.append(f"{place}: {one.n} results, the first of {first.began} by {first.submitted.user if first.submitted else 'unknown'}")
+        lines += [f"  {line}" for line in changes(first.schema or {}, declared(cls))] or ["  the same fields under another name"]
+    return "\n".join(lines)
+
+
+def audit(spark: SparkSession, root: str, classes: list[type[Step]]) -> DataFrame:
+    """(name, schema, results, links, state) for every form with anything published below ``root``, by one job.
+
+    state: current, covered (a migration leads to the present form), superseded
+    (a breaking one does), orphaned (of one of ``classes``, and no migration
+    explains it) or unknown (of no class given).
+    """
+    known = {f.place: "current" if not f.changes else "covered" if f.reusable else "superseded" for c in classes for f in forms(c)}
+    names = {f.name for c in classes for f in forms(c)}
+    places = spark.createDataFrame([(*p.rsplit("/", 1), s) for p, s in known.items()], "name string, schema string, state string")
+    owned = spark.createDataFrame([(n, True) for n in sorted(names)], "name string, owned boolean")
+    text = spark.read.text(f"{root}/*/*/*/{results.MANIFEST}", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.get_json_object("value", "$.link").alias("link"))
+    parts = F.split("path", "/")
+    at = lambda i: F.element_at(parts, i)
+    stored = text.groupBy(at(-4).alias("name"), at(-3).alias("schema")).agg(F.count_if(F.col("link").isNull()).alias("results"), F.count("link").alias("links"))
+    rest = F.when(F.col("owned"), "orphaned").otherwise("unknown")
+    return stored.join(places, ["name", "schema"], "left").join(owned, "name", "left").select("name", "schema", "results", "links", F.coalesce("state", rest).alias("state"))
+
+
 def orphans(spark: SparkSession, cls: type[Step], root: str) -> list[str]:
     """Stored forms under the class's names that are neither present nor explained."""
     known = {f.place for f in forms(cls)}
@@ -294,6 +345,40 @@ def orphans(spark: SparkSession, cls: type[Step], root: str) -> list[str]:
     return sorted(out)
 
 
+#: So many manifests are read by the driver; more, by a job.
+FEW = 32
+
+
+def manifests(spark: SparkSession, paths: list[str]) -> dict[str, dict | None]:
+    """What the manifests at ``paths`` say of links: None where there is none, ``link`` of a link, and whether its target is ``there``.
+
+    Many are read by tasks, each by its path: no folder is listed, and the
+    driver gets a few words of each.
+    """
+    if len(paths) <= FEW or not files.known(paths[0]):
+        found = {p: results.read_manifest(spark, p) for p in paths}
+        return {p: None if m is None else {"link": m["link"], "there": results.read_manifest(spark, m["link"]) is not None} if "link" in m else {} for p, m in found.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            links, there = [], []
+            for path in b.column("path").to_pylist():
+                try:
+                    with files.reader(f"{path}/{results.MANIFEST}") as f:
+                        link = json.loads(f.read()).get("link")
+                except FileNotFoundError:
+                    links.append(None)
+                    there.append(None)
+                else:
+                    links.append(link)
+                    there.append(link is None or files.exists(f"{link}/{results.MANIFEST}"))
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(links, pa.string()), pa.array(there, pa.bool_())], names=["path", "link", "there"])
+
+    asked = spark.createDataFrame(pd.DataFrame({"path": paths}))
+    found = asked.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "path string, link string, there boolean").toArrow()
+    return {p: None if t is None else {} if link is None else {"link": link, "there": t} for p, link, t in zip(*(found.column(i).to_pylist() for i in range(3)))}
+
+
 def find(spark: SparkSession, step: Step, root: str) -> str | None:
     """Where the step's result lies: its own place, a linked one, or one found through migrations, which is then linked."""
     return find_all(spark, [step], root)[step.key()]
@@ -303,13 +388,15 @@ def find_all(spark: SparkSession, wanted: list[Step], root: str) -> dict[str, st
     """The same for many steps, by key; what has no result of its own is searched once for each class."""
     out: dict[str, str | None] = {}
     lost: dict[tuple[type[Step], str], list[Step]] = {}
-    for s in {s.key(): s for s in wanted}.values():
+    unique = {s.key(): s for s in wanted}
+    read = manifests(spark, [path_of(root, s) for s in unique.values()])
+    for s in unique.values():
         own = path_of(root, s)
-        manifest = results.read_manifest(spark, own)
+        manifest = read[own]
         out[s.key()] = None
         if manifest is not None and "link" not in manifest:
             out[s.key()] = own
-        elif manifest is not None and results.read_manifest(spark, manifest["link"]) is not None:
+        elif manifest is not None and manifest["there"]:
             out[s.key()] = manifest["link"]
         else:
             if manifest is not None:
@@ -327,7 +414,7 @@ def find_all(spark: SparkSession, wanted: list[Step], root: str) -> dict[str, st
                 out[s.key()] = got[s.key()][0]
         if any(s.key() not in got for s in members):
             if stale := [p for p in orphans(spark, cls, at) if p not in explained]:
-                raise Stale(f"{cls.__qualname__} has results of other forms: {', '.join(stale)}; present fields: {json.dumps(declared(cls))}. Declare migrations, breaking ones to compute anew.")
+                raise Stale(report(spark, cls, at, stale))
     return out
 
 

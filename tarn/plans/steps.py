@@ -24,6 +24,7 @@ import dataclasses
 import inspect
 import json
 import typing
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from datetime import UTC, datetime
@@ -259,21 +260,30 @@ def materialize_all(spark: SparkSession, wanted: list[Step], root: str, threads:
         given = [Inputs(m, {name: scan(s) for name, s in m.inputs().items()}, lambda s: materialize(spark, s, root)) for m in members]
         build(spark, members, root, given)
 
-    def waits(members: list[Step]) -> bool:
-        return any(paths[i.key()] is None for m in members for i in m.inputs().values())
-
+    # What each still waits for, and who waits for what, so that a result is looked at once by those that need it.
     left = {id(m): m for m in missing.values()}
+    waits = {at: {i.key() for s in m for i in s.inputs().values() if paths[i.key()] is None} for at, m in left.items()}
+    needed_by: dict[str, list[int]] = {}
+    for at, keys in waits.items():
+        for k in keys:
+            needed_by.setdefault(k, []).append(at)
+    ready = deque(at for at, keys in waits.items() if not keys)
     with ThreadPoolExecutor(threads) as pool:
         running: dict = {}
         while left or running:
-            ready = [m for m in left.values() if not waits(m)]
-            for m in ready[: threads - len(running)]:
-                running[pool.submit(inheritable_thread_target(spark)(run), left.pop(id(m)))] = m
+            while ready and len(running) < threads:
+                members = left.pop(ready.popleft())
+                running[pool.submit(inheritable_thread_target(spark)(run), members)] = members
             if not running:
                 raise ValueError(f"steps that need each other: {sorted(s.key() for m in left.values() for s in m)}")
             for done in wait(running, return_when=FIRST_COMPLETED).done:
-                paths |= {s.key(): path_of(root, s) for s in running.pop(done)}
+                built = running.pop(done)
+                paths |= {s.key(): path_of(root, s) for s in built}
                 done.result()
+                for at in (at for s in built for at in needed_by.get(s.key(), ())):
+                    waits[at] -= {s.key() for s in built}
+                    if not waits[at] and at in left and at not in ready:
+                        ready.append(at)
     return [scan(s) for s in wanted]
 
 

@@ -15,6 +15,11 @@ def local(path: str) -> str | None:
     return None if "://" in path else path
 
 
+def known(path: str) -> bool:
+    """Whether executors can open the path by themselves; other stores are Spark's and the driver's."""
+    return local(path) is not None or urlparse(path).scheme in ("hdfs", "s3", "gs", "gcs", "abfs", "abfss")
+
+
 def _remote(path: str):
     from pyarrow import fs
 

@@ -306,6 +306,30 @@ def test_changes_within_parameters(spark, results_root):
         steps.materialize(spark, FitUndeclared(rates=now.rates, part=now.part, more=1), results_root)
 
 
+@dataclass(frozen=True)
+class RateDoubled:
+    start: float
+
+    migrations = (evolve.Rewritten(data=lambda f: {"start": f["start"] * 2}), evolve.Moved("RateDoubled", was="Rate"))
+
+
+class FitDoubled(steps.Step):
+    rates: list
+    part: Part
+    migrations = (evolve.Moved("FitDoubled", was="Fit"),)
+
+    def build(self, spark, inputs):
+        raise AssertionError("not built")
+
+
+def test_rewrites_within_parameters(spark, results_root):
+    """A record's values are rewritten on the way to its present form, also within lists."""
+    steps.materialize(spark, Fit(rates=[Rate(0.5), Rate(0.25)], part=Part(size=3)), results_root)
+    now = FitDoubled(rates=[RateDoubled(1.0), RateDoubled(0.5)], part=Part(size=3))
+    assert steps.status(spark, now, results_root) == "done" and steps.materialize(spark, now, results_root).count() == 3
+    assert steps.status(spark, FitDoubled(rates=[RateDoubled(0.5), RateDoubled(0.25)], part=Part(size=3)), results_root) == "missing"
+
+
 def test_links_that_form_a_cycle(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 8)], "current int, source int")
     with pytest.raises(ValueError, match="cycle"):

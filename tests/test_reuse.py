@@ -176,3 +176,77 @@ def test_encoders():
             Leaf(n=1j).key()
     finally:
         steps.ENCODERS.clear()
+
+
+def test_many_keys_are_looked_up_by_a_job(spark, tmp_path, monkeypatch):
+    """Not one call of the driver for each key; hits, links, dangling links and misses as one by one."""
+    root = str(tmp_path)
+    from tarn.sources import results
+
+    leaves = [Leaf(n=n) for n in range(3000)]
+    for s in leaves[:40]:
+        results.publish(spark, s.n, steps.path_of(root, s))
+    for s, source in ((leaves[50], leaves[1]), (leaves[51], leaves[60])):
+        results.publish_link(spark, steps.path_of(root, s), steps.path_of(root, source), [])
+    few = {s.key(): reuse.find(spark, s, root) for s in (leaves[0], leaves[50], leaves[70])}
+    calls = []
+    one = results.read_manifest
+    monkeypatch.setattr(results, "read_manifest", lambda *a: calls.append(a) or one(*a))
+    found = reuse.find_all(spark, leaves, root)
+    assert not calls and sum(p is not None for p in found.values()) == 41
+    assert all(found[k] == p for k, p in few.items()) and found[leaves[51].key()] is None
+    assert results.read_manifest(spark, steps.path_of(root, leaves[51])) is None  # what pointed nowhere is gone
+    with pytest.raises(steps.Missing):
+        steps.load_existing(spark, leaves, root)
+
+
+def test_stale_results_say_what_differs(spark, tmp_path):
+    root = str(tmp_path)
+    steps.materialize(spark, V0(rate=1.0, data="b"), root)
+    with pytest.raises(reuse.Stale) as e:
+        steps.materialize(spark, form({"lr": "float", "data": "int"})(lr=1.0, data=1), root)
+    said = str(e.value).splitlines()
+    assert "1 results, the first of" in said[1] and " by " in said[1]
+    assert said[2:] == ["  ~ data: str -> int", "  + lr: float", "  - rate: float"]
+
+
+def test_audit(spark, tmp_path):
+    """All forms of a store at once: current, covered, superseded, orphaned, unknown."""
+    root = str(tmp_path)
+    for n in (1.0, 2.0):
+        steps.materialize(spark, V0(rate=n, data="b"), root)
+    steps.materialize(spark, V1(lr=1.0, data="b", seed=0), root)
+    steps.materialize(spark, Leaf(n=1), root)
+    got = {(r.name.rpartition(".")[2], r.results, r.links, r.state) for r in reuse.audit(spark, root, [V1]).collect()}
+    assert got == {("Model", 2, 0, "covered"), ("Model", 0, 1, "current"), ("Leaf", 1, 0, "unknown")}
+    broken = form({"lr": "float"}, evolve.Renamed("rate", to="lr", breaking=True))
+    assert {r.state for r in reuse.audit(spark, root, [broken]).collect()} == {"orphaned", "unknown"}
+    new = form({"lr": "float", "data": "str"}, evolve.Renamed("rate", to="lr", breaking=True))
+    assert {(r.state, r.results) for r in reuse.audit(spark, root, [new, Leaf]).collect()} == {("superseded", 2), ("orphaned", 0), ("current", 1)}
+
+
+def test_large_graphs_are_scheduled_in_order(spark, tmp_path, monkeypatch):
+    """Each step's inputs are asked for a few times, not once for every other step that ends."""
+    asked = []
+    inputs = Chain.inputs
+    monkeypatch.setattr(Chain, "inputs", lambda self: asked.append(self.n) or inputs(self))
+    monkeypatch.setattr(steps, "build", lambda spark, members, root, given: [BUILT.append(m.n) for m in members])
+    monkeypatch.setattr(steps.results, "load", lambda *a: None)
+    BUILT.clear()
+    steps.materialize_all(spark, [chain(60)], str(tmp_path))
+    assert BUILT == list(range(61)) and len(asked) <= 10 * 61
+
+
+class Chain(steps.Step):
+    n: int
+    before: object = None
+
+    def build(self, spark, inputs):
+        raise AssertionError("not built")
+
+
+def chain(n):
+    out = None
+    for i in range(n + 1):
+        out = Chain(n=i, before=out)
+    return out
