@@ -1,11 +1,12 @@
 """Operator 10, substring dedup: content-defined chunking.
 
-A gear rolling hash over the last 32 bytes cuts a text where its top bits are
-zero, so that cuts depend on content alone and chunks line up again after an
-insertion. Chunks are grouped by a 96-bit digest over the whole corpus; of
-each, the first occurrence (least doc_id, then place) stays. An occurrence of
+A gear rolling hash over the last 16 bytes cuts a text where four of its bits
+are zero, so that cuts depend on content alone and chunks line up again soon
+after an insertion. Chunks are grouped by a 96-bit digest over the whole corpus;
+of each, the first occurrence (least doc_id, then place) stays. An occurrence of
 a chunk that is not the first goes if it lies in a run of such chunks of at
-least ``MIN_RUN`` bytes, so that short common phrases stay where they are.
+least ``MIN_RUN`` bytes or ``MIN_WORDS`` words, so that short common phrases
+stay where they are, and passages of short words go as those of long ones do.
 
 Digests are counted before they are shuffled, and the join that brings first
 occurrences back is one that adaptive execution can split, so a passage that
@@ -30,10 +31,12 @@ from pyspark.sql import types as T
 from tarn.llm import common
 
 #: A cut after 1 byte in 16 on average, at least MIN and at most MAX bytes after the last: chunks of about 30 bytes.
-#: A repeated passage of 51 words loses at most its two outer chunks, so that over MIN_RUN bytes of it match in 98 of 100 cases.
-MASK = np.uint32(0xF0000000)
+#: The highest bit of the mask is the 16th, which depends on the last 16 bytes. A repeated passage of 51 words loses its two
+#: outer chunks and the bytes that the first cut depends on; what is left passes one of the limits in 9 of 10 cases for words of
+#: two letters, and in 98 of 100 for three and more.
+MASK, WINDOW = np.uint32(0x0000F000), 16
 MIN_CHUNK, MAX_CHUNK = 16, 256
-MIN_RUN = 120
+MIN_RUN, MIN_WORDS = 120, 20
 
 #: A random number for each byte, from a fixed seed.
 GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
@@ -45,9 +48,9 @@ def gear_cuts(text: bytes) -> list[int]:
     if not n:
         return []
     x = np.frombuffer(text, np.uint8)
-    # h[i] is the sum of GEAR[x[i - j]] << j for j below 32, by doubling.
+    # h[i] is the sum of GEAR[x[i - j]] << j for j below WINDOW, by doubling.
     h, k = GEAR[x], 1
-    while k < 32:
+    while k < WINDOW:
         h[k:] = h[k:] + (h[:-k] << np.uint32(k)) if len(h) > k else h[k:]
         k *= 2
     fits = (h & MASK) == 0
@@ -106,8 +109,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return again.groupBy("doc").agg(F.collect_set(F.struct("c1", "c2")).alias("found"))
 
 
-def _cut(text: bytes, found: set[bytes], min_run: int) -> list[tuple[int, int]]:
-    """The runs of at least ``min_run`` bytes of chunks that are in ``found`` or were in the text before."""
+def _cut(text: bytes, found: set[bytes], min_run: int, min_words: int) -> list[tuple[int, int]]:
+    """The runs of at least ``min_run`` bytes or ``min_words`` words, parts of words included, of chunks that are in ``found`` or were in the text before."""
     seen, spans = set(), []
     for s, e, d in digests(text):
         if d in found or d in seen:
@@ -116,10 +119,10 @@ def _cut(text: bytes, found: set[bytes], min_run: int) -> list[tuple[int, int]]:
             else:
                 spans.append([s, e])
         seen.add(d)
-    return [(s, e) for s, e in spans if e - s >= min_run]
+    return [(s, e) for s, e in spans if e - s >= min_run or len(text[s:e].split()) >= min_words]
 
 
-def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def dedup(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeats cut from ``text``, and n_bytes, n_removed and ``removed`` (byte spans)."""
     columns = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "removed")]
     # A document without an id is known by its text, so that many of them are no one group.
@@ -134,7 +137,7 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             texts, n_bytes, n_removed, removed = [], [], [], []
             for text, found in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("found").to_pylist()):
                 known = {g["c1"].to_bytes(8, "little", signed=True) + g["c2"].to_bytes(4, "little", signed=True) for g in found or []}
-                spans = _cut(text or b"", known, min_run)
+                spans = _cut(text or b"", known, min_run, min_words)
                 kept, last = [], 0
                 for s, e in spans:
                     kept.append(text[last:s])

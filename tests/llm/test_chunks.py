@@ -39,7 +39,8 @@ def slow(rows, min_run):
             if c is not None and first[c] != (doc, s):
                 run.append((s, e))
             else:
-                if run and run[-1][1] - run[0][0] >= min_run:
+                t = (text or "").encode()[run[0][0] : run[-1][1]] if run else b""
+                if run and (len(t) >= min_run or len(t.split()) >= chunks.MIN_WORDS):
                     gone.update(range(run[0][0], run[-1][1]))
                 run = []
         t = (text or "").encode()
@@ -97,3 +98,16 @@ def test_documents_without_ids(spark, rng):
     out = chunks.dedup_stage(spark, docs, "")
     assert out.columns == docs.columns and out.count() == 8
     assert chunks.dedup_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_recall_by_word_length(spark, rng):
+    """Passages of 51 words in two contexts are found, whatever the length of their words; the README has the shares."""
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    text = lambda k, n: " ".join("".join(rng.choice(letters, k)) for _ in range(n))
+    for k, least in ((2, 0.85), (3, 0.93), (6, 0.98)):
+        rows = []
+        for i in range(150):
+            shared = text(k, 51)
+            rows += [(2 * i, f"{text(k, 40)} {shared} {text(k, 40)}"), (2 * i + 1, f"{text(k, 40)} {shared} {text(k, 40)}")]
+        got = {r.doc_id: r.n_removed for r in chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert sum(got[2 * i + 1] > 0 for i in range(150)) >= least * 150 and not any(got[2 * i] for i in range(150))
