@@ -9,8 +9,11 @@ table's bits. The key grows with the number of fingerprints, so that buckets
 stay small, and the number of tables with the key, so that a pair 19 bits apart
 meets in ``HITS`` tables on average (``drawn``). Two that meet, differ in up to
 ``RADIUS`` bits, counted on bit planes as in operator 2, and have sets of sizes
-that allow a similarity of 0.8, are a candidate, which the exact similarity of
-their shingles confirms or not.
+that allow a similarity of 0.8, are compared by 128 more bits, each of the least
+shingle in an order of its own, of which 13 differ on average at 0.8, and 26 at
+0.6; up to ``SKETCH`` make a candidate. So edited copies of one text that are no
+near-duplicates of each other are few candidates, however many they are. The
+exact similarity of the shingles confirms a candidate or not.
 
 The result is the components of all confirmed candidates; the rounds in which
 these are looked at only save work:
@@ -57,8 +60,9 @@ BITS = 128
 #: The farthest that candidates may be apart, and the distance at similarity 0.8.
 RADIUS = 28
 USUAL = 19
+SKETCH = 20
 #: Tables in which a pair at the usual distance meets on average; bits of a key at least and at most; nodes of a bucket.
-HITS = 5
+HITS = 6
 KEY = (16, 40)
 HELD = 32
 #: Bits and tables of the first round.
@@ -69,6 +73,9 @@ SMALL = 16
 #: Words of bit planes that are compared at once.
 PLANES = 1 << 22
 SEED = 11
+#: A node's fingerprint and sketch.
+WORDS = ("lo", "hi", "m_lo", "m_hi")
+WORDS_DDL = ", ".join(f"{w} long" for w in WORDS)
 
 def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     """128-bit hashes of the distinct shingles of a text: rows of two words."""
@@ -85,19 +92,32 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     return np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
 
 
+#: Odd multipliers, one for each order of the sketch, and the bit of the least product that is kept.
+ORDERS = np.random.default_rng(SEED).integers(0, 2**63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+KEPT = np.uint64(23)
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """A bit of the least of the hashes (n, two words) in each of 128 orders, as two words."""
+    least = np.full(BITS, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 1024):
+        np.minimum(least, (h[at : at + 1024, :1] * ORDERS).min(0), out=least)
+    return np.packbits((least >> KEPT & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Node (a digest of the set of shingles), size of the set and fingerprint of each text."""
     for b in batches:
-        nodes, sizes, fps = [], [], np.zeros((b.num_rows, 2), np.uint64)
+        nodes, sizes, fps = [], [], np.zeros((b.num_rows, 4), np.uint64)
         for i, text in enumerate(common.utf8(b.column("text"))):
             h = shingles(text)
             nodes.append(h.sum(0, dtype=np.uint64).tobytes())
             sizes.append(len(h))
             if len(h):
-                fps[i] = majority(h)
+                fps[i] = *majority(h), *sketch(h)
         fps = fps.view(np.int64)
-        numbers = [pa.array(np.ascontiguousarray(fps[:, i])) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), *numbers], names=["doc_id", "key", "node", "size", "lo", "hi"])
+        numbers = [pa.array(np.ascontiguousarray(fps[:, i])) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), *numbers], names=["doc_id", "key", "node", "size", *WORDS])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +142,7 @@ def tables(bits: int, n: int) -> np.ndarray:
 
 
 def dealt(nodes: DataFrame, bits: int, n: int) -> DataFrame:
-    """``nodes`` (vid, label, size, lo, hi, asks), a row for each table, with its bucket there."""
+    """``nodes`` (vid, label, size, ``WORDS``, asks), a row for each table, with its bucket there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -134,8 +154,8 @@ def dealt(nodes: DataFrame, bits: int, n: int) -> DataFrame:
                 for t, places in enumerate(tables(bits, n)):
                     yield pa.RecordBatch.from_arrays([pa.array(own[:, places] @ weights + (t << bits)), *b.columns], names=["bucket", *names])
 
-    names = ["vid", "label", "size", "lo", "hi", "asks"]
-    return nodes.select(*names).mapInArrow(run, "bucket long, vid long, label long, size int, lo long, hi long, asks boolean")
+    names = ["vid", "label", "size", *WORDS, "asks"]
+    return nodes.select(*names).mapInArrow(run, f"bucket long, vid long, label long, size int, {WORDS_DDL}, asks boolean")
 
 
 def like_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,7 +164,12 @@ def like_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    """Differing bits of fingerprints (the first two words of each row)."""
+    return np.bitwise_count(a[:, :2] ^ b[:, :2]).sum(1, dtype=np.int64)
+
+
+def like_sketches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a[:, 2:] ^ b[:, 2:]).sum(1, dtype=np.int64) <= SKETCH
 
 
 def star_links(start: np.ndarray, vid: np.ndarray, size: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +177,7 @@ def star_links(start: np.ndarray, vid: np.ndarray, size: np.ndarray, fps: np.nda
     first = np.repeat(start, np.diff(np.r_[start, len(vid)]))
     at = np.flatnonzero(first < np.arange(len(vid)))
     at = at[like_sizes(size[at], size[first[at]])]
-    at = at[_distance(fps[at], fps[first[at]]) <= RADIUS]
+    at = at[(_distance(fps[at], fps[first[at]]) <= RADIUS) & like_sketches(fps[at], fps[first[at]])]
     return vid[first[at]], vid[at]
 
 
@@ -169,9 +194,11 @@ def small_links(start: np.ndarray, sizes: np.ndarray, label: np.ndarray, size: n
     i, j = i[some], j[some]
     some = like_sizes(size[i], size[j])
     i, j = i[some], j[some]
-    found = [np.zeros(0, np.int64), *(k + lanes(within(planes(fps[i[k : k + 65536]] ^ fps[j[k : k + 65536]]), RADIUS)) for k in range(0, len(i), 65536))]
+    bits = np.ascontiguousarray(fps[:, :2])
+    found = [np.zeros(0, np.int64), *(k + lanes(within(planes(bits[i[k : k + 65536]] ^ bits[j[k : k + 65536]]), RADIUS)) for k in range(0, len(i), 65536))]
     found = np.concatenate(found)
     found = found[found < len(i)]
+    found = found[like_sketches(fps[i[found]], fps[j[found]])]
     return i[found], j[found]
 
 
@@ -181,19 +208,19 @@ def large_links(label: np.ndarray, size: np.ndarray, fps: np.ndarray, asks: np.n
     queries = np.flatnonzero(asks & (code != n.argmax()))
     asked = np.zeros(len(label), bool)
     asked[queries] = True
-    vertical = planes(fps)
+    vertical = planes(np.ascontiguousarray(fps[:, :2]))
     step = max(PLANES // vertical.size, 1)
     a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(queries), step):
         q = queries[at : at + step]
-        bits = np.unpackbits(np.ascontiguousarray(fps[q]).view(np.uint8), axis=1, bitorder="little").T
+        bits = np.unpackbits(np.ascontiguousarray(fps[q, :2]).view(np.uint8), axis=1, bitorder="little").T
         diff = vertical[:, None, :] ^ (bits.astype(np.uint64) * np.uint64(0xFFFFFFFFFFFFFFFF))[:, :, None]
         i, j = divmod(lanes(within(diff.reshape(BITS, -1), RADIUS)), vertical.shape[1] * 64)
         i, j = i[j < len(fps)], j[j < len(fps)]
         # Of two members that ask, the first does.
         some = (label[q[i]] != label[j]) & ~(asked[j] & (j < q[i]))
         i, j = i[some], j[some]
-        some = like_sizes(size[q[i]], size[j])
+        some = like_sizes(size[q[i]], size[j]) & like_sketches(fps[q[i]], fps[j])
         i, j = q[i[some]], j[some]
         order = np.lexsort((j, _distance(fps[i], fps[j]), i))
         i, j = i[order], j[order]
@@ -230,7 +257,7 @@ def linked(rows: DataFrame, most: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             bucket, vid, label, size = (batch.column(c).to_numpy() for c in ("bucket", "vid", "label", "size"))
-            fps = np.stack([batch.column(c).to_numpy() for c in ("lo", "hi")], 1).view(np.uint64)
+            fps = np.stack([batch.column(c).to_numpy() for c in WORDS], 1).view(np.uint64)
             now = (bucket, vid, label, size, fps, batch.column("asks").to_numpy(zero_copy_only=False))
             cut = int(np.searchsorted(bucket, bucket[-1]))
             if cut or not kept or kept[-1][0][-1] != bucket[0]:
@@ -278,15 +305,15 @@ def confirmed(links: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label) for the nodes that have a near-duplicate; ``docs`` has doc_id, key and text, ``nodes`` vid, size, lo, hi and the row (w_id, w_key) of one text."""
+    """(node, label) for the nodes that have a near-duplicate; ``docs`` has doc_id, key and text, ``nodes`` vid, size, ``WORDS`` and the row (w_id, w_key) of one text."""
     sets = Sets(docs, nodes)
     bits, n = drawn(nodes.count())
-    asking = nodes.select("vid", F.col("vid").alias("label"), "size", "lo", "hi", F.lit(True).alias("asks"))
+    asking = nodes.select("vid", F.col("vid").alias("label"), "size", *WORDS, F.lit(True).alias("asks"))
     tested = common.materialize(linked(dealt(asking, *LONG), 0), "candidates")
     known = common.materialize(confirmed(tested, sets.of(tested)), "confirmed")
     label, open_, most = components(known), None, FIRST
     while True:
-        asks = nodes.select("vid", "size", "lo", "hi").join(label.withColumnRenamed("node", "vid"), "vid", "left").withColumn("label", F.coalesce("label", "vid"))
+        asks = nodes.select("vid", "size", *WORDS).join(label.withColumnRenamed("node", "vid"), "vid", "left").withColumn("label", F.coalesce("label", "vid"))
         asks = asks.withColumn("asks", F.lit(True)) if open_ is None else asks.join(open_.withColumn("asks", F.lit(True)), "vid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         asks = common.materialize(asks, "asking")
         rows = dealt(asks, bits, n)
@@ -310,10 +337,10 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: of each component of near-duplicates one row stays."""
     rows = common.packed(docs, "doc_id", "text").withColumn("key", common.text_key())
     own = docs.schema["doc_id"].dataType.simpleString()
-    slim = rows.select("doc_id", "key", "text").mapInArrow(_signatures, f"doc_id {own}, key binary, node binary, size int, lo long, hi long")
+    slim = rows.select("doc_id", "key", "text").mapInArrow(_signatures, f"doc_id {own}, key binary, node binary, size int, {WORDS_DDL}")
     slim = common.materialize(slim, "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key"))
-    nodes = slim.groupBy("node", "size", "lo", "hi").agg(first.alias("w")).select(F.monotonically_increasing_id().alias("vid"), "size", "lo", "hi", F.col("w.doc_id").alias("w_id"), F.col("w.key").alias("w_key"))
+    nodes = slim.groupBy("node", "size", *WORDS).agg(first.alias("w")).select(F.monotonically_increasing_id().alias("vid"), "size", *WORDS, F.col("w.doc_id").alias("w_id"), F.col("w.key").alias("w_key"))
     nodes = common.materialize(nodes, "nodes")
     label = grouped(rows, nodes)
     named = nodes.join(label, F.col("vid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "vid"))
