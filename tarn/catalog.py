@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text
-from tarn.operators import evolve, graph, grouping, keys, lineage, lookup
+from tarn.operators import evolve, graph, grouping, keys, lineage, lookup, snapshots
 from tarn.operators import trees as record_trees
-from tarn.plans import steps
+from tarn.plans import prune, steps
 from tarn.sources import arrays, datasource, results, rows
 from tarn.sources.shared import file_system, shared_dir, written
 from tarn.streaming import leases
@@ -551,6 +551,16 @@ def dag_cycles(spark, sf_dir):
     return graph.leading_to_cycles(edges.unionByName(back))
 
 
+@query(f"""WITH RECURSIVE {EDGES}, kept AS (SELECT 'r' || r_regionkey AS node FROM region WHERE r_name IN ('ASIA', 'EUROPE') UNION SELECT child FROM kept JOIN edges ON node = parent),
+nodes AS (SELECT parent AS node FROM edges UNION SELECT child FROM edges) SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM kept)""")
+def unreachable_results(spark, sf_dir):
+    """What a sweep that keeps two regions and all that they lead to would delete."""
+    _, edges = graph_tables(spark, sf_dir)
+    nodes = edges.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
+    keep = table(spark, sf_dir, "region").where("r_name in ('ASIA', 'EUROPE')").selectExpr("'r' || r_regionkey as node")
+    return prune.unreachable(nodes, edges, keep)
+
+
 PARTS = """edges AS (SELECT p_partkey AS parent, p_size::BIGINT * 31 AS child, p_brand FROM part UNION SELECT p_partkey, p_partkey // 2, p_brand FROM part WHERE p_retailprice > 1500)"""
 
 
@@ -692,6 +702,18 @@ def snapshot_ids(spark, sf_dir):
     return lineage.snapshot_ids(files, "source", "path", "hash")
 
 
+@query("""WITH d AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, text, lang, source FROM documents)
+SELECT path, CASE WHEN source = 'src3' THEN '-' ELSE '~' END AS change FROM d WHERE source = 'src3' OR lang = 'de' AND text || '.' <> text
+UNION ALL SELECT 'labels/' || doc_id, '+' FROM labels""")
+def snapshot_changes(spark, sf_dir):
+    """Documents as files of a folder: one source is removed, one language's texts change, labels come."""
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "lang", "source", "text")
+    changed = d.where("source <> 'src3'").withColumn("text", F.when(F.col("lang") == "de", F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    labels = table(spark, sf_dir, "labels").select(F.concat(F.lit("labels/"), "doc_id").alias("path"), F.to_json(F.struct("quality", "toxic")).alias("text"))
+    trees = [snapshots.tree(f.select("path", F.octet_length("text").alias("size"), snapshots.blob_hash("text").alias("hash"))) for f in (d, changed.select("path", "text").unionByName(labels))]
+    return snapshots.changed(*trees).select("path", "change")
+
+
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.doc_id IS NULL THEN 'dirty' WHEN a.n_chars = b.n THEN 'clean' ELSE 'dirty' END AS state
 FROM (SELECT doc_id, n_chars FROM documents WHERE doc_id % 10 <> 1) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 10 = 2 THEN -1 ELSE n_chars END AS n FROM documents WHERE doc_id % 10 <> 3) b ON a.doc_id = b.doc_id""")
 def worktree_split(spark, sf_dir):

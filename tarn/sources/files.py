@@ -52,15 +52,20 @@ def exists(path: str) -> bool:
     return system.get_file_info(at).type != fs.FileType.NotFound
 
 
-def folders(path: str) -> list[str]:
-    """Names of the folders in a folder; none if it is not there."""
+def entries(path: str) -> list[tuple[str, bool, int]]:
+    """(name, whether it is a folder, size) of what is in a folder; nothing if it is not there."""
     if own := local(path):
-        return sorted(e.name for e in os.scandir(own) if e.is_dir()) if os.path.isdir(own) else []
+        return sorted((e.name, e.is_dir(), 0 if e.is_dir() else e.stat().st_size) for e in os.scandir(own)) if os.path.isdir(own) else []
     from pyarrow import fs
 
     system, at = _remote(path)
     found = system.get_file_info(fs.FileSelector(at, allow_not_found=True))
-    return sorted(f.base_name for f in found if f.type == fs.FileType.Directory)
+    return sorted((f.base_name, f.type == fs.FileType.Directory, f.size or 0) for f in found)
+
+
+def folders(path: str) -> list[str]:
+    """Names of the folders in a folder; none if it is not there."""
+    return [name for name, folder, _ in entries(path) if folder]
 
 
 def move(path: str, target: str) -> bool:
