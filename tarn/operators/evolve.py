@@ -104,6 +104,26 @@ class Nested:
         return df.withColumn(self.field, F.transform(self.field, rename) if kind.startswith("array") else rename(F.col(self.field)))
 
 
+def described(change) -> str:
+    """A change as it is shown beside a link: what it does, and whether it breaks."""
+    if isinstance(change, Renamed):
+        body = f"{change.field} becomes {change.to}"
+    elif isinstance(change, Added):
+        body = f"{change.field} is added as {change.default!r}"
+    elif isinstance(change, Retyped):
+        body = f"{change.field} was {change.was or 'of another type'} and is {change.to}"
+    elif isinstance(change, Moved):
+        body = f"{'.'.join(x for x in (change.was_module, change.was) if x) or 'the class'} becomes {change.name}"
+    elif isinstance(change, Rewritten):
+        made = change.values or change.data
+        body = f"new values by {getattr(made, '__qualname__', repr(made))}"
+    elif isinstance(change, Nested):
+        body = f"{change.old} becomes {change.new} within {change.field}"
+    else:
+        body = repr(change)
+    return f"{body} (breaking)" if change.breaking else body
+
+
 def of_class(name: str) -> dict[str, str]:
     """Metadata of a column or field: the structs in it, or in its arrays and maps, are records of the class."""
     return {"class": name}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,39 @@ def stale(expires: str, now: Column, slop_seconds: int = 10) -> Column:
     return F.col(expires) + F.expr(f"INTERVAL {slop_seconds} SECONDS") <= now
 
 
+@dataclass(frozen=True)
+class Range:
+    """What is asked of a resource: an inclusive range, open above without ``high``."""
+
+    low: float
+    high: float | None = None
+
+    def __post_init__(self):
+        if self.low < 0:
+            raise ValueError(f"a range begins at zero or above, not at {self.low}")
+        if self.high is not None and self.high < self.low:
+            raise ValueError(f"a range that ends at {self.high} can't begin at {self.low}")
+
+    def holds(self, offered: Column) -> Column:
+        return satisfies(offered, F.lit(self.low), F.lit(self.high))
+
+    def columns(self, name: str) -> list[Column]:
+        """The bounds as the columns of a table of requests."""
+        return [F.lit(self.low).alias(f"{name}_low"), F.lit(self.high).alias(f"{name}_high")]
+
+
+def exactly(n: float) -> Range:
+    return Range(n, n)
+
+
+def at_least(n: float) -> Range:
+    return Range(n)
+
+
+def between(low: float, high: float) -> Range:
+    return Range(low, high)
+
+
 def satisfies(offered: Column, low: Column, high: Column) -> Column:
     """A resource within an inclusive range; a null bound is open."""
     return (low.isNull() | (offered >= low)) & (high.isNull() | (offered <= high))

@@ -137,7 +137,7 @@ def matching(spark: SparkSession, cls: type[Step], wanted: list[Step], root: str
         for i, name in enumerate(names):
             fits = fits & (same[f"`{name}`"] == asked[f"_{i}"])
         for r in same.join(asked, fits).groupBy("_key").agg(F.min("path").alias("path")).collect():
-            found[r._key] = r.path, [repr(c) for c in form.changes]
+            found[r._key] = r.path, [evolve.described(c) for c in form.changes]
     return found
 
 
@@ -280,9 +280,10 @@ def matching_within(spark: SparkSession, cls: type[Step], wanted: list[Step], ro
         return {}, set()
     asked = spark.createDataFrame([(s.key(),) for s in wanted], "key string")
     found = rows.join(asked, "key").groupBy("key").agg(F.min("path").alias("path")).collect()
-    changed = sorted({full_name(c) for s in wanted for c in within(s) if getattr(c, "migrations", ())})
+    classes = {full_name(c): c for s in wanted for c in within(s) if getattr(c, "migrations", ())}
+    changed = [f"{c.__qualname__}: {'; '.join(map(evolve.described, c.migrations))}" for _, c in sorted(classes.items())]
     explained = {r.place for r in rows.where("known").select("place").distinct().collect()}
-    return {r.key: (r.path, [f"within: {name}" for name in changed]) for r in found}, explained
+    return {r.key: (r.path, changed) for r in found}, explained
 
 
 def changes(old: dict[str, str], new: dict[str, str]) -> list[str]:

@@ -94,3 +94,18 @@ def test_log_values(spark, value, shown):
 def test_labels(spark):
     got = spark.range(1).select(text.elide(F.lit("abcdefghij"), 5), text.elide(F.lit("abc"), 5), text.job_state(F.lit("CANCELLED by 12")), text.job_state(F.lit("FAILED+")), text.padded_index(F.lit(7), F.lit(100)), text.shown_path(F.array())).first()
     assert tuple(got) == ("ab…ij", "abc", "CANCELLED", "FAILED", "007", "<root>")
+
+
+def test_ranges(spark):
+    for bad in ((-1, 2), (3, 2)):
+        with pytest.raises(ValueError, match="range"):
+            lookup.between(*bad)
+    df = spark.range(6)
+    held = lambda r: [x.id for x in df.where(r.holds(F.col("id"))).collect()]
+    assert held(lookup.between(2, 4)) == [2, 3, 4] and held(lookup.at_least(4)) == [4, 5] and held(lookup.exactly(0)) == [0]
+    assert df.limit(1).select(*lookup.at_least(2).columns("cpus")).first().asDict() == {"cpus_low": 2, "cpus_high": None}
+
+
+def test_changes_are_described():
+    changes = [evolve.Renamed("a", "b"), evolve.Added("c", 0, breaking=True), evolve.Retyped("c", "string", was="int"), evolve.Moved("New", was="Old"), evolve.Rewritten(dict), evolve.Nested("f", "x", "y")]
+    assert [evolve.described(c) for c in changes] == ["a becomes b", "c is added as 0 (breaking)", "c was int and is string", "Old becomes New", "new values by dict", "x becomes y within f"]
