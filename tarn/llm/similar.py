@@ -9,8 +9,8 @@ table's bits. The key grows with the number of fingerprints, so that buckets
 stay small, and the number of tables with the key, so that a pair 19 bits apart
 meets in ``HITS`` tables on average (``drawn``). Two that meet, differ in up to
 ``RADIUS`` bits, counted on bit planes as in operator 2, and have sets of sizes
-that allow a similarity of 0.8, are compared by 128 more bits, each of the least
-shingle in an order of its own, of which 13 differ on average at 0.8, and 26 at
+that allow a similarity of 0.8, are compared by 256 more bits, each of the least
+shingle in an order of its own, of which 26 differ on average at 0.8, and 51 at
 0.6; up to ``SKETCH`` make a candidate. So edited copies of one text that are no
 near-duplicates of each other are few candidates, however many they are. The
 exact similarity of the shingles confirms a candidate or not.
@@ -60,21 +60,23 @@ BITS = 128
 #: The farthest that candidates may be apart, and the distance at similarity 0.8.
 RADIUS = 28
 USUAL = 19
-SKETCH = 20
+SKETCH = 38
 #: Tables in which a pair at the usual distance meets on average; bits of a key at least and at most; nodes of a bucket.
-HITS = 6
+HITS = 5
 KEY = (16, 40)
-HELD = 32
+HELD = 256
 #: Bits and tables of the first round.
 LONG = 40, 16
 #: Candidates that a member passes on at first, and how much more each time. Buckets of up to ``SMALL`` never have more.
-FIRST, MORE = 16, 8
+FIRST, MORE = 512, 8
 SMALL = 16
 #: Words of bit planes that are compared at once.
 PLANES = 1 << 22
 SEED = 11
 #: A node's fingerprint and sketch.
-WORDS = ("lo", "hi", "m_lo", "m_hi")
+WORDS = ("lo", "hi", "m0", "m1", "m2", "m3")
+#: Bits of the sketch.
+LEAST = 256
 WORDS_DDL = ", ".join(f"{w} long" for w in WORDS)
 
 def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
@@ -93,22 +95,22 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
 
 
 #: Odd multipliers, one for each order of the sketch, and the bit of the least product that is kept.
-ORDERS = np.random.default_rng(SEED).integers(0, 2**63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ORDERS = np.random.default_rng(SEED).integers(0, 2**63, LEAST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 KEPT = np.uint64(23)
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """A bit of the least of the hashes (n, two words) in each of 128 orders, as two words."""
-    least = np.full(BITS, np.iinfo(np.uint64).max)
-    for at in range(0, len(h), 1024):
-        np.minimum(least, (h[at : at + 1024, :1] * ORDERS).min(0), out=least)
+    """A bit of the least of the hashes (n, two words) in each of 256 orders, as four words."""
+    least = np.full(LEAST, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 256):
+        np.minimum(least, (h[at : at + 256, :1] * ORDERS).min(0), out=least)
     return np.packbits((least >> KEPT & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Node (a digest of the set of shingles), size of the set and fingerprint of each text."""
     for b in batches:
-        nodes, sizes, fps = [], [], np.zeros((b.num_rows, 4), np.uint64)
+        nodes, sizes, fps = [], [], np.zeros((b.num_rows, len(WORDS)), np.uint64)
         for i, text in enumerate(common.utf8(b.column("text"))):
             h = shingles(text)
             nodes.append(h.sum(0, dtype=np.uint64).tobytes())
@@ -116,7 +118,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(h):
                 fps[i] = *majority(h), *sketch(h)
         fps = fps.view(np.int64)
-        numbers = [pa.array(np.ascontiguousarray(fps[:, i])) for i in range(4)]
+        numbers = [pa.array(np.ascontiguousarray(fps[:, i])) for i in range(len(WORDS))]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), *numbers], names=["doc_id", "key", "node", "size", *WORDS])
 
 
