@@ -15,17 +15,19 @@ shingle in an order of its own, of which 26 differ on average at 0.8, and 51 at
 near-duplicates of each other are few candidates, however many they are. The
 exact similarity of the shingles confirms a candidate or not.
 
-The result is the components of all confirmed candidates; the rounds in which
-these are looked at only save work:
+The result is the components of all confirmed candidates, found in two steps:
 
 * First, few tables with long keys: each member of a bucket is held against the
   bucket's first. This joins most of a large group of near copies by as many
   candidates as it has members.
-* Then all tables. Members of a bucket whose components differ are candidates,
-  closest first; a member passes on its first ``FIRST`` ones. Members of the
-  bucket's largest component are not compared with each other.
-* Members that had more candidates are looked at again, with eight times as
-  many, less those already tested, until nobody has more.
+* Then all tables. Members of a bucket whose components differ are candidates;
+  members of the bucket's largest component are not compared with each other.
+  Candidates do not leave a bucket as pairs, which are as many as the square of
+  its members, but as stars: each member with the least one that it is joined
+  to. What all stars join is a group, which holds both ends of every candidate.
+  A group's members, one row each, are compared there by their exact sets,
+  again but for pairs within its largest component. Groups of over ``FIRST``
+  members go in blocks, so that no task holds more than two of them.
 
 So no candidate between different components is left untested, whatever the
 size of a bucket, and none within a component is needed.
@@ -67,8 +69,8 @@ KEY = (16, 40)
 HELD = 256
 #: Bits and tables of the first round.
 LONG = 40, 16
-#: Candidates that a member passes on at first, and how much more each time. Buckets of up to ``SMALL`` never have more.
-FIRST, MORE = 512, 8
+#: Members of a block of a group, and shingles for each that are compared at once. Buckets of up to ``SMALL`` are compared as lanes.
+FIRST, MORE = 256, 8
 SMALL = 16
 #: Words of bit planes that are compared at once.
 PLANES = 1 << 22
@@ -144,7 +146,7 @@ def tables(bits: int, n: int) -> np.ndarray:
 
 
 def dealt(nodes: DataFrame, bits: int, n: int) -> DataFrame:
-    """``nodes`` (vid, label, size, ``WORDS``, asks), a row for each table, with its bucket there."""
+    """``nodes`` (vid, label, size, ``WORDS``), a row for each table, with its bucket there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -156,8 +158,8 @@ def dealt(nodes: DataFrame, bits: int, n: int) -> DataFrame:
                 for t, places in enumerate(tables(bits, n)):
                     yield pa.RecordBatch.from_arrays([pa.array(own[:, places] @ weights + (t << bits)), *b.columns], names=["bucket", *names])
 
-    names = ["vid", "label", "size", *WORDS, "asks"]
-    return nodes.select(*names).mapInArrow(run, f"bucket long, vid long, label long, size int, {WORDS_DDL}, asks boolean")
+    names = ["vid", "label", "size", *WORDS]
+    return nodes.select(*names).mapInArrow(run, f"bucket long, vid long, label long, size int, {WORDS_DDL}")
 
 
 def like_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -233,25 +235,51 @@ def large_links(label: np.ndarray, size: np.ndarray, fps: np.ndarray, asks: np.n
     return np.concatenate(a), np.concatenate(b), np.concatenate(more)
 
 
-def linked(rows: DataFrame, most: int) -> DataFrame:
-    """Candidates (a, b) of what was ``dealt``, a < b; (a, -1) for members that have more. ``most`` = 0: each member with its bucket's first."""
+def stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``n`` places joined by links (i, j): the least of its component and the place, for all others than the least."""
+    least = np.arange(n)
+    while True:
+        low, new = np.minimum(least[i], least[j]), least.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == least).all():
+            at = np.flatnonzero(least < np.arange(n))
+            return least[at], at
+        least = new
+
+
+def large_stars(label: np.ndarray, size: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the candidates of one bucket join; few members ask at a time, so that their pairs fit in memory."""
+    n = len(label)
+    names, code, counts = np.unique(label, return_inverse=True, return_counts=True)
+    queries = np.flatnonzero(code != counts.argmax())
+    step = max(PLANES // n, 1)
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for at in range(0, len(queries), step):
+        asks = np.zeros(n, bool)
+        asks[queries[at : at + step]] = True
+        i, j, _ = large_links(label, size, fps, asks, n)
+        a, b = stars(np.r_[a, i], np.r_[b, j], n)
+    return a, b
+
+
+def linked(rows: DataFrame, first: bool = False) -> DataFrame:
+    """What the candidates of each bucket of what was ``dealt`` join, as stars (a, b), a < b. ``first``: each member with its bucket's first, if these are candidates."""
 
-    def links(bucket, vid, label, size, fps, asks) -> pa.RecordBatch:
+    def links(bucket, vid, label, size, fps) -> pa.RecordBatch:
         new = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         sizes = np.diff(np.r_[new, len(vid)])
-        open_ = np.zeros(0, np.int64)
-        if not most:
+        if first:
             a, b = star_links(new, vid, size, fps)
         else:
             few = (sizes > 1) & (sizes <= SMALL)
-            found = [small_links(new[few], sizes[few], label, size, fps, asks)]
+            found = [stars(*small_links(new[few], sizes[few], label, size, fps, np.ones(len(vid), bool)), len(vid))]
             for s, n in zip(new[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-                here = slice(s, s + n)
-                i, j, more = large_links(label[here], size[here], fps[here], asks[here], most)
+                i, j = large_stars(*(x[s : s + n] for x in (label, size, fps)))
                 found.append((i + s, j + s))
-                open_ = np.r_[open_, vid[more + s]]
             a, b = (vid[np.concatenate(x)] for x in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(np.r_[np.minimum(a, b), open_]), pa.array(np.r_[np.maximum(a, b), np.full(len(open_), -1)])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple] = []  # a bucket may go over several batches
@@ -260,7 +288,7 @@ def linked(rows: DataFrame, most: int) -> DataFrame:
                 continue
             bucket, vid, label, size = (batch.column(c).to_numpy() for c in ("bucket", "vid", "label", "size"))
             fps = np.stack([batch.column(c).to_numpy() for c in WORDS], 1).view(np.uint64)
-            now = (bucket, vid, label, size, fps, batch.column("asks").to_numpy(zero_copy_only=False))
+            now = (bucket, vid, label, size, fps)
             cut = int(np.searchsorted(bucket, bucket[-1]))
             if cut or not kept or kept[-1][0][-1] != bucket[0]:
                 kept.append(tuple(x[:cut] for x in now))
@@ -306,33 +334,104 @@ def confirmed(links: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * common_ >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def alike(values: np.ndarray, sizes: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (places) of a left and a right one of other labels whose sets have a similarity of at least 0.8; ``values`` has the sets one after the other."""
+    n = len(sizes)
+    order = np.argsort(values, kind="stable")
+    owner, v = np.repeat(np.arange(n), sizes)[order], values[order]
+    new = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    times = np.diff(np.r_[new, len(v)])
+    # Shingles of one set alone count in its size only.
+    owner, column = owner[np.repeat(times > 1, times)], np.repeat(np.arange((times > 1).sum()), times[times > 1])
+    left, right = np.flatnonzero(left), np.flatnonzero(right)
+    both = np.zeros((len(left), len(right)), np.float32)
+    wide = FIRST * MORE
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        here = slice(*np.searchsorted(column, (at, at + wide)))
+        has = np.zeros((n, min(wide, int(column[-1]) + 1 - at)), np.float32)
+        has[owner[here], column[here] - at] = 1
+        both += has[left] @ has[right].T
+    # 5 * common >= 4 * (x + y - common)
+    i, j = np.nonzero((9 * both >= 4 * (sizes[left][:, None] + sizes[right])) & (label[left][:, None] != label[right]))
+    return left[i], right[j]
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each cell (group, q, m), as stars; a cell may go over several batches."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        cell = np.stack([rows.column(c).to_numpy() for c in ("group", "q", "m")], 1)
+        vid, label, left, right = (rows.column(c).to_numpy() for c in ("vid", "label", "left", "right"))
+        parts = rows.column("parts").combine_chunks()
+        values, sizes = parts.flatten().to_numpy(), parts.value_lengths().to_numpy().astype(np.int64)
+        ends = np.r_[0, np.cumsum(sizes)]
+        new = np.r_[np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1)]), len(vid)]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(new[:-1].tolist(), new[1:].tolist()):
+            i, j = stars(*alike(values[ends[s] : ends[e]], sizes[s:e], label[s:e], left[s:e], right[s:e]), e - s)
+            a.append(vid[i + s])
+            b.append(vid[j + s])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    kept: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.table(batch)
+        cell = np.stack([now.column(c).to_numpy() for c in ("group", "q", "m")], 1)
+        cut = now.num_rows - int((cell == cell[-1]).all(1).sum())
+        if kept and (cut or (np.array([kept[-1].column(c)[-1].as_py() for c in ("group", "q", "m")]) != cell[0]).any()):
+            yield links(pa.concat_tables([*kept, now.slice(0, cut)]))
+            kept = []
+        elif cut:
+            yield links(now.slice(0, cut))
+        kept.append(now.slice(cut))
+    if kept:
+        yield links(pa.concat_tables(kept))
+
+
+def compared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join what is alike within each group of ``members`` (vid, label, group), by ``sets`` (vid, parts).
+
+    Members outside the largest label of a group ask all its members. Both are
+    dealt into blocks, each pair of which is a cell of its own.
+    """
+    of_label = members.groupBy("group", "label").count()
+    whole = of_label.groupBy("group").agg(F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("top"))
+
+    def blocks(n):
+        return F.ceil(n / F.lit(FIRST)).cast("int")
+
+    whole = common.materialize(whole.select("group", F.col("top.label").alias("top"), blocks(F.col("n") - F.col("top.count")).alias("nq"), blocks(F.col("n")).alias("nm")), "groups")
+    place = members.join(whole, "group").withColumn("asks", F.col("label") != F.col("top"))
+    own_q, own_m = (F.pmod(F.xxhash64("vid"), F.col(n)).cast("int") for n in ("nq", "nm"))
+    place = place.select("group", "vid", "label", "asks", "nq", "nm", F.when(F.col("asks"), own_q).otherwise(0).alias("own_q"), own_m.alias("own_m"))
+    asked = F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda q: F.struct(q.alias("q"), F.col("own_m").alias("m")))
+    asking = F.transform(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("nm") - 1).otherwise(0)), lambda m: F.struct(F.col("own_q").alias("q"), F.when(F.col("asks"), m).otherwise(F.col("own_m")).alias("m")))
+    rows = place.join(sets, "vid").withColumn("cell", F.explode(F.array_union(asked, asking)))
+    left, right = F.col("asks") & (F.col("own_q") == F.col("cell.q")), F.col("own_m") == F.col("cell.m")
+    rows = rows.select("group", "cell.q", "cell.m", "vid", "label", left.alias("left"), right.alias("right"), "parts")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "group", "q", "m").sortWithinPartitions("group", "q", "m", "vid").mapInArrow(_compare, "a long, b long").distinct()
+
+
 def grouped(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label) for the nodes that have a near-duplicate; ``docs`` has doc_id, key and text, ``nodes`` vid, size, ``WORDS`` and the row (w_id, w_key) of one text."""
     sets = Sets(docs, nodes)
     bits, n = drawn(nodes.count())
-    asking = nodes.select("vid", F.col("vid").alias("label"), "size", *WORDS, F.lit(True).alias("asks"))
-    tested = common.materialize(linked(dealt(asking, *LONG), 0), "candidates")
-    known = common.materialize(confirmed(tested, sets.of(tested)), "confirmed")
-    label, open_, most = components(known), None, FIRST
-    while True:
-        asks = nodes.select("vid", "size", *WORDS).join(label.withColumnRenamed("node", "vid"), "vid", "left").withColumn("label", F.coalesce("label", "vid"))
-        asks = asks.withColumn("asks", F.lit(True)) if open_ is None else asks.join(open_.withColumn("asks", F.lit(True)), "vid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        asks = common.materialize(asks, "asking")
-        rows = dealt(asks, bits, n)
-        if open_ is not None:
-            rows = rows.join(dealt(asks.where("asks"), bits, n).select("bucket").distinct(), "bucket", "left_semi")
-        found = common.materialize(linked(rows, most), "candidates")
-        new = common.materialize(found.where("b >= 0").join(tested, ["a", "b"], "left_anti"), "untested")
-        if not new.isEmpty():
-            more = common.materialize(confirmed(new, sets.of(new)), "confirmed")
-            if not more.isEmpty():
-                known = known.unionByName(more)
-                label = components(known)
-        tested, most = tested.unionByName(new), most * MORE
-        open_ = found.where("b < 0").select(F.col("a").alias("vid")).distinct()
-        common.discard(asks)
-        if open_.isEmpty():
-            return label
+    alone = nodes.select("vid", F.col("vid").alias("label"), "size", *WORDS)
+    first = common.materialize(linked(dealt(alone, *LONG), first=True), "candidates")
+    known = common.materialize(confirmed(first, sets.of(first)), "confirmed")
+    label = components(known)
+    named = alone.drop("label").join(label.withColumnRenamed("node", "vid"), "vid", "left").withColumn("label", F.coalesce("label", "vid"))
+    named = common.materialize(named, "labelled")
+    found = common.materialize(linked(dealt(named, bits, n)), "candidates")
+    group = components(found).select(F.col("node").alias("vid"), F.col("label").alias("group"))
+    members = common.materialize(group.join(named.select("vid", "label"), "vid"), "members")
+    more = common.materialize(compared(members, sets.of(found)), "confirmed")
+    common.discard(named)
+    return label if more.isEmpty() else components(known.unionByName(more))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

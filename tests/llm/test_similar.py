@@ -176,3 +176,35 @@ def test_sketches_tell_near_duplicates_from_edited_copies(rng):
             a, b = (similar.sketch(x) for x in (h[: both + own], np.concatenate([h[:both], h[both + own :]])))
             alike += np.bitwise_count(a ^ b).sum() <= similar.SKETCH
         assert least <= alike / 400 <= most
+
+
+def test_rows_of_a_group_of_edited_copies(spark, rng, monkeypatch):
+    """Edited copies of one text, many of them no near-duplicates of each other: what is written grows with their number, not with its square."""
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = list(rng.choice(vocabulary, 150))
+    texts = [" ".join(changed(rng, base, int(rng.integers(1, 7)))) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written, before = {}, similar.common.materialize
+
+    def counted(df, name, **options):
+        out = before(df, name, **options)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(similar.common, "materialize", counted)
+    stays = {r.doc_id for r in similar.dedup_stage(spark, docs, "").collect()}
+    groups = slow_groups(texts)
+    assert {min(g) for g in groups} <= stays and len(stays) <= len(groups) + 3 and max(map(len, groups)) > 100 < len(groups)
+    assert max(written.values()) <= 32 * len(texts)
+
+
+def test_blocks_of_a_group(rng):
+    """Sets compared as parts of a matrix give the pairs of all pairs."""
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(40, 400)))) for _ in range(30)] + [np.array([10**9])]
+    sizes, label = np.array([len(s) for s in sets]), rng.integers(0, 20, 31)
+    left, right = rng.random(31) < 0.6, rng.random(31) < 0.7
+    i, j = similar.alike(np.concatenate(sets), sizes, label, left, right)
+    want = {(a, b) for a in range(31) for b in range(31) if left[a] and right[b] and label[a] != label[b] and similarity(set(sets[a]), set(sets[b])) >= 0.8}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(want) > 20
+    a, b = similar.stars(np.array([5, 3, 7, 8]), np.array([3, 9, 8, 1]), 10)
+    assert set(zip(a.tolist(), b.tolist())) == {(3, 5), (3, 9), (1, 7), (1, 8)}
