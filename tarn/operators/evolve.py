@@ -239,18 +239,22 @@ def final_links(links: DataFrame) -> DataFrame:
     """(current, source): chains of links collapsed to their last source, by doubling.
 
     After k rounds each link spans 2 ** k old ones, so the longest possible
-    chain bounds the rounds; links that still go on are a cycle, an error.
+    chain bounds the rounds; links that still go on are a cycle, an error. Both
+    sides are shuffled: a broadcast in each round would pass the links through
+    the driver, and they look small to Spark as the files of them do.
     """
     from tarn.sources.shared import discard, written
 
     now = written(links.select("current", "source"), "links")
     for _ in range(now.count().bit_length() + 1):
         onward = now.select(F.col("current").alias("source"), F.col("source").alias("next"))
-        step = now.join(onward, "source", "left")
-        if step.where("next is not null").isEmpty():
+        step = now.join(onward.hint("merge"), "source", "left")
+        step = written(step.select("current", F.coalesce("next", "source").alias("source"), F.col("next").isNotNull().alias("moved")), "links")
+        discard(now)
+        now = step.drop("moved")
+        now.tarn_path = step.tarn_path
+        if step.where("moved").isEmpty():
             return now
-        now, before = written(step.select("current", F.coalesce("next", "source").alias("source")), "links"), now
-        discard(before)
     raise ValueError("links form a cycle")
 
 

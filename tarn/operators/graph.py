@@ -39,7 +39,7 @@ def _doubled(now: DataFrame) -> tuple[DataFrame, DataFrame]:
     now = written(now, "chains")
     for _ in range(now.count().bit_length() + 1):
         onward = now.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("least").alias("least_on"))
-        step = written(now.join(onward, "to").select("node", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.least("least", "least_on").alias("least"), (F.col("more") > 0).alias("moved")), "chains")
+        step = written(now.join(onward.hint("merge"), "to").select("node", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.least("least", "least_on").alias("least"), (F.col("more") > 0).alias("moved")), "chains")
         discard(now)
         now = step.drop("moved")
         now.tarn_path = step.tarn_path

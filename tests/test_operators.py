@@ -109,3 +109,19 @@ def test_ranges(spark):
 def test_changes_are_described():
     changes = [evolve.Renamed("a", "b"), evolve.Added("c", 0, breaking=True), evolve.Retyped("c", "string", was="int"), evolve.Moved("New", was="Old"), evolve.Rewritten(dict), evolve.Nested("f", "x", "y")]
     assert [evolve.described(c) for c in changes] == ["a becomes b", "c is added as 0 (breaking)", "c was int and is string", "Old becomes New", "new values by dict", "x becomes y within f"]
+
+
+def test_links_do_not_pass_through_the_driver(spark, monkeypatch):
+    """Following links broadcasts no table, however small it looks."""
+    from tarn.sources import shared
+
+    plans, before = [], shared.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return before(df, name)
+
+    monkeypatch.setattr(shared, "written", seen)
+    links = spark.range(8, 200).selectExpr("id as current", "id - 8 as source")
+    assert {(r.current, r.source) for r in evolve.final_links(links).collect()} == {(i, i % 8) for i in range(8, 200)}
+    assert len(plans) == 7 and sum("SortMergeJoin" in p for p in plans) == 6 and not any("Broadcast" in p for p in plans)
