@@ -170,10 +170,26 @@ def _halves(digests: list[bytes]) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)]
 
 
-def _tokens(text: bytes, found: list[dict]) -> dict[int, tuple[bytes, int, int]]:
-    """By unit that something was found in: the text's tokens as bytes, a token's bytes, and the number of tokens."""
-    tokens = {u: UNITS[u].tokens(text) for u in {g["u"] for g in found}}
-    return {u: (x.tobytes(), x.itemsize, len(x)) for u, x in tokens.items()}
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row of each record of a column of lists, and the records' fields."""
+    counts = column.value_lengths().fill_null(0).to_numpy()
+    return np.repeat(np.arange(len(column)), counts), [x.to_numpy().astype(np.int64) for x in column.flatten().flatten()]
+
+
+def _expanded(start: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places that stand for ``counts`` numbers from ``start`` on, and these numbers."""
+    of = np.repeat(np.arange(len(start)), counts)
+    return of, start[of] + np.arange(len(of)) - (np.cumsum(counts) - counts)[of]
+
+
+def _by_text(texts: list[bytes], row: np.ndarray, u: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes, int, int]]:
+    """For each unit of a text in which something was found: the unit, the places found, the tokens as bytes, a token's bytes, the number of tokens."""
+    place = row * len(UNITS) + u
+    order = np.argsort(place, kind="stable")
+    for here in np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(order) else []:
+        k = int(u[here[0]])
+        x = UNITS[k].tokens(texts[row[here[0]]])
+        yield k, here, x.tobytes(), x.itemsize, len(x)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,25 +197,31 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_64_intdigest as number
     from xxhash import xxh3_128_digest as digest
 
+    per_run, depths = (np.array([getattr(unit, x) for unit in UNITS]) for x in ("run", "depth"))
     for b in batches:
-        core, full, rows = [], [], []
-        for key, text, found in zip(b.column("key").to_pylist(), common.utf8(b.column("text")), b.column("found").to_pylist()):
-            tokens = _tokens(text, found)
-            for g in found:
-                u, at, first, last = g["u"], g["at"], g["first"], g["last"]
-                (raw, w, n), run, depth = tokens[u], UNITS[u].run, UNITS[u].depth
-                for d in range((at - last) // run, (at - first) // run + 1):
-                    end = at - d * run  # the run's last window
-                    start = end - run + 1
-                    seed = d << 1 | u
-                    core.append(digest(raw[end * w : (start + depth) * w], seed))
-                    # What the text's ends cut off is equal to nothing.
-                    whole = start >= 0 and end + depth <= n
-                    full.append(number(raw[start * w : (end + depth) * w], seed) if whole else number(b"%b %d %d" % (key, at, seed), 1 << 40))
-                    rows.append((key, u, max(first, start), min(last, end)))
-        if rows:
-            key, u, lo, hi = zip(*rows)
-            yield pa.RecordBatch.from_arrays([*_halves(core), pa.array(np.array(full, np.uint64).view(np.int64)), pa.array(key, pa.binary()), *(pa.array(x, pa.int32()) for x in (u, lo, hi))], names=["c1", "c2", "f", "key", "u", "lo", "hi"])
+        texts = common.utf8(b.column("text"))
+        row, (u, at, first, last) = _flat(b.column("found"))
+        low = (at - last) // per_run[u]
+        of, d = _expanded(low, (at - first) // per_run[u] - low + 1)
+        row, u, at, first, last = (x[of] for x in (row, u, at, first, last))
+        end = at - d * per_run[u]  # the run's last window
+        start = end - per_run[u] + 1
+        seeds = d << 1 | u
+        core, full, orders = [], [], []
+        for k, here, raw, w, n in _by_text(texts, row, u):
+            orders.append(here)
+            s, e, seed = start[here], end[here] + depths[k], seeds[here].tolist()
+            core += [digest(raw[x:y], z) for x, y, z in zip((end[here] * w).tolist(), ((s + depths[k]) * w).tolist(), seed)]
+            whole = (s >= 0) & (e <= n)
+            found = [number(raw[x:y], z) for x, y, z in zip((np.maximum(s, 0) * w).tolist(), (e * w).tolist(), seed)]
+            # What the text's ends cut off is equal to nothing.
+            for i in np.flatnonzero(~whole).tolist():
+                found[i] = number(b"%b %d %d" % (b.column("key")[int(row[here[i]])].as_py(), at[here[i]], seed[i]), 1 << 40)
+            full += found
+        if orders:
+            here = np.concatenate(orders)
+            numbers = (u[here], np.maximum(first, start)[here], np.minimum(last, end)[here])
+            yield pa.RecordBatch.from_arrays([*_halves(core), pa.array(np.array(full, np.uint64).view(np.int64)), b.column("key").take(pa.array(row[here])), *(pa.array(x.astype(np.int32)) for x in numbers)], names=["c1", "c2", "f", "key", "u", "lo", "hi"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,29 +229,28 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest as digest
 
     for b in batches:
-        out, rows = [], []
-        for key, text, found in zip(b.column("key").to_pylist(), common.utf8(b.column("text")), b.column("found").to_pylist()):
-            tokens = _tokens(text, found)
-            for g in found:
-                u = g["u"]
-                (raw, w, _), depth = tokens[u], UNITS[u].depth
-                for p in range(g["lo"], g["hi"] + 1):
-                    out.append(digest(raw[p * w : (p + depth) * w], u))
-                    rows.append((key, u, p))
-        if rows:
-            key, u, p = zip(*rows)
-            yield pa.RecordBatch.from_arrays([*_halves(out), pa.array(key, pa.binary()), pa.array(u, pa.int32()), pa.array(p, pa.int32())], names=["w1", "w2", "key", "u", "p"])
-
-
-def merged(spans: list[tuple[int, int]], depth: int = DEPTH) -> list[tuple[int, int]]:
+        texts = common.utf8(b.column("text"))
+        row, (u, lo, hi) = _flat(b.column("found"))
+        of, p = _expanded(lo, hi - lo + 1)
+        row, u = row[of], u[of]
+        out, orders = [], []
+        for k, here, raw, w, _ in _by_text(texts, row, u):
+            orders.append(here)
+            wide = UNITS[k].depth * w
+            out += [digest(raw[x : x + wide], k) for x in (p[here] * w).tolist()]
+        if orders:
+            here = np.concatenate(orders)
+            yield pa.RecordBatch.from_arrays([*_halves(out), b.column("key").take(pa.array(row[here])), pa.array(u[here].astype(np.int32)), pa.array(p[here].astype(np.int32))], names=["w1", "w2", "key", "u", "p"])
+
+
+def merged(lo: np.ndarray, hi: np.ndarray, depth: int = DEPTH) -> list[tuple[int, int]]:
     """Maximal runs of what windows cover that start in the given ranges."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi + depth)
-        else:
-            out.append([lo, hi + depth])
-    return [(a, b) for a, b in out]
+    if not len(lo):
+        return []
+    order = np.argsort(lo, kind="stable")
+    lo, end = lo[order], np.maximum.accumulate(hi[order]) + depth
+    first = np.flatnonzero(np.r_[True, lo[1:] > end[:-1]])
+    return list(zip(lo[first].tolist(), end[np.r_[first[1:] - 1, len(lo) - 1]].tolist()))
 
 
 CUT = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeat_words long, spans array<struct<start:long,end:long>>"
@@ -238,8 +259,11 @@ CUT = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 strin
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for text, key, copies, found in zip(common.utf8(b.column("text")), *(b.column(c).to_pylist() for c in ("key", "copies", "found"))):
-            spans, more = (merged([(g["lo"], g["hi"]) for g in found or [] if g["u"] == u], unit.depth) for u, unit in enumerate(UNITS))
+        row, (u, lo, hi) = _flat(b.column("found"))
+        ends = np.searchsorted(row, np.arange(b.num_rows + 1))
+        for i, (text, key, copies) in enumerate(zip(common.utf8(b.column("text")), *(b.column(c).to_pylist() for c in ("key", "copies")))):
+            here = slice(ends[i], ends[i + 1])
+            spans, more = (merged(lo[here][u[here] == k], hi[here][u[here] == k], unit.depth) for k, unit in enumerate(UNITS))
             words = sum(e - s for s, e in more)
             if copies > 1:
                 spans = [(0, len(text))] if len(text) >= DEPTH else []
